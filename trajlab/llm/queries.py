@@ -1,11 +1,13 @@
 """The queries of this subpackage and, where SQL can state them, the same in DuckDB SQL."""
 
-from trajlab.llm import decontaminate
+from trajlab.llm import decontaminate, warc
 
 QUERIES = {
+    "op9_warc": warc.op9_warc,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
 SQL = {
+    "op9_warc": warc.OP9_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
 }
