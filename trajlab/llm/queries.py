@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can state them, the same in DuckDB SQL."""
 
-from trajlab.llm import decontaminate, token_files, warc
+from trajlab.llm import decontaminate, quality, token_files, warc
 
 QUERIES = {
+    "op3_quality_rules": quality.op3_quality_rules,
     "op5_token_files": token_files.op5_token_files,
     "op9_warc": warc.op9_warc,
     "op10_decontamination": decontaminate.op10_decontamination,
