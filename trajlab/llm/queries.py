@@ -1,8 +1,10 @@
 """The queries of this subpackage and, where SQL can state them, the same in DuckDB SQL."""
 
-from trajlab.llm import decontaminate, quality, token_files, warc
+from trajlab.llm import decontaminate, quality, substring_dedup, suffix_dedup, token_files, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_token_files": token_files.op5_token_files,
     "op9_warc": warc.op9_warc,
@@ -10,6 +12,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
+    "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
 }

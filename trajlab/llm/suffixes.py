@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: three symbols, or two ranks and a position, share one 63-bit key
+#: two ranks and a position share one 63-bit key
 BITS = 21
 MOST = (1 << BITS) - 1
 
@@ -16,26 +16,29 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     stay in text order. symbols: under 2**21, fewer than 2**21 of them.
     """
     n = len(symbols)
-    s = np.zeros(n + 3, np.int64)
-    s[:n] = symbols
+    width = max(1, int(symbols.max(initial=0)).bit_length())
+    k = min(depth, 63 // width)
     pos = np.flatnonzero(symbols)
-    # a symbol behind a terminator says nothing about the suffix before it
-    second = s[pos + 1]
-    third = np.where(second > 0, s[pos + 2], 0)
-    key = (s[pos] << 2 * BITS) | (second << BITS) | third
+    s = np.concatenate([symbols.astype(np.int64), np.zeros(k, np.int64)])
+    key, live = np.zeros(len(pos), np.int64), np.ones(len(pos), bool)
+    for i in range(k):
+        symbol = s[pos + i]
+        live &= symbol > 0  # a symbol behind a terminator says nothing about the suffix before it
+        key = (key << width) | np.where(live, symbol, 0)
     order = np.argsort(key, kind="stable")
     pos, key = pos[order], key[order]
     rank = np.zeros(n + 1, np.int64)
+    stops = np.append(np.flatnonzero(symbols == 0), n)
+    left = stops[np.searchsorted(stops, np.arange(n))] - np.arange(n)
     fresh = np.ones(len(pos), bool)
     fresh[1:] = key[1:] != key[:-1]
     group = np.maximum.accumulate(np.where(fresh, np.arange(len(pos)), 0))
     rank[pos] = group + 1
-    k = 3
     while k < depth:
         tied = np.zeros(len(pos), bool)
         tied[1:] = ~fresh[1:]
         tied[:-1] |= ~fresh[1:]
-        slots = np.flatnonzero(tied)
+        slots = np.flatnonzero(tied & (left[pos] >= k))  # suffixes that ended alike stay in text order
         if not len(slots):
             break
         p = pos[slots]
@@ -72,3 +75,34 @@ def bounds(symbols: np.ndarray, array: np.ndarray, lo: np.ndarray, hi: np.ndarra
             b[open_[~less]] = mid[~less]
 
     return first(wanted), first(wanted + 1)
+
+
+def common(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Length of the longest common prefix, up to `most`, of the suffixes at a and b, pair by pair.
+    symbols end with a terminator, which matches nothing."""
+    out = np.zeros(len(a), np.int64)
+    open_ = np.arange(len(a))
+    end = len(symbols) - 1
+    for _ in range(most):
+        x, y = symbols[np.minimum(a[open_] + out[open_], end)], symbols[np.minimum(b[open_] + out[open_], end)]
+        open_ = open_[(x == y) & (x != 0)]
+        if not len(open_):
+            break
+        out[open_] += 1
+    return out
+
+
+def common_bytes(data: np.ndarray, ends_at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for bytes, eight at a time; ends_at gives the end of the string that each position is in."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    room = np.minimum(ends_at[a] - a, ends_at[b] - b)
+    out = np.zeros(len(a), np.int64)
+    open_ = np.flatnonzero(room > 0)
+    while len(open_):
+        differ = eights[a[open_] + out[open_]] ^ eights[b[open_] + out[open_]]
+        low = differ & (~differ + np.uint64(1))
+        same = np.where(differ == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
+        out[open_] += same
+        open_ = open_[(same == 8) & (out[open_] < room[open_])]
+    return np.minimum(out, room)

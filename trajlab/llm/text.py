@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 #: `[^\x20\x09-\x0D]+`
 NOT_SPACE = np.ones(256, bool)
@@ -152,3 +153,18 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         return range_hashes(self.data, self.starts, self.ends)
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with their text compressed, for a shuffle: column `text` becomes binary `blob`, a null stays one."""
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for batch in gathered(batches, "text", 4 << 20):
+        blobs = pa.array([None if x is None else squeeze.compress(x.encode()) for x in batch.column("text").to_pylist()], pa.binary())
+        names = ["blob" if n == "text" else n for n in batch.schema.names]
+        yield pa.RecordBatch.from_arrays([blobs if n == "blob" else batch.column(n) for n in names], names)
+
+
+def unpacked(blobs: pa.Array) -> list[bytes]:
+    """The bytes of each text of a packed column; a null has none."""
+    expand = zstandard.ZstdDecompressor()
+    return [b"" if x is None else expand.decompress(x) for x in blobs.to_pylist()]
