@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can state them, the same in DuckDB SQL."""
 
-from trajlab.llm import decontaminate, quality, substring_dedup, suffix_dedup, token_files, warc
+from trajlab.llm import decontaminate, lm_score, quality, substring_dedup, suffix_dedup, token_files, warc
 
 QUERIES = {
+    "op7_lm_scoring": lm_score.op7_lm_scoring,
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
