@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can state them, the same in DuckDB SQL."""
 
-from trajlab.llm import decontaminate, lm_score, quality, substring_dedup, suffix_dedup, token_files, warc
+from trajlab.llm import decontaminate, lm_score, near_dedup, quality, substring_dedup, suffix_dedup, token_files, warc
 
 QUERIES = {
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op7_lm_scoring": lm_score.op7_lm_scoring,
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_near_dedup": near_dedup.OP4_SQL,
     "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
