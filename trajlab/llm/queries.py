@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can state them, the same in DuckDB SQL."""
 
-from trajlab.llm import decontaminate, lm_score, near_dedup, quality, substring_dedup, suffix_dedup, token_files, warc
+from trajlab.llm import decontaminate, line_dedup, lm_score, near_dedup, quality, substring_dedup, suffix_dedup, token_files, warc
 
 QUERIES = {
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op7_lm_scoring": lm_score.op7_lm_scoring,
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_line_dedup": line_dedup.OP6_SQL,
     "op4_near_dedup": near_dedup.OP4_SQL,
     "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,
