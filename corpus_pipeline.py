@@ -1,15 +1,62 @@
-"""A training-text pipeline over `documents`."""
+"""A training-text pipeline over `documents`: what is kept of it, encoded.
+
+Each stage works on all that the stage before kept and calls one operator of
+trajlab.llm; its result is written and read again as the next one's input. All
+but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from trajlab.llm import decontaminate, line_dedup, near_dedup, pieces, quality
+from trajlab.llm.tables import fresh_dir, table
+
+#: SQL can't state the isolation forest or the piece encoding.
+ORACLE_SQL = None
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and the forest reject go."""
+    return quality.passing(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines within a word of an earlier one are cut; documents stay, if need be with an empty text."""
+    return line_dedup.without_lines(docs).drop("_n_lines", "_n_removed")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return near_dedup.representatives(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, the ids of each text and the text they decode to."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.decoded(pieces.encoded(docs, path), path).drop("text_key")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination),
+    ("sentencepiece", encoding),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The rows of the last stage."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        folder = fresh_dir(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can state them, the same in DuckDB SQL."""
 
-from trajlab.llm import decontaminate, line_dedup, lm_score, near_dedup, quality, substring_dedup, suffix_dedup, token_files, warc
+from trajlab.llm import decontaminate, line_dedup, lm_score, near_dedup, pieces, quality, substring_dedup, suffix_dedup, token_files, warc
 
 QUERIES = {
+    "op2_pieces": pieces.op2_pieces,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op7_lm_scoring": lm_score.op7_lm_scoring,
