@@ -12,8 +12,8 @@ repeat. So:
    and brought to its anchor, where a block of anchors is indexed and searched
    by the operator's own method (`Matcher`);
 3. an anchor with more than `hot` segments would make a block too large: its
-   distinct segments are cut into their windows, which are counted by hash
-   (partial sums first), so that no group meets in one task.
+   distinct segments are cut into pieces, then windows, which are counted by
+   hash (partial sums first), so that no group meets in one task.
 
 Copies of a segment travel as one. Every text is read whole, and what a task
 holds is bounded by a block or by one text.
@@ -38,6 +38,8 @@ HOT = 4096
 BLOCK_UNITS = 1 << 20
 #: starts hashed at a time
 CHUNK = 1 << 20
+#: windows of a piece of a hot anchor's segment
+STARTS = 12
 #: bits of an anchor's key that give its place in a chunk
 PLACE = np.uint64((1 << 21) - 1)
 
@@ -163,18 +165,62 @@ def _matched(batches: Iterator[pa.RecordBatch], w: Windows, matcher: Matcher) ->
         yield searched(pa.Table.from_batches(held + group))
 
 
-def _exploded(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
-    """Each window of each segment with its hash."""
+def _pieces(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
+    """Each segment in pieces of STARTS windows, numbered (r) from its anchor, with the hash of the units
+    that all windows of the piece have in common (core) and of all its units (whole), and these units."""
     for batch in batches:
-        for a in range(0, batch.num_rows, 2000):
-            part = batch.slice(a, 2000)
+        for k in range(0, batch.num_rows, 2000):
+            part = batch.slice(k, 2000)
             values, offsets = w.units(part.column("segment"))
             n = part.column("n").to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            h = window_hashes(values, w.window)[offsets[:-1][row] + at]
+            anchor = part.column("anchor").to_numpy().view(np.uint64)
+            owner = np.repeat(np.arange(len(n)), np.diff(offsets))[: max(0, len(values) - w.gram + 1)]
+            same = np.flatnonzero(window_hashes(values, w.gram) == anchor[owner])
+            # the anchor is its segment's first piece with that hash; ranges of starts are counted back from it
+            p = same[np.searchsorted(same, offsets[:-1])] - offsets[:-1]
+            last, first = p // STARTS, (p - n + 1) // STARTS
+            per = last - first + 1
+            row = np.repeat(np.arange(len(n)), per)
+            r = last[row] - (np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per))
+            end = p[row] - r * STARTS
+            a = np.maximum(0, end - STARTS + 1)
+            m = np.minimum(n[row] - 1, end) - a + 1
+            lo = offsets[:-1][row] + a
+            # a range cut short by its segment has the core of the full one within its units
+            core = range_hashes(values, offsets[:-1][row] + end, offsets[:-1][row] + end - STARTS + 1 + w.window)
+            whole = range_hashes(values, lo, lo + m - 1 + w.window)
+            take = pa.array(row)
+            many = part.column("many").to_numpy(zero_copy_only=False)
+            pieces = [values[x:y].tobytes() for x, y in zip(lo.tolist(), (lo + m - 1 + w.window).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("anchor").take(take), part.column("content").take(take), pa.array(a, pa.int32()), pa.array(m, pa.int32()), pa.array(r, pa.int32()), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(np.where(many, 2, 1)[row], pa.int64()), pa.array(pieces, pa.binary())], ["anchor", "content", "a", "m", "r", "core", "whole", "weight", "piece"])
+
+
+def _exploded(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
+    """Each window of each piece with its hash."""
+    kind = np.uint8 if w.unit == "bytes" else np.uint64
+    for batch in batches:
+        for k in range(0, batch.num_rows, 2000):
+            part = batch.slice(k, 2000)
+            values = np.frombuffer(b"".join(part.column("piece").to_pylist()), kind)
+            m = part.column("m").to_numpy().astype(np.int64)
+            sizes = m + w.window - 1
+            row = np.repeat(np.arange(len(m)), m)
+            at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            h = window_hashes(values, w.window)[(np.cumsum(sizes) - sizes)[row] + at]
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part.column("anchor").take(take), part.column("content").take(take), pa.array(at, pa.int32()), pa.array(h.view(np.int64)), pa.array(np.where(part.column("many").to_numpy(zero_copy_only=False), 2, 1)[row], pa.int64())], ["anchor", "content", "a", "h", "weight"])
+            yield pa.RecordBatch.from_arrays([part.column("anchor").take(take), part.column("content").take(take), pa.array(part.column("a").to_numpy()[row] + at, pa.int32()), pa.array(h.view(np.int64)), part.column("weight").take(take)], ["anchor", "content", "a", "h", "weight"])
+
+
+def _crowded(pieces: DataFrame, w: Windows) -> DataFrame:
+    """(anchor, content, a, b): the windows of hot anchors' segments that start elsewhere, by counting.
+    Only a piece that has its core, but not all its units, in common with another is cut into windows."""
+    parts = pieces.mapInArrow(lambda it: _pieces(it, w), "anchor long, content long, a int, m int, r int, core long, whole long, weight long, piece binary")
+    cores = parts.groupBy("anchor", "r", "core").agg(F.sum("weight").alias("total"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("total > 1").select("anchor", "r", "core", (F.col("w0") != F.col("w1")).alias("mixed"))
+    shared = parts.join(cores, ["anchor", "r", "core"])
+    equal = shared.where("not mixed").select("anchor", "content", "a", (F.col("a") + F.col("m")).alias("b"))
+    windows = shared.where("mixed").select("anchor", "content", "a", "m", "weight", "piece").mapInArrow(lambda it: _exploded(it, w), "anchor long, content long, a int, h long, weight long")
+    again = windows.groupBy("anchor", "h").agg(F.sum("weight").alias("weight")).where("weight > 1").select("anchor", "h")
+    return equal.unionByName(windows.join(again, ["anchor", "h"]).select("anchor", "content", "a", (F.col("a") + 1).alias("b")))
 
 
 def repeated(documents: DataFrame, w: Windows, matcher: Matcher, hot: int = HOT) -> DataFrame:
@@ -206,9 +252,7 @@ def repeated(documents: DataFrame, w: Windows, matcher: Matcher, hot: int = HOT)
 
     found_schema = "anchor long, content long, a int, b int"
     usual = pieces.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(lambda it: _matched(it, w, matcher), found_schema)
-    windows = pieces.where("hot").mapInArrow(lambda it: _exploded(it, w), "anchor long, content long, a int, h long, weight long")
-    again = windows.groupBy("anchor", "h").agg(F.sum("weight").alias("weight")).where("weight > 1").select("anchor", "h")
-    crowded = windows.join(again, ["anchor", "h"]).select("anchor", "content", "a", (F.col("a") + 1).alias("b"))
+    crowded = _crowded(pieces.where("hot"), w)
     runs = usual.unionByName(crowded).groupBy("anchor", "content").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
 
     width = w.window - 1
