@@ -56,6 +56,11 @@ class Windows:
     window: int
     gram: int
 
+    @property
+    def starts(self) -> int:
+        """Windows of a piece; all of them have units in common."""
+        return min(STARTS, max(1, self.window // 2))
+
     def units(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The units of all texts in a row, and the range of each text."""
         if self.unit == "bytes":
@@ -166,7 +171,7 @@ def _matched(batches: Iterator[pa.RecordBatch], w: Windows, matcher: Matcher) ->
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
-    """Each segment in pieces of STARTS windows, numbered (r) from its anchor, with the hash of the units
+    """Each segment in pieces of w.starts windows, numbered (r) from its anchor, with the hash of the units
     that all windows of the piece have in common (core) and of all its units (whole), and these units."""
     for batch in batches:
         for k in range(0, batch.num_rows, 2000):
@@ -178,16 +183,16 @@ def _pieces(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.Record
             same = np.flatnonzero(window_hashes(values, w.gram) == anchor[owner])
             # the anchor is its segment's first piece with that hash; ranges of starts are counted back from it
             p = same[np.searchsorted(same, offsets[:-1])] - offsets[:-1]
-            last, first = p // STARTS, (p - n + 1) // STARTS
+            last, first = p // w.starts, (p - n + 1) // w.starts
             per = last - first + 1
             row = np.repeat(np.arange(len(n)), per)
             r = last[row] - (np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per))
-            end = p[row] - r * STARTS
-            a = np.maximum(0, end - STARTS + 1)
+            end = p[row] - r * w.starts
+            a = np.maximum(0, end - w.starts + 1)
             m = np.minimum(n[row] - 1, end) - a + 1
             lo = offsets[:-1][row] + a
             # a range cut short by its segment has the core of the full one within its units
-            core = range_hashes(values, offsets[:-1][row] + end, offsets[:-1][row] + end - STARTS + 1 + w.window)
+            core = range_hashes(values, offsets[:-1][row] + end, offsets[:-1][row] + end - w.starts + 1 + w.window)
             whole = range_hashes(values, lo, lo + m - 1 + w.window)
             take = pa.array(row)
             many = part.column("many").to_numpy(zero_copy_only=False)
