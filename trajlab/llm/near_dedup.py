@@ -201,7 +201,7 @@ def near_groups(documents: DataFrame, percent: int = PERCENT, bucket: int = BUCK
     sizes = places.groupBy("label").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n")).where("n > 1").select("label", F.ceil(F.col("total") / chunk).cast("int").alias("chunks"))
     wanted = stored(places.join(sizes, "label").select("a", "b", "label", "chunks", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), *sketch), "wanted")
     blobs = docs.mapInArrow(packed, "doc_id long, text_key long, blob binary")
-    texts = blobs.join(wanted, same_row(blobs, wanted)).select("a", "b", "label", "chunks", "blob")
+    texts = blobs.join(wanted.hint("merge"), same_row(blobs, wanted)).select("a", "b", "label", "chunks", "blob")
     # repeated rows bring a set more than once
     sets = stored(texts.mapInArrow(_sets, "a long, b long, label long, chunks int, shingles binary"), "sets").dropDuplicates(["a", "b"])
     own = F.pmod(F.xxhash64("a", "b"), F.col("chunks")).cast("int")
@@ -225,7 +225,7 @@ def representatives(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of documents that stand for their group, with their columns: those whose doc_id is the
     group's least. Rows that repeat a kept one are kept with it; texts without words are kept."""
     gone = near_groups(documents, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["_d"]) & (F.xxhash64(documents["text"]) == gone["_k"]), "left_anti")
+    return documents.join(gone.hint("merge"), documents["doc_id"].eqNullSafe(gone["_d"]) & (F.xxhash64(documents["text"]) == gone["_k"]), "left_anti")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
