@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from trajlab.llm.components import labelled
 from trajlab.llm.minhash import SIGNED, most_differing_bits, shingle_sets, signed
-from trajlab.llm.tables import fresh_dir, keyed, same_row, table
+from trajlab.llm.tables import Scratch, keyed, same_row, table
 from trajlab.llm.text import packed, unpacked
 
 #: least similarity, in hundredths, of two linked sets
@@ -176,13 +176,9 @@ def near_groups(documents: DataFrame, percent: int = PERCENT, bucket: int = BUCK
     rows are in one component. A null doc_id counts as larger than any; a group of such rows alone has a
     null component.
     """
-    spark = documents.sparkSession
     docs = keyed(documents)
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        folder = fresh_dir(spark, name)
-        df.write.option("compression", "zstd").parquet(folder)
-        return spark.read.parquet(folder)
+    scratch = Scratch(documents.sparkSession)
+    stored = scratch.stored
 
     rows = stored(docs.mapInArrow(signed, SIGNED), "signatures")
     key = ["n_shingles", "a", "b"]
@@ -218,14 +214,15 @@ def near_groups(documents: DataFrame, percent: int = PERCENT, bucket: int = BUCK
     ids = firsts.join(firsts.groupBy("label").agg(F.min("doc_id").alias("component")), "label").select("a", "b", "component")
     alone = classes.select("a", "b", F.col("first.doc_id").alias("own"))
     found = alone.join(ids, ["a", "b"], "left").select("a", "b", F.coalesce("component", "own").alias("component"))
-    return rows.join(found, ["a", "b"], "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("a").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    out = rows.join(found, ["a", "b"], "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("a").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return scratch.result(out)
 
 
 def representatives(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of documents that stand for their group, with their columns: those whose doc_id is the
     group's least. Rows that repeat a kept one are kept with it; texts without words are kept."""
-    gone = near_groups(documents, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    return documents.join(gone.hint("merge"), documents["doc_id"].eqNullSafe(gone["_d"]) & (F.xxhash64(documents["text"]) == gone["_k"]), "left_anti")
+    gone = near_groups(documents, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("trajlab_d"), F.col("text_key").alias("trajlab_k")).distinct()
+    return documents.join(gone.hint("merge"), documents["doc_id"].eqNullSafe(gone["trajlab_d"]) & (F.xxhash64(documents["text"]) == gone["trajlab_k"]), "left_anti")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlab.llm.tables import fresh_dir, keyed, same_row
+from trajlab.llm.tables import Scratch, keyed, same_row
 from trajlab.llm.text import NOT_SPACE, Words, packed, range_hashes, slices, string_view, unpacked, window_hashes
 
 #: segments of an anchor that are indexed together; beyond it windows are counted by hash
@@ -235,14 +235,12 @@ def repeated(documents: DataFrame, w: Windows, matcher: Matcher, hot: int = HOT)
     A null, empty or short text has no window. Repeated rows are occurrences of their own, so they
     repeat each other whole; a null doc_id is a document like any other.
     """
-    spark = documents.sparkSession
     docs = keyed(documents)
+    scratch = Scratch(documents.sparkSession)
     row_schema = "doc_id long, text_key long, lo int, n int, anchor long, content long"
     rows = docs.mapInArrow(lambda it: _segments(it, w), row_schema)
     anchors = rows.groupBy("anchor").agg(F.count("*").alias("total"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("total > 1")
-    folder = fresh_dir(spark, "segments")
-    rows.join(anchors.select("anchor", (F.col("c0") != F.col("c1")).alias("mixed"), (F.col("total") > hot).alias("hot")), "anchor").write.option("compression", "zstd").parquet(folder)
-    shared = spark.read.parquet(folder)
+    shared = scratch.stored(rows.join(anchors.select("anchor", (F.col("c0") != F.col("c1")).alias("mixed"), (F.col("total") > hot).alias("hot")), "anchor"), "segments")
 
     classes = shared.where("mixed").groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "text_key", "lo", "n", "hot")).alias("at"), (F.count("*") > 1).alias("many"))
     wanted = classes.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")).agg(F.collect_list(F.struct("anchor", "content", F.col("at.lo").alias("lo"), F.col("at.n").alias("n"), "many", F.col("at.hot").alias("hot"))).alias("wanted"))
@@ -251,9 +249,7 @@ def repeated(documents: DataFrame, w: Windows, matcher: Matcher, hot: int = HOT)
     piece_schema = "anchor long, content long, n int, many boolean, hot boolean, segment binary"
     pieces = texts.mapInArrow(lambda it: _fetched(it, w), piece_schema)
     # repeated rows fetch a segment once each: one of them will do
-    pieces_folder = fresh_dir(spark, "pieces")
-    pieces.write.option("compression", "zstd").parquet(pieces_folder)
-    pieces = spark.read.parquet(pieces_folder)
+    pieces = scratch.stored(pieces, "pieces")
 
     found_schema = "anchor long, content long, a int, b int"
     usual = pieces.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(lambda it: _matched(it, w, matcher), found_schema)
@@ -263,7 +259,7 @@ def repeated(documents: DataFrame, w: Windows, matcher: Matcher, hot: int = HOT)
     width = w.window - 1
     whole = shared.where("not mixed").select("doc_id", "text_key", F.array(F.struct(F.col("lo").alias("a"), (F.col("lo") + F.col("n") + width).alias("b"))).alias("spans"))
     partly = shared.where("mixed").join(runs, ["anchor", "content"]).select("doc_id", "text_key", F.transform("runs", lambda r: F.struct((F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"] + width).alias("b"))).alias("spans"))
-    return whole.unionByName(partly).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return scratch.result(whole.unionByName(partly).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def with_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajlab.llm.files import removed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,6 +54,33 @@ def same_row(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
 
+class Scratch:
+    """Tables that an operator keeps in the shared folder while it runs, to cut lineage."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def stored(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        folder = fresh_dir(self.spark, name)
+        self.folders.append(folder)
+        df.write.option("compression", codec).parquet(folder)
+        return self.spark.read.parquet(folder)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """The rows of df, computed now; the tables go."""
+        kept = checkpointed(df)
+        for folder in self.folders:
+            removed(self.spark, folder)
+        return kept
+
+
+def freed(spark: SparkSession) -> None:
+    """Let Spark's cleaner take the shuffle files of finished steps now, before a step that shuffles
+    texts again; by itself it does so whenever the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def parts_for(spark: SparkSession, n_bytes: int, each: int = 32 << 20) -> int:
     """A number of shuffle partitions of about `each` bytes, never under the session's own."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))

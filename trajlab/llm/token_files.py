@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlab.llm.files import located, written
-from trajlab.llm.tables import checkpointed, fresh_dir, keyed, parts_for, table
+from trajlab.llm.tables import Scratch, fresh_dir, keyed, parts_for, table
 from trajlab.llm.text import gathered, string_view
 from trajlab.llm.units import UnitStore
 
@@ -156,7 +156,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
             at += int(ends[-1])
 
 
-def encoded(documents: DataFrame, tokenizer_path: str) -> DataFrame:
+def encoded(documents: DataFrame, tokenizer_path: str, scratch: Scratch) -> DataFrame:
     """doc_id, part, at, n_tokens, ids: each text's ids with the end id, in doc_id order by ranges
     (part) and tokens before it in its range (at), as a table in the shared folder."""
     spark = documents.sparkSession
@@ -168,9 +168,7 @@ def encoded(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     part = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
     ranged = docs.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
     dealt = ranged.mapInArrow(_packed, "doc_id long, text_key long, blob binary, part int").repartitionById(n, F.col("part")).sortWithinPartitions("part", "doc_id", "text_key")
-    folder = fresh_dir(spark, "ids")
-    dealt.mapInArrow(lambda it: _encoded(it, tokenizer_path), "doc_id long, part int, at long, n_tokens long, ids binary").write.option("compression", "uncompressed").parquet(folder)
-    return spark.read.parquet(folder)
+    return scratch.stored(dealt.mapInArrow(lambda it: _encoded(it, tokenizer_path), "doc_id long, part int, at long, n_tokens long, ids binary"), "ids", "uncompressed")
 
 
 # ---------------------------------------------------------------- the code
@@ -363,7 +361,8 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, folder: str | None =
     ascending doc_id order (null first; rows of one doc_id by a hash of their text). A null or empty
     text has the end id alone; an empty table gives no file."""
     spark = documents.sparkSession
-    rows = encoded(documents, tokenizer_path)
+    scratch = Scratch(spark)
+    rows = encoded(documents, tokenizer_path, scratch)
     folder = folder or fresh_dir(spark, "tokens")
     counts = np.zeros(1 << LIMIT, np.int64)
     for r in rows.mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -372,7 +371,7 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, folder: str | None =
     base, total = {}, 0
     for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
         base[r.part], total = total, total + r.n
-    return checkpointed(rows.mapInArrow(lambda it: _write(it, folder, lengths, base), "file string, first long, n_tokens long"))
+    return scratch.result(rows.mapInArrow(lambda it: _write(it, folder, lengths, base), "file string, first long, n_tokens long"))
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
