@@ -169,10 +169,21 @@ def matches(documents: DataFrame, benchmark: DataFrame, n: int = N, block_bytes:
     )
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """The rows of documents without a benchmark window, with their columns."""
-    found = matches(documents, benchmark, n).where(F.size("starts") > 0).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    return documents.join(found, documents["doc_id"].eqNullSafe(found["_d"]) & (F.xxhash64(documents["text"]) == found["_k"]), "left_anti")
+def _clean(batches: Iterator[pa.RecordBatch], test: TestBlock, most: int) -> Iterator[pa.RecordBatch]:
+    for shard in gathered(batches, "text", most):
+        w, word, _, _, _ = _search(shard, test)
+        hit = np.zeros(shard.num_rows, bool)
+        hit[np.searchsorted(w.rows, word, "right") - 1] = True
+        yield shard.filter(pa.array(~hit))
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows of documents without a benchmark window, with their columns: each block of the benchmark
+    filters where the documents are scanned, so nothing is shuffled."""
+    for ids, texts in _blocks(benchmark, block_bytes):
+        test = documents.sparkSession.sparkContext.broadcast(TestBlock(ids, texts, n))
+        documents = documents.mapInArrow(lambda it, t=test: _clean(it, t.value, shard_bytes), documents.schema)
+    return documents
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,36 +48,41 @@ def _repeated(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return shared, later
 
 
+def counted(texts: pa.Array) -> list[np.ndarray]:
+    """COUNTS of each text."""
+    w = Words(texts, NOT_SPACE)
+    data, offsets, n = w.data, w.offsets, len(w.starts)
+    row = w.row_of_word()
+    # 3-word windows found twice or more, and the words they cover
+    h = w.hashes()
+    repeat = np.zeros(n, bool)
+    if n > 2:
+        three = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]
+        inside = row[:-2] == row[2:]
+        first = np.flatnonzero(inside)
+        shared, _ = _repeated(row[first], three[first])
+        for k in range(3):
+            repeat[first[shared] + k] = True
+    # lines: a piece between line feeds, with a word
+    feed = np.flatnonzero(data == 0x0A)
+    full = np.flatnonzero(offsets[1:] > offsets[:-1])
+    starts = np.sort(np.concatenate([offsets[:-1][full], feed + 1]))
+    ends = np.sort(np.concatenate([offsets[1:][full], feed]))
+    keep = ends > starts
+    starts, ends = starts[keep], ends[keep]
+    if len(starts):
+        worded = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
+        starts, ends = starts[worded], ends[worded]
+    line_row = np.searchsorted(offsets, starts, "right") - 1
+    _, later = _repeated(line_row, range_hashes(data, starts, ends)) if len(starts) else (None, np.empty(0, bool))
+    in_word = NOT_SPACE[data]
+    rows = len(texts)
+    return [w.counts, _sums(in_word & CODE_POINT[data], offsets), _sums(_SYMBOL[data], offsets), np.bincount(line_row[later], minlength=rows), np.bincount(row[repeat], minlength=rows), np.bincount(line_row, minlength=rows), _sums(_UPPER[data], offsets)]
+
+
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        w = Words(batch.column("text"), NOT_SPACE)
-        data, offsets, n = w.data, w.offsets, len(w.starts)
-        row = w.row_of_word()
-        # 3-word windows found twice or more, and the words they cover
-        h = w.hashes()
-        repeat = np.zeros(n, bool)
-        if n > 2:
-            three = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]
-            inside = row[:-2] == row[2:]
-            first = np.flatnonzero(inside)
-            shared, _ = _repeated(row[first], three[first])
-            for k in range(3):
-                repeat[first[shared] + k] = True
-        # lines: a piece between line feeds, with a word
-        feed = np.flatnonzero(data == 0x0A)
-        full = np.flatnonzero(offsets[1:] > offsets[:-1])
-        starts = np.sort(np.concatenate([offsets[:-1][full], feed + 1]))
-        ends = np.sort(np.concatenate([offsets[1:][full], feed]))
-        keep = ends > starts
-        starts, ends = starts[keep], ends[keep]
-        if len(starts):
-            worded = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
-            starts, ends = starts[worded], ends[worded]
-        line_row = np.searchsorted(offsets, starts, "right") - 1
-        _, later = _repeated(line_row, range_hashes(data, starts, ends)) if len(starts) else (None, np.empty(0, bool))
-        in_word = NOT_SPACE[data]
-        rows = batch.num_rows
-        columns = [w.counts, _sums(in_word & CODE_POINT[data], offsets), _sums(_SYMBOL[data], offsets), np.bincount(line_row[later], minlength=rows), np.bincount(row[repeat], minlength=rows), np.bincount(line_row, minlength=rows), _sums(_UPPER[data], offsets)]
+        columns = counted(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *(pa.array(c.astype(np.int64)) for c in columns)], ["doc_id", "text_key", *COUNTS])
 
 
@@ -180,6 +185,21 @@ def calibrated(scored: DataFrame, labels: DataFrame, keep_good: float = KEEP_GOO
     return float((fit[np.argmax(caught[fit])] + 1) / CELLS) if len(fit) else 1.0
 
 
+def fitted(stats: DataFrame, labels: DataFrame, trees: int, sample: int, keep_good: float) -> tuple[DataFrame, Forest, float]:
+    """stats with their scores; the forest and the threshold."""
+    spark = stats.sparkSession
+    usual = stats.where(~base_failed()).select(F.xxhash64("doc_id", "text_key").alias("h"), *features())
+    # hashes below a share that leaves four times the rows needed, then the least of them: tasks send few more
+    need = trees * sample
+    share = min(1.0, 4 * need / max(1, usual.count()))
+    some = usual.where(F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30)))
+    drawn = some.orderBy(F.pmod("h", F.lit(1 << 30)), "h", *[f"f{i}" for i in range(N_FEATURES)]).limit(need).select([f"f{i}" for i in range(N_FEATURES)]).collect()
+    forest = Forest(np.array([tuple(r) for r in drawn], float).reshape(-1, N_FEATURES), trees, sample)
+    sent = spark.sparkContext.broadcast(forest)
+    scored = stats.select("doc_id", "text_key", *COUNTS, *features()).mapInArrow(lambda it: _scored(it, sent.value), f"{_SCHEMA}, anomaly double")
+    return scored, forest, calibrated(scored, labels, keep_good)
+
+
 def assessed(documents: DataFrame, labels: DataFrame, trees: int = TREES, sample: int = SAMPLE, keep_good: float = KEEP_GOOD) -> DataFrame:
     """doc_id, text_key, the statistics, anomaly (score), base_failed and kept, one row for each input row.
 
@@ -188,20 +208,25 @@ def assessed(documents: DataFrame, labels: DataFrame, trees: int = TREES, sample
     rules alone decide. The forest is grown on at most trees * sample rows, those that pass the base
     rules with the smallest hashes of (doc_id, text).
     """
-    spark = documents.sparkSession
-    stats = checkpointed(statistics(documents))
-    passing = stats.where(~base_failed()).select(F.xxhash64("doc_id", "text_key").alias("h"), *features())
-    drawn = passing.orderBy("h", *[f"f{i}" for i in range(N_FEATURES)]).limit(trees * sample).select([f"f{i}" for i in range(N_FEATURES)]).collect()
-    forest = spark.sparkContext.broadcast(Forest(np.array([tuple(r) for r in drawn], float).reshape(-1, N_FEATURES), trees, sample))
-    scored = stats.select("doc_id", "text_key", *COUNTS, *features()).mapInArrow(lambda it: _scored(it, forest.value), f"{_SCHEMA}, anomaly double")
-    threshold = calibrated(scored, labels, keep_good)
+    scored, _, threshold = fitted(checkpointed(statistics(documents)), labels, trees, sample, keep_good)
     return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold))
 
 
-def passing(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that the rules keep, with their columns."""
-    gone = assessed(documents, labels).where("not kept").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["_d"]) & (F.xxhash64(documents["text"]) == gone["_k"]), "left_anti")
+def _passing(batches: Iterator[pa.RecordBatch], forest: Forest, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        n_words, word_chars, n_symbols, _, n_repeat, _, n_upper = counted(batch.column("text"))
+        words, chars = np.maximum(n_words, 1), np.maximum(word_chars, 1)
+        x = np.stack([word_chars / words, n_symbols / words, n_symbols / chars, n_upper / chars], 1)
+        failed = (n_words < MIN_WORDS) | (100 * n_repeat > 50 * n_words)
+        yield batch.filter(pa.array(~failed & (forest.score(x) < threshold)))
+
+
+def passing(documents: DataFrame, labels: DataFrame, trees: int = TREES, sample: int = SAMPLE, keep_good: float = KEEP_GOOD) -> DataFrame:
+    """The rows of documents that the rules keep, with their columns. The statistics are taken a second
+    time where the rows are, which costs less than bringing decisions and texts together."""
+    _, forest, threshold = fitted(checkpointed(statistics(documents)), labels, trees, sample, keep_good)
+    sent = documents.sparkSession.sparkContext.broadcast(forest)
+    return documents.mapInArrow(lambda it: _passing(it, sent.value, threshold), documents.schema)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
