@@ -23,14 +23,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlab.llm.tables import fresh_dir, table
+from trajlab.llm.tables import Scratch, table
 from trajlab.llm.text import NOT_SPACE, Words, mix, slices, string_view
 
 #: remainders of crc32(doc_id) mod FOLDS: test documents, and training documents deleted to learn the weights
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: distinct n-grams that a hash range should have at most, roughly
-RANGE_KEYS = 2_000_000
+RANGE_KEYS = 1_000_000
 #: contexts are told apart by the octave of their frequency
 BUCKETS = 40
 #: steps of an octave in which the weights' training sees probabilities, and rounds of training
@@ -252,20 +252,16 @@ def scored(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     Repeated rows are documents of their own, counted each time. Without training documents every
     token is unknown and uniform.
     """
-    spark = documents.sparkSession
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % FOLDS
-    folder = fresh_dir(spark, "blocks")
-    documents.select("doc_id", fold.cast("int").alias("fold"), "text").mapInArrow(lambda it: _blocks(it, block_bytes), _BLOCK).withColumn("block", F.monotonically_increasing_id()).write.option("compression", "uncompressed").parquet(folder)
-    blocks = spark.read.parquet(folder)
+    scratch = Scratch(documents.sparkSession)
+    blocks = scratch.stored(documents.select("doc_id", fold.cast("int").alias("fold"), "text").mapInArrow(lambda it: _blocks(it, block_bytes), _BLOCK).withColumn("block", F.monotonically_increasing_id()), "blocks", "uncompressed")
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     # two n-grams a token, of about six bytes
     bits = max(0, int(np.ceil(np.log2(max(1, size / 3 / RANGE_KEYS)))))
 
     asked = blocks.select("block", "deleted", "folds", "lengths", "blob").mapInArrow(lambda it: _asked(it, bits), "range long, block long, deleted boolean, keys binary, counts binary")
     told = asked.repartition("range").sortWithinPartitions("range").mapInArrow(_answered, "block long, deleted boolean, range long, kept binary, all binary, sums array<long>")
-    answers_dir = fresh_dir(spark, "answers")
-    told.write.option("compression", "uncompressed").parquet(answers_dir)
-    told = spark.read.parquet(answers_dir)
+    told = scratch.stored(told, "answers", "uncompressed")
     sums = told.where("block = -1").select(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(4)]).first()
     kept_tokens, kept_vocabulary, tokens, vocabulary = (x or 0 for x in sums)
     answers = told.where("block >= 0").groupBy("block")
@@ -276,7 +272,8 @@ def scored(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     model = Model(tokens, vocabulary, weights)
     full = blocks.join(answers.agg(F.collect_list(F.struct("range", "all")).alias("answers")), "block")
-    return full.select("ids", "folds", "lengths", "blob", "answers").mapInArrow(lambda it: _scored(it, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = full.select("ids", "folds", "lengths", "blob", "answers").mapInArrow(lambda it: _scored(it, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scratch.result(scores)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
