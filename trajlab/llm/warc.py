@@ -172,8 +172,8 @@ def normalise(written_records: DataFrame, folder: str, min_bytes: int = MIN_REVI
     revisit numbers of one archive at a time, which FILE_BYTES bounds, and no page moves between tasks."""
     again = revisits(written_records, min_bytes).groupBy("file").agg(F.collect_list(F.struct("seq", "refers_to")).alias("again"))
     files = written_records.select("file").distinct().join(again, "file", "left").withColumn("again", F.coalesce("again", F.expr("cast(array() as array<struct<seq:bigint,refers_to:bigint>>)")))
-    # one archive a task as far as there are partitions
-    spread = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+    # dealt in turn, as a partitioning by file would be merged into the join's few, small partitions
+    spread = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return checkpointed(spread.mapInArrow(lambda it: _normalise(it, folder), "warc string, index string, n_records long"))
 
 
