@@ -6,8 +6,10 @@ bound of an earlier one, or equal to it, goes; the earliest stays.
 1. Equal lines are found by hash; each distinct line goes on once.
 2. Two lines within one word of each other agree in their first or in their
    last h words, for any h up to half of the shorter. Lines that share neither
-   with a distinct line have no neighbour; the others are fetched.
-3. Each fetched line emits all its variants with up to one word deleted, as
+   with a distinct line have no neighbour; the others are fetched. Of these, two
+   such lines agree but for an eighth around the edit, so lines that share no
+   such rest go as well.
+3. Each line left emits all its variants with up to one word deleted, as
    hashed keys. Equal variants meet: with the deletion at one place they are a
    substitution, with a whole line an insertion. A group keeps its earliest line
    (partial sums first), so a key with many lines makes no pairs.
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlab.llm.tables import fresh_dir, keyed, same_row, table
+from trajlab.llm.tables import Scratch, freed, keyed, same_row, table
 
 #: lines of fewer words stay
 MIN_WORDS = 8
@@ -43,6 +45,30 @@ def _half_keys(h: Column) -> Column:
     return F.when(n == 2 * k, F.array(*both(k), *both((k / 2).cast("int")))).otherwise(F.array(*both(k)))
 
 
+def _running(words: Column, kind: int) -> Column:
+    """Hashes of a line's first 0, 1, 2, .. words, as sums of word times place."""
+    own = F.transform(words, lambda w, j: F.pmod(F.pmod(F.xxhash64(w, F.lit(kind)), F.lit(1 << 31)) * F.pmod(F.xxhash64(j, F.lit(kind + 10)), F.lit(1 << 31)), F.lit(_MODULUS)))
+    zero = F.lit(0).cast("long")
+    return F.aggregate(own, F.struct(zero.alias("v"), F.array(zero).alias("all")), lambda acc, d: F.struct((acc["v"] + d).alias("v"), F.concat(acc["all"], F.array(acc["v"] + d)).alias("all")), lambda acc: acc["all"])
+
+
+def _window_keys(ahead: Column, behind: Column) -> Column:
+    """Hashes of a line but for a window of an eighth of it, at each place, in a line of m words: with m
+    its own length, and one less, as that of the shorter line of a pair. Two lines that differ in a word
+    agree on the rest of the window around it. ahead, behind: running hashes from either end."""
+    n = F.size(ahead) - 1
+
+    def of(m: Column) -> Column:
+        step = F.pow(F.lit(2), F.floor(F.log2(F.greatest(m / 8, F.lit(1.0))) + 1e-9)).cast("int")
+
+        def key(j: Column) -> Column:
+            return F.xxhash64(m, j, F.get(ahead, j * step), F.get(behind, F.greatest(m - (j + 1) * step, F.lit(0))))
+
+        return F.transform(F.sequence(F.lit(0), F.ceil(m / step).cast("int") - 1), key)
+
+    return F.concat(of(n), of(n - 1))
+
+
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """at (doc_id null last, doc_id, text_key, line), id (two hashes of the words) and half keys of each line."""
     line = docs.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line", "s"))
@@ -84,6 +110,25 @@ def _one_edit(a: Column, b: Column, place: Column) -> Column:
     return (F.size(longer) - F.size(shorter) <= 1) & before & behind
 
 
+def _candidates(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """id, at and words of the distinct lines that share their first or last words with another. A
+    document that repeats as a row brings its lines more than once."""
+    keys = firsts.select("id", "at", F.explode("keys").alias("key"))
+    crowded = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    near = keys.join(crowded, "key").select("id", "at").distinct()
+    wanted = near.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")).agg(F.collect_list(F.struct("id", "at")).alias("wanted"))
+    fetched = docs.join(wanted.hint("merge"), same_row(docs, wanted)).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    return fetched.select("w.id", "w.at", line_words(F.element_at("lines", F.col("w.at.line") + 1)).alias("words"))
+
+
+def _alike(candidates: DataFrame, stored) -> DataFrame:
+    """The candidates that agree with another but for a window of an eighth."""
+    sums = candidates.select("id", _running(F.col("words"), 3).alias("ahead"), _running(F.reverse("words"), 3).alias("behind"))
+    windows = stored(sums.select("id", F.explode(_window_keys(F.col("ahead"), F.col("behind"))).alias("key")), "windows")
+    met = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return candidates.join(windows.join(met, "key").select("id").distinct(), "id")
+
+
 def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_key and the numbers (from 0) of the lines that go, for the rows that lose any.
 
@@ -91,24 +136,17 @@ def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     or empty text has no line of min_words words. Rows equal in doc_id and text are one document: their
     lines don't repeat each other.
     """
-    spark = documents.sparkSession
     docs = keyed(documents)
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        folder = fresh_dir(spark, name)
-        df.write.option("compression", "zstd").parquet(folder)
-        return spark.read.parquet(folder)
+    scratch = Scratch(documents.sparkSession)
+    stored = scratch.stored
 
     lines = stored(_lines(docs, min_words), "lines")
     firsts = stored(lines.groupBy("id").agg(F.min("at").alias("at"), F.first("keys").alias("keys")), "first-lines")
 
-    keys = firsts.select("id", "at", F.explode("keys").alias("key"))
-    crowded = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    near = keys.join(crowded, "key").select("id", "at").distinct()
-    wanted = near.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")).agg(F.collect_list(F.struct("id", "at")).alias("wanted"))
-    # a document that repeats as a row brings its lines more than once
-    fetched = docs.join(wanted, same_row(docs, wanted)).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    candidates = stored(fetched.select("w.id", "w.at", line_words(F.element_at("lines", F.col("w.at.line") + 1)).alias("words")).distinct(), "candidates")
+    candidates = stored(_candidates(docs, firsts), "candidates")
+    freed(documents.sparkSession)
+    candidates = stored(_alike(candidates, stored).distinct(), "alike")
+    freed(documents.sparkSession)
 
     hashed = candidates.select("id", "at", F.arrays_zip(_variants(F.col("words"), 1).alias("u"), _variants(F.col("words"), 2).alias("v")).alias("variants"), _whole(F.col("words"), 1).alias("u"), _whole(F.col("words"), 2).alias("v"))
     gaps = stored(hashed.select("id", "at", F.posexplode("variants").alias("gap", "key")).select("id", "at", (F.col("gap") + 1).alias("place"), F.col("key.u").alias("u"), F.col("key.v").alias("v")), "variants")
@@ -127,7 +165,8 @@ def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
 
     kept = firsts.select("id", F.col("at").alias("first")).join(verified, "id", "left")
     gone = lines.select("id", "at").join(kept, "id").where(F.coalesce("near", F.lit(False)) | (F.col("at") != F.col("first")))
-    return gone.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")).agg(F.array_sort(F.collect_set("at.line")).alias("dropped"))
+    by_row = gone.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")).agg(F.array_sort(F.collect_set("at.line")).alias("dropped"))
+    return scratch.result(by_row)
 
 
 def without_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -135,12 +174,13 @@ def without_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     to date for those texts, and two columns more: _n_lines and _n_removed. A text that loses all lines
     is empty; a null one stays null, with no lines."""
     gone = dropped_lines(documents, min_words)
-    base = documents.withColumn("_key", F.xxhash64("text"))
-    joined = base.join(gone.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("dropped").alias("_dropped")), base["doc_id"].eqNullSafe(F.col("_d")) & (base["_key"] == F.col("_k")), "left")
+    freed(documents.sparkSession)
+    base = documents.withColumn("trajlab_key", F.xxhash64("text"))
+    joined = base.join(gone.select(F.col("doc_id").alias("trajlab_d"), F.col("text_key").alias("trajlab_k"), F.col("dropped").alias("trajlab_dropped")).hint("merge"), base["doc_id"].eqNullSafe(F.col("trajlab_d")) & (base["trajlab_key"] == F.col("trajlab_k")), "left")
     lines = F.split("text", "\n")
-    cut = F.array_join(F.filter(lines, lambda s, i: ~F.array_contains("_dropped", i)), "\n")
-    out = joined.withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn("_n_removed", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
-    touched = F.col("_dropped").isNotNull()
+    cut = F.array_join(F.filter(lines, lambda s, i: ~F.array_contains("trajlab_dropped", i)), "\n")
+    out = joined.withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn("_n_removed", F.coalesce(F.size("trajlab_dropped"), F.lit(0)).cast("long"))
+    touched = F.col("trajlab_dropped").isNotNull()
     out = out.withColumn("text", F.when(touched, cut).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(touched, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
