@@ -54,7 +54,12 @@ class PieceModel:
             raise ValueError("a piece holds a white-space mark after another character")
         self.longest = max(map(len, self.score))
         self.penalty = min(s for s, _ in self.score.values()) - UNKNOWN
-        self.units = UnitStore(self._encode_units)
+        #: beginnings of pieces, past which no longer one can follow
+        self.begins = {x[:k] for x in self.score for k in range(1, len(x) + 1)}
+        #: what each id decodes to
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else x.replace(MARK, " ").encode() for i, x in enumerate(self.piece)]
+        self.units = UnitStore(self._encode_units, most_units=400_000, most_ids=4_000_000)
+        self.scores: dict[str, float] = {}
 
     def normal(self, text: str) -> str:
         """The text with marks for spaces and one in front; empty stays empty."""
@@ -63,11 +68,13 @@ class PieceModel:
     def steps(self, s: str, i: int) -> list[tuple[int, float]]:
         """(end, score) of every piece that starts at i. A piece of one character always exists, if need
         be an unknown one."""
-        get, out = self.score.get, []
+        get, begins, out = self.score.get, self.begins, []
         for j in range(i + 1, min(len(s), i + self.longest) + 1):
-            found = get(s[i:j])
+            found = get(x := s[i:j])
             if found:
                 out.append((j, found[0]))
+            elif x not in begins:
+                break
         if not out or out[0][0] != i + 1:
             out.append((i + 1, self.penalty))
         return out
@@ -103,17 +110,49 @@ class PieceModel:
         return out[::-1]
 
     def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [[i for p in self.traced(u, 0, len(u)) for i in self.ids_of(p)] for u in units]
-        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+        """As traced(), in one loop a unit."""
+        get, begins, penalty, longest = self.score.get, self.begins, self.penalty, self.longest
+        flat, counts = [], []
+        for u in units:
+            n = len(u)
+            score, before = [0.0] + [NONE] * n, [0] * (n + 1)
+            for i in range(n):
+                here, alone = score[i], True
+                for j in range(i + 1, min(n, i + longest) + 1):
+                    found = get(x := u[i:j])
+                    if found:
+                        if j == i + 1:
+                            alone = False
+                        if here + found[0] > score[j]:
+                            score[j], before[j] = here + found[0], i
+                    elif x not in begins:
+                        break
+                if alone and here + penalty > score[i + 1]:
+                    score[i + 1], before[i + 1] = here + penalty, i
+            out, end = [], n
+            while end:
+                i = before[end]
+                found = get(u[i:end])
+                if found:
+                    out.append(found[1])
+                else:
+                    out += reversed(self.ids_of(u[i:end]))
+                end = i
+            flat += reversed(out)
+            counts.append(len(out))
+        return np.array(flat, np.int32), np.array(counts, np.int64)
 
     def unit_score(self, unit: str) -> float:
-        return self.best(unit, 0, len(unit))[0][-1]
+        found = self.scores.get(unit)
+        if found is None:
+            if len(self.scores) > 500_000:
+                self.scores.clear()
+            found = self.scores[unit] = self.best(unit, 0, len(unit))[0][-1]
+        return found
 
     def decode(self, ids: list[int]) -> str:
         """The text whose ids these are: bytes are joined, marks are spaces, the first one goes."""
-        out: list[bytes] = [bytes([self.byte_of[i]]) if i in self.byte_of else self.piece[i].encode() for i in ids]
-        text = b"".join(out).decode(errors="replace").replace(MARK, " ")
-        return text[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")[1:]
 
 
 _MODELS: dict[str, PieceModel] = {}
@@ -130,6 +169,8 @@ def units(s: str) -> list[str]:
     """Runs of marks with what follows them; the first may lack its marks."""
     out = []
     parts = s.split(MARK)
+    if not parts[0] and all(parts[1:]):
+        return [MARK + p for p in parts[1:]]
     if parts[0]:
         out.append(parts[0])
     marks = 0
@@ -143,10 +184,11 @@ def units(s: str) -> list[str]:
     return out
 
 
-def borders(s: str) -> tuple[int, int]:
-    """First and last position of s where a unit opens (a mark behind another character); -1 if none."""
-    first = next((i for i in range(1, len(s)) if s[i] == MARK and s[i - 1] != MARK), -1)
-    last = next((i for i in range(len(s) - 1, 0, -1) if s[i] == MARK and s[i - 1] != MARK), -1)
+def borders(s: str, least: int = 1) -> tuple[int, int]:
+    """First (from `least` on) and last position of s where a unit opens (a mark behind another
+    character); -1 if none."""
+    first = next((i for i in range(max(1, least), len(s)) if s[i] == MARK and s[i - 1] != MARK), -1)
+    last = next((i for i in range(len(s) - 1, max(1, least) - 1, -1) if s[i] == MARK and s[i - 1] != MARK), -1)
     return first, last
 
 
@@ -156,9 +198,7 @@ def transfer(m: PieceModel, chunk: str, ahead: str) -> np.ndarray:
     width = m.longest
     s, n = chunk + ahead, len(chunk)
     out = np.full((width, width), NONE)
-    first, last = borders(chunk)
-    if first < 0 or first < width or n - last < 1:
-        first = last = -1
+    first, last = borders(chunk, width)  # behind whatever reaches in
     if first < 0:
         for i in range(min(width, n + 1)):
             score, _ = m.best(s, i, len(s))
@@ -199,9 +239,7 @@ def _encode_chunk(m: PieceModel, chunk: str, ahead: str, entry: int, out: int) -
     s, n = chunk + ahead[:out], len(chunk)
     if entry >= n:
         return np.empty(0, np.int32)
-    first, last = borders(chunk)
-    if first < 0 or first < entry:
-        first = last = -1
+    first, last = borders(chunk, m.longest)
     parts: list[np.ndarray] = []
 
     def traced(text: str) -> np.ndarray:
@@ -282,7 +320,8 @@ def encoded(documents: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFr
     giant = F.length("text") >= chunk  # the mark in front counts
     short = docs.where(~F.coalesce(giant, F.lit(False))).mapInArrow(lambda it: _short(it, model_path), _ENCODED)
     cut = docs.where(giant).mapInArrow(lambda it: _cut(it, model_path, chunk), "doc_id long, text_key long, chunk int, text string, ahead string")
-    chunks = cut.repartition("doc_id", "text_key", "chunk")
+    # few bytes, much work: a number of partitions of its own, so that they aren't merged by size
+    chunks = cut.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "text_key", "chunk")
     key = ["doc_id", "text_key", "chunk"]
     matrices = chunks.mapInArrow(lambda it: _transferred(it, model_path), "doc_id long, text_key long, chunk int, matrix binary")
     reach = matrices.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("chunk", "matrix")).alias("chunks")).mapInArrow(_joined, "doc_id long, text_key long, chunk int, entry int, exit int")
@@ -307,12 +346,20 @@ def decoded(encodings: DataFrame, model_path: str) -> DataFrame:
     return encodings.select("doc_id", "text_key", "ids").mapInArrow(lambda it: _decoded(it, model_path), _ENCODED + ", text string")
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """n_pieces, ids_crc32, the digest of the decoded text, and whether it is the text of text_key."""
+    m = model(path)
     for batch in batches:
-        ids, offsets = batch.column("ids").flatten().to_numpy().astype("<u4"), batch.column("ids").offsets.to_numpy()
-        raw, offsets = memoryview(ids.tobytes()), offsets - offsets[0]
-        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64()), batch.column("text")], ["doc_id", "text_key", "n_pieces", "ids_crc32", "text"])
+        for k in range(0, batch.num_rows, 512):
+            part = batch.slice(k, 512)
+            column = part.column("ids")
+            offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
+            ids = column.flatten().to_numpy()
+            raw = memoryview(ids.astype("<u4").tobytes())
+            ranges = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in ranges]
+            text = [m.decode(ids[a:b].tolist()) for a, b in ranges]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64()), pa.array(text)], ["doc_id", "text_key", "n_pieces", "ids_crc32", "text"])
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,6 +367,6 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    back = decoded(encoded(table(spark, sf_dir, "documents"), path), path)
-    rows = back.mapInArrow(_digest, "doc_id long, text_key long, n_pieces long, ids_crc32 long, text string")
+    # decoding and its digest in one pass, as each pass is a Python process more
+    rows = encoded(table(spark, sf_dir, "documents"), path).mapInArrow(lambda it: _digest(it, path), "doc_id long, text_key long, n_pieces long, ids_crc32 long, text string")
     return rows.select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"), (F.xxhash64("text") == F.when(F.col("n_pieces") > 0, F.col("text_key")).otherwise(F.xxhash64(F.lit("")))).alias("round_trip"))
