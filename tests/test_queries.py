@@ -23,7 +23,7 @@ def duck():
 
 def told(df: pd.DataFrame) -> list[tuple]:
     def one(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
         return str(v) if isinstance(v, (str, bool)) else repr(round(float(v), 6) + 0.0)
 
