@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from trajlab.llm import decontaminate, line_dedup, near_dedup, pieces, quality
 from trajlab.llm.tables import fresh_dir, table
 
+#: least similarity, in hundredths, of two documents of a group; op4 alone has 85 as its contract
+NEAR_PERCENT = 80
 #: SQL can't state the isolation forest or the piece encoding.
 ORACLE_SQL = None
 
@@ -29,7 +31,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
-    return near_dedup.representatives(docs)
+    return near_dedup.representatives(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,20 @@ def test_groups(spark, bucket, chunk):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
 
 
+def test_pipeline_links_at_80(spark):
+    def edited(t, *places):
+        return " ".join(f"new{i}" if i in places else w for i, w in enumerate(t.split()))
+
+    t = [" ".join(f"{c}{i}" for i in range(104)) for c in "ab"]
+    rows = [(1, t[0]), (2, edited(t[0], 30, 60)), (3, t[1]), (4, edited(t[1], 30, 60, 90))]
+    sets = [shingles(x) for _, x in rows]
+    alike = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in (0, 2)]
+    assert 0.81 < alike[0] < 0.82 and alike[1] < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [1, 3, 4]
+    assert sorted(r.doc_id for r in near_dedup.representatives(docs).collect()) == [1, 2, 3, 4]
+
+
 def test_labels(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (3, 9), (4, 7), (4, 8), (5, 5)], "g int, node int")
     assert {r.node: r.label for r in labelled(df).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 7: 7, 8: 7, 5: 5}

@@ -11,7 +11,7 @@
 5. What the tasks connected is connected over all tasks.
 
 The bands miss a pair at the threshold with probability (1 - s**4)**32, under
-1e-10 at 0.85; what they and the sketches propose is decided on full sets.
+1e-10 at 0.85 and 5e-8 at 0.80; what they and the sketches propose is decided on full sets.
 """
 
 from __future__ import annotations
