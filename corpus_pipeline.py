@@ -25,8 +25,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines within a word of an earlier one are cut; documents stay, if need be with an empty text."""
-    return line_dedup.without_lines(docs).drop("_n_lines", "_n_removed")
+    """Lines equal to an earlier one are cut at every length, those within a word of it from 8 words on;
+    documents stay, if need be with an empty text."""
+    return line_dedup.without_lines(docs, equal_words=1).drop("_n_lines", "_n_removed")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

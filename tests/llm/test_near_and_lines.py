@@ -95,6 +95,15 @@ def test_lines(spark):
     assert sorted((str(r.doc_id), r.text) for r in got.collect() if r.text is not None) == sorted(x for x in want if x[1] is not None)
 
 
+def test_pipeline_cuts_short_equal_lines(spark):
+    w = [f"w{i}" for i in range(9)]
+    near = " ".join(w[:4] + ["new"] + w[5:])
+    rows = [(1, "Home\n\nread more\n" + " ".join(w)), (2, "read  more\n\n}\n" + near + "\nread some more"), (3, "Home"), (4, "} \n" + " ".join(w[:7])), (5, " ".join(w[:6])), (None, "Home\nlast"), (6, None), (7, " \n\n")]
+    df = spark.createDataFrame([(d, x, 0) for d, x in rows], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, df, "").collect()}
+    assert got == {1: rows[0][1], 2: "\n}\nread some more", 3: "", 4: " ".join(w[:7]), 5: " ".join(w[:6]), None: "last", 6: None, 7: " \n\n"}
+
+
 def test_no_python_in_line_dedup(spark):
     plan = line_dedup.without_lines(cases.documents(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

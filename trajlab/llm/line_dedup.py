@@ -1,7 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame functions only.
 
 Lines are compared as words, with an edit bound of one word. A line within the
-bound of an earlier one, or equal to it, goes; the earliest stays.
+bound of an earlier one, or equal to it, goes; the earliest stays. The edit
+bound holds for lines of some length on (min_words); equal lines may be found
+from a lesser one on (equal_words).
 
 1. Equal lines are found by hash; each distinct line goes on once.
 2. Two lines within one word of each other agree in their first or in their
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from trajlab.llm.tables import Scratch, freed, keyed, same_row, table
 
-#: lines of fewer words stay
+#: lines of fewer words are compared with no other for an edit
 MIN_WORDS = 8
 #: variants' hashes are sums of word times place, modulo this, for each of two independent kinds
 _MODULUS = 1 << 40
@@ -69,12 +71,16 @@ def _window_keys(ahead: Column, behind: Column) -> Column:
     return F.concat(of(n), of(n - 1))
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """at (doc_id null last, doc_id, text_key, line), id (two hashes of the words) and half keys of each line."""
+def _lines(docs: DataFrame, min_words: int, equal_words: int) -> DataFrame:
+    """at (doc_id null last, doc_id, text_key, line), id (two hashes of the words) and half keys of each
+    line of equal_words words or more; one of fewer than min_words has no half keys."""
     line = docs.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    hashed = line.withColumn("h", F.transform(line_words(F.col("s")), lambda w: F.xxhash64(w))).where(F.size("h") >= min_words)
+    hashed = line.withColumn("h", F.transform(line_words(F.col("s")), lambda w: F.xxhash64(w))).where(F.size("h") >= min(min_words, equal_words))
+    keys = _half_keys(F.col("h"))
+    if equal_words < min_words:
+        keys = F.when(F.size("h") >= min_words, keys).otherwise(F.array().cast("array<bigint>"))
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "line")
-    return hashed.select(at.alias("at"), F.struct(F.xxhash64("h").alias("x"), F.xxhash64(F.lit(1), "h").alias("y")).alias("id"), _half_keys(F.col("h")).alias("keys"))
+    return hashed.select(at.alias("at"), F.struct(F.xxhash64("h").alias("x"), F.xxhash64(F.lit(1), "h").alias("y")).alias("id"), keys.alias("keys"))
 
 
 def _variants(words: Column, kind: int) -> Column:
@@ -129,18 +135,19 @@ def _alike(candidates: DataFrame, stored) -> DataFrame:
     return candidates.join(windows.join(met, "key").select("id").distinct(), "id")
 
 
-def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS, equal_words: int | None = None) -> DataFrame:
     """doc_id, text_key and the numbers (from 0) of the lines that go, for the rows that lose any.
 
-    Lines end at line feeds; their order is (doc_id, hash of the text, line), null doc_ids last. A null
-    or empty text has no line of min_words words. Rows equal in doc_id and text are one document: their
+    Lines of min_words words or more go if within a word of an earlier one; those of equal_words (by
+    default min_words too) or more if equal to an earlier one. A line without words always stays.
+    Lines end at line feeds; their order is (doc_id, hash of the text, line), null doc_ids last. Rows equal in doc_id and text are one document: their
     lines don't repeat each other.
     """
     docs = keyed(documents)
     scratch = Scratch(documents.sparkSession)
     stored = scratch.stored
 
-    lines = stored(_lines(docs, min_words), "lines")
+    lines = stored(_lines(docs, min_words, min_words if equal_words is None else max(equal_words, 1)), "lines")
     firsts = stored(lines.groupBy("id").agg(F.min("at").alias("at"), F.first("keys").alias("keys")), "first-lines")
 
     candidates = stored(_candidates(docs, firsts), "candidates")
@@ -169,11 +176,11 @@ def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     return scratch.result(by_row)
 
 
-def without_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def without_lines(documents: DataFrame, min_words: int = MIN_WORDS, equal_words: int | None = None) -> DataFrame:
     """documents with the lines that go cut from text, n_chars (where there is such a column) brought up
     to date for those texts, and two columns more: _n_lines and _n_removed. A text that loses all lines
     is empty; a null one stays null, with no lines."""
-    gone = dropped_lines(documents, min_words)
+    gone = dropped_lines(documents, min_words, equal_words)
     freed(documents.sparkSession)
     base = documents.withColumn("trajlab_key", F.xxhash64("text"))
     joined = base.join(gone.select(F.col("doc_id").alias("trajlab_d"), F.col("text_key").alias("trajlab_k"), F.col("dropped").alias("trajlab_dropped")).hint("merge"), base["doc_id"].eqNullSafe(F.col("trajlab_d")) & (base["trajlab_key"] == F.col("trajlab_k")), "left")
