@@ -12,6 +12,7 @@ import pytest
 
 from tests.llm import cases
 from trajlab.llm import decontaminate, lm_score, pieces, quality, token_files, warc
+from trajlab.llm.suffixes import suffix_array
 
 
 def test_statistics(spark):
@@ -192,3 +193,36 @@ def test_decontamination(spark):
     kept = decontaminate.decontaminate(cases.documents(spark, 6), bench).collect()
     assert sorted(str(r.doc_id) for r in kept) == sorted(d for d, _, n, _ in want if not n)
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_decontamination_in_pieces():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 4, k)) for k in (300, 0, 40, 700, 3)]
+    items = [" ".join(texts[0].split()[50:90]), " ".join(texts[3].split()[-14:]), "w1 w2 w3", texts[2] + " w1 w9"]
+    test = decontaminate.TestBlock([1, 2, 3, None], items, 10)
+    shard = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    want = sorted(zip(*(x.tolist() for x in decontaminate._search(shard, test)[1:])))
+    assert max(x[3] for x in want) == 40
+    for piece in (20, 64, 97, 500):
+        assert sorted(zip(*(x.tolist() for x in decontaminate._search(shard, test, piece)[1:]))) == want
+
+
+def test_decontamination_of_a_text_of_many_words():
+    rng = np.random.default_rng(6)
+    base = [f"{x}" for x in rng.integers(0, 90, 1000)]
+    n = 3000
+    # the second item knows every word and is hit nowhere
+    test = decontaminate.TestBlock([7, 8], [" ".join(base[200:260]), " ".join(map(str, range(90)))], 10)
+    shard = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([" ".join(base * n)])], ["doc_id", "text_key", "text"])
+    (got,) = [b.to_pylist()[0] for b in decontaminate._scan(test, iter([shard]), 8 << 20)]
+    assert got["n_words"] == 1000 * n > 1 << 21 and got["longest"] == 60 and got["items"] == [7]
+    assert got["starts"] == [200 + 1000 * i for i in range(n)] and got["ends"] == [260 + 1000 * i for i in range(n)]
+
+
+def test_suffix_array_of_many_symbols():
+    s = np.append(np.tile([*range(1, 65), 0], (3 << 20) // 64), 3)
+    array = suffix_array(s, 40)
+    assert len(array) == np.count_nonzero(s) and len(s) > 1 << 21
+    # a lone 3 comes before every 3, 4, ..; suffixes alike stay in text order
+    want = np.concatenate([np.r_[[len(s) - 1] if x == 3 else [], np.flatnonzero(s[:-1] == x)] for x in range(1, 65)])
+    assert np.array_equal(array, want)

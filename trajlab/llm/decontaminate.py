@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlab.llm.suffixes import bounds, suffix_array
+from trajlab.llm.suffixes import MOST, bounds, suffix_array
 from trajlab.llm.tables import keyed, table
 from trajlab.llm.text import ALNUM, Words, gathered
 
@@ -46,19 +46,9 @@ class TestBlock:
         self.window = np.where(self.left >= n, n, np.where(short, self.left, 0))
 
 
-def _search(shard: pa.RecordBatch, test: TestBlock) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a shard: its words; then, for each window found, position, words, item and longest match."""
-    w = Words(shard.column("text"), ALNUM, lower=True)
-    none = np.empty(0, np.int64)
-    if not len(w.starts) or not len(test.vocabulary):
-        return w, none, none, none, none
-    h = w.hashes()
-    at = np.minimum(np.searchsorted(test.vocabulary, h), len(test.vocabulary) - 1)
-    known = np.where(test.vocabulary[at] == h, at + 1, 0)
-    # a terminator behind each document's words; a word that no item has ends a string as well
-    row = w.row_of_word()
-    symbols = np.zeros(len(h) + len(w.rows), np.int64)
-    symbols[np.arange(len(h)) + row] = known
+def _windows(symbols: np.ndarray, own: int, test: TestBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window found among the first `own` symbols: position, words, item and longest match.
+    symbols end with a terminator."""
     array = suffix_array(symbols, int(test.left.max()))
     query = np.arange(len(test.start))
     lo, hi = np.zeros(len(query), np.int64), np.full(len(query), len(array))
@@ -78,13 +68,42 @@ def _search(shard: pa.RecordBatch, test: TestBlock) -> tuple[Words, np.ndarray,
                 places = array[np.repeat(lo[need] - np.cumsum(n) + n, n) + np.arange(n.sum())]
                 longest[places] = depth
                 if keep:
-                    found.append((places, np.repeat(test.window[query[need]], n), np.repeat(test.item[query[need]], n)))
+                    mine = places < own
+                    found.append((places[mine], np.repeat(test.window[query[need]], n)[mine], np.repeat(test.item[query[need]], n)[mine]))
         more = test.left[query] > depth
         query, lo, hi = query[more], lo[more], hi[more]
+    places, length, item = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 3
+    return places, length, item, longest[places]
+
+
+def _search(shard: pa.RecordBatch, test: TestBlock, piece: int = MOST) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For a shard: its words; then, for each window found, position, words, item and longest match.
+
+    A suffix array takes `piece` words and terminators. More of them go in pieces, each read on for the
+    longest benchmark suffix less a word, so that whatever starts in a piece of its own is seen whole.
+    """
+    w = Words(shard.column("text"), ALNUM, lower=True)
+    none = np.empty(0, np.int64)
+    if not len(w.starts) or not len(test.vocabulary):
+        return w, none, none, none, none
+    h = w.hashes()
+    at = np.minimum(np.searchsorted(test.vocabulary, h), len(test.vocabulary) - 1)
+    known = np.where(test.vocabulary[at] == h, at + 1, 0)
+    # a terminator behind each document's words; a word that no item has ends a string as well
+    symbols = np.zeros(len(h) + len(w.rows), np.int64)
+    symbols[np.arange(len(h)) + w.row_of_word()] = known
+    ahead = int(test.left.max()) - 1
+    # where the longest suffix itself nears a piece, pieces are longer instead of ever more
+    own = len(symbols) if len(symbols) <= piece else max(piece - ahead - 1, piece // 2)
+    found = []
+    for a in range(0, len(symbols), own):
+        part = symbols[a : a + own + ahead]
+        if part.any():
+            place, *more = _windows(part if part[-1] == 0 else np.append(part, 0), own, test)
+            found.append((place + a, *more))
     if not found:
         return w, none, none, none, none
-    places, length, item = (np.concatenate(x) for x in zip(*found, strict=True))
-    best = longest[places]
+    places, length, item, best = (np.concatenate(x) for x in zip(*found, strict=True))
     # back to word positions without the terminators
     word = places - np.searchsorted(w.rows[1:] + np.arange(len(w.rows) - 1), places, "right")
     return w, word, length, item, best
@@ -140,7 +159,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, n: int = N, block_bytes:
 
     A null or empty text has no words and no hits. Repeated rows are reported once each.
     An item with a null id marks words but isn't listed. An empty benchmark hits nothing.
-    Texts that alone exceed a shard are a shard of their own; no text is cut.
+    Texts that alone exceed a shard are a shard of their own. A shard of too many words for a suffix
+    array has several, over pieces that overlap, so no match is cut.
     """
     spark = documents.sparkSession
     docs = keyed(documents)

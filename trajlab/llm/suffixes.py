@@ -13,7 +13,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Positions of non-zero symbols in the order of the suffixes that start there.
 
     Suffixes are told apart by their first `depth` symbols at least; those alike
-    stay in text order. symbols: under 2**21, fewer than 2**21 of them.
+    stay in text order. Fewer than 2**21 symbols sort by packed keys, more of them column by column.
     """
     n = len(symbols)
     width = max(1, int(symbols.max(initial=0)).bit_length())
@@ -46,12 +46,17 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         if not after.any():
             break
         # slots ascend by group, so the sorted members fill the same slots; the index keeps ties in order
-        packed = np.sort((group[slots] << 2 * BITS) | (after << BITS) | np.arange(len(p)))
-        q = p[packed & MOST]
-        head = packed >> BITS
+        new = np.ones(len(p), bool)
+        if n <= MOST:
+            packed = np.sort((group[slots] << 2 * BITS) | (after << BITS) | np.arange(len(p)))
+            q = p[packed & MOST]
+            head = packed >> BITS
+            new[1:] = head[1:] != head[:-1]
+        else:
+            order = np.lexsort((after, group[slots]))
+            q, one, two = p[order], group[slots][order], after[order]
+            new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
         pos[slots] = q
-        new = np.ones(len(q), bool)
-        new[1:] = head[1:] != head[:-1]
         fresh[slots] = new
         group[slots] = np.maximum.accumulate(np.where(new, slots, 0))
         rank[q] = group[slots] + 1
