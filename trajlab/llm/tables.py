@@ -50,27 +50,56 @@ def keyed(documents: DataFrame, *more: str) -> DataFrame:
     return documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text", *more)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind them until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def same_row(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
 
 class Scratch:
-    """Tables that an operator keeps in the shared folder while it runs, to cut lineage."""
+    """Tables that an operator keeps in the shared folder while it runs, to cut lineage. As a context it
+    removes what is left of them, also when a step fails."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folders = spark, []
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*self.folders)
+
     def stored(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         folder = fresh_dir(self.spark, name)
         self.folders.append(folder)
         df.write.option("compression", codec).parquet(folder)
         return self.spark.read.parquet(folder)
 
+    def drop(self, *tables: DataFrame | str) -> None:
+        """Remove tables, given as read or by folder, that no later step reads."""
+        for x in tables:
+            folders = [x] if isinstance(x, str) else [f for f in self.folders if any(f.rpartition("/")[2] in g for g in x.inputFiles()[:1])]
+            for folder in folders:
+                removed(self.spark, folder)
+                self.folders.remove(folder)
+
     def result(self, df: DataFrame) -> DataFrame:
         """The rows of df, computed now; the tables go."""
         kept = checkpointed(df)
-        for folder in self.folders:
-            removed(self.spark, folder)
+        self.drop(*self.folders)
         return kept
 
 

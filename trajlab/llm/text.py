@@ -9,6 +9,8 @@ same words as the equivalent regular expression over code points.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,6 +157,14 @@ class Words:
         return range_hashes(self.data, self.starts, self.ends)
 
 
+def trimmed() -> None:
+    """Give freed memory back to the system at the end of a task: Python workers stay, and their memory
+    counts beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows with their text compressed, for a shuffle: column `text` becomes binary `blob`, a null stays one."""
     squeeze = zstandard.ZstdCompressor(level=1)

@@ -1,10 +1,11 @@
 """Token ids as canonical, length-limited Huffman files.
 
-The documents are put in doc_id order by ranges, encoded, and their ids kept as
-a table. Global counts of the ids (at most one row an id reach the driver) give
-the code; tasks then write their ranges as files of independent blocks with the
-bit offset of each, and tasks read the files back, decoding all blocks of a
-chunk side by side with one table look-up a token.
+The documents are encoded where they are read and their ids kept as a table.
+Global counts of the ids (at most one row an id of the vocabulary reach the
+driver) give the code. The ids then go in doc_id order by ranges, and tasks write
+their ranges as files of independent blocks with the bit offset of each; sums
+over the list of files number the tokens of all ranges. Tasks read the files
+back, decoding all blocks of a chunk side by side with one table look-up a token.
 """
 
 from __future__ import annotations
@@ -17,22 +18,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajlab.llm.files import located, written
-from trajlab.llm.tables import Scratch, fresh_dir, keyed, parts_for, table
-from trajlab.llm.text import gathered, string_view
-from trajlab.llm.units import UnitStore
+from trajlab.llm.files import located, removed, written
+from trajlab.llm.tables import Scratch, checkpointed, fresh_dir, keyed, parts_for, table
+from trajlab.llm.text import gathered, string_view, trimmed
+from trajlab.llm.units import UnitStore, split_at_spaces
 
 END_ID = 0
-#: longest code in bits; ids under 2**16, whose codes 16 bits can always hold
+#: longest code in bits; more where the ids in use are too many for it
 LIMIT = 16
+#: text bytes encoded at a time
+ENCODE_BYTES = 3 << 20
+#: units given to the library at a time
+UNITS = 20_000
 #: tokens of a block, whose first bit the file notes
 BLOCK = 512
 #: tokens coded at a time, and tokens of a file
 CHUNK, FILE_TOKENS = 1 << 20, 1 << 25
-#: text bytes of a doc_id range
+#: bytes of ids, four an id, of a doc_id range
 RANGE_BYTES = 32 << 20
 MAGIC = b"TLHUFF01"
 
@@ -54,18 +59,31 @@ class ByteLevelEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # the byte-level alphabet writes a space as this letter
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.inner = UnitStore(self._inner)
-        self.first = UnitStore(lambda units: self._each(units), most_units=100_000)
+        self.inner = UnitStore(self._inner, most_units=600_000, most_ids=3_000_000)
+        self.first = UnitStore(self._each, most_units=100_000)
+
+    def shrink(self) -> None:
+        """Between tasks a worker keeps only stores of a bounded size."""
+        for store in (self.inner, self.first):
+            if store.n > 300_000:
+                store.clear()
+        trimmed()
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+        return np.concatenate([np.array(x, np.int32) for x in ids]), np.array([len(x) for x in ids], np.int64)
 
     def _inner(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        some = [self._spaced(units[k : k + UNITS]) for k in range(0, len(units), UNITS)]
+        return np.concatenate([x for x, _ in some]), np.concatenate([n for _, n in some])
+
+    def _spaced(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Units that follow a space: joined, they are one text whose tokens with a leading space open them."""
-        if not any(" " in u for u in units):
-            ids = np.array(self.tokenizer.encode("".join(f" {u}" for u in units), add_special_tokens=False).ids, np.int32)
+        joined = "".join([f" {u}" for u in units])
+        if joined.count(" ") == len(units):
+            ids = self._each([joined])[0]
             opening = np.flatnonzero(self.opens[ids])
             if len(opening) == len(units) and opening[0] == 0:
                 return ids, np.diff(np.append(opening, len(ids)))
@@ -74,31 +92,41 @@ class ByteLevelEncoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text; a null text has none."""
         data, offsets = string_view(column)
-        regular = self._regular(data, offsets)
-        units, firsts, counts = [], [], []
-        for text, plain in zip(column.to_pylist(), regular, strict=True):
-            if not text:
-                counts.append(0)
-                continue
-            parts = text.split(" ") if plain else _CUT.split(text)
-            firsts.append(parts[0])
-            units += parts[1:]
-            counts.append(len(parts))
-        counts = np.array(counts, np.int64)
-        head, head_n = self.first.ids(firsts)
-        body, body_n = self.inner.ids(units)
-        # put each text's first unit before its others
-        n_units = int(counts.sum())
-        is_first = np.zeros(n_units, bool)
-        is_first[(np.cumsum(counts) - counts)[counts > 0]] = True
-        sizes = np.empty(n_units, np.int64)
+        plain = self._regular(data, offsets) & (offsets[1:] > offsets[:-1])
+        counts = np.zeros(len(column), np.int64)
+        values = []
+        if plain.any():
+            units, at, n_units = split_at_spaces(column.filter(pa.array(plain)))
+            ids, counts[plain] = self._joined(units, at, n_units)
+            values.append(ids)
+        odd = np.flatnonzero(~plain & (offsets[1:] > offsets[:-1]))
+        if len(odd):
+            lists = [_CUT.split(t) for t in column.take(pa.array(odd)).to_pylist()]
+            units = [u for x in lists for u in x]
+            ids, counts[odd] = self._joined(units, np.arange(len(units)), np.array([len(x) for x in lists], np.int64))
+            values.append(ids)
+        if len(values) < 2:
+            return (values[0] if values else np.empty(0, np.int32)), counts
+        # back in the order of the texts
+        order = np.concatenate([np.flatnonzero(plain), odd])
+        start = np.zeros(len(column), np.int64)
+        start[order] = np.cumsum(counts[order]) - counts[order]
+        ends = np.cumsum(counts)
+        return np.concatenate(values)[np.repeat(start - ends + counts, counts) + np.arange(int(counts.sum()))], counts
+
+    def _joined(self, units: list[str], at: np.ndarray, n_units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts of n_units units each, given as places in units, and their numbers. A text's
+        first unit has no space before it."""
+        is_first = np.zeros(len(at), bool)
+        is_first[np.cumsum(n_units) - n_units] = True
+        head, head_n = self.first.ids([units[i] for i in at[is_first].tolist()])
+        body, body_n = self.inner.ids(units, at[~is_first])
+        sizes = np.empty(len(at), np.int64)
         sizes[is_first], sizes[~is_first] = head_n, body_n
         ids = np.empty(int(sizes.sum()), np.int32)
         from_head = np.repeat(is_first, sizes)
         ids[from_head], ids[~from_head] = head, body
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        unit_ends = np.cumsum(counts)
-        return ids, ends[unit_ends] - ends[unit_ends - counts]
+        return ids, np.add.reduceat(sizes, np.cumsum(n_units) - n_units)
 
     @staticmethod
     def _regular(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -130,60 +158,47 @@ def encoder(path: str) -> ByteLevelEncoder:
     return _ENCODERS[path]
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=1)
-    for batch in gathered(batches, "text", 4 << 20):
-        blobs = [None if x is None else squeeze.compress(x.encode()) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(blobs, pa.binary()), batch.column("part")], ["doc_id", "text_key", "blob", "part"])
-
-
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of doc_id; `at` counts the partition's tokens so far."""
-    expand, squeeze, enc, at = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1), encoder(path), 0
-    for batch in batches:
-        blobs = batch.column("blob").to_pylist()
-        for a in range(0, batch.num_rows, 512):
-            texts = pa.array([None if x is None else expand.decompress(x).decode() for x in blobs[a : a + 512]], pa.string())
-            ids, counts = enc.encode(texts)
-            ends = np.cumsum(counts)
-            ids = np.insert(ids, ends, END_ID)  # the end id behind each text
+    squeeze, enc = zstandard.ZstdCompressor(level=1), encoder(path)
+    try:
+        for batch in gathered(batches, "text", ENCODE_BYTES):
+            ids, counts = enc.encode(batch.column("text"))
+            ids = np.insert(ids, np.cumsum(counts), END_ID)  # the end id behind each text
             counts = counts + 1
             ends = np.cumsum(counts)
-            raw = ids.astype("<u2").tobytes()
-            packed = [squeeze.compress(raw[2 * (e - n) : 2 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-            part = batch.slice(a, len(texts))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), pa.array(at + ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "part", "at", "n_tokens", "ids"])
-            at += int(ends[-1])
+            raw = ids.astype(enc.kind).tobytes()
+            width = enc.kind.itemsize
+            packed = [squeeze.compress(raw[width * (e - n) : width * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "text_key", "n_tokens", "ids"])
+    finally:
+        enc.shrink()
 
 
 def encoded(documents: DataFrame, tokenizer_path: str, scratch: Scratch) -> DataFrame:
-    """doc_id, part, at, n_tokens, ids: each text's ids with the end id, in doc_id order by ranges
-    (part) and tokens before it in its range (at), as a table in the shared folder."""
-    spark = documents.sparkSession
-    docs = keyed(documents)
-    size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    n = parts_for(spark, size[0] or 0, RANGE_BYTES)
-    # a few hundred quantiles of the ids, not of the texts, set the ranges
-    cuts = documents.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 and size[1] else None
-    part = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    ranged = docs.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
-    dealt = ranged.mapInArrow(_packed, "doc_id long, text_key long, blob binary, part int").repartitionById(n, F.col("part")).sortWithinPartitions("part", "doc_id", "text_key")
-    return scratch.stored(dealt.mapInArrow(lambda it: _encoded(it, tokenizer_path), "doc_id long, part int, at long, n_tokens long, ids binary"), "ids", "uncompressed")
+    """doc_id, text_key, n_tokens, ids: each text's ids with the end id, as a table in the shared folder."""
+    rows = keyed(documents).mapInArrow(lambda it: _encoded(it, tokenizer_path), "doc_id long, text_key long, n_tokens long, ids binary")
+    return scratch.stored(rows, "ids", "uncompressed")
+
+
+def id_kind(tokenizer_path: str) -> np.dtype:
+    """Two bytes an id where the vocabulary allows, else four."""
+    from tokenizers import Tokenizer
+
+    return np.dtype("<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
 
 # ---------------------------------------------------------------- the code
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Optimal code lengths of at most `limit` bits for the symbols with a count, by package-merge;
-    0 for the others. A lone symbol has one bit."""
+    """Optimal code lengths of at most `limit` bits, or of as few as tell so many symbols apart, for the
+    symbols with a count, by package-merge; 0 for the others. A lone symbol has one bit."""
     used = np.flatnonzero(counts)
     out = np.zeros(len(counts), np.uint8)
     if len(used) < 2:
         out[used] = 1
         return out
-    if len(used) > 1 << limit:
-        raise ValueError(f"{len(used)} symbols don't fit codes of {limit} bits")
+    limit = max(limit, (len(used) - 1).bit_length())
     order = used[np.argsort(counts[used], kind="stable")]
     leaf = counts[order].astype(np.float64)
     level, leaves = leaf, [np.ones(len(leaf), bool)]
@@ -258,12 +273,14 @@ class Code:
         return out.ravel()[:n] if whole < len(offsets) else out.ravel()
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.RecordBatch]:
     expand, total = zstandard.ZstdDecompressor(), np.zeros(1 << LIMIT, np.int64)
     for batch in batches:
         blobs = batch.column("ids").to_pylist()
         for a in range(0, len(blobs), 512):
-            total += np.bincount(np.frombuffer(b"".join(map(expand.decompress, blobs[a : a + 512])), "<u2"), minlength=1 << LIMIT)
+            n = np.bincount(np.frombuffer(b"".join(map(expand.decompress, blobs[a : a + 512])), kind), minlength=len(total))
+            n[: len(total)] += total
+            total = n
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -271,14 +288,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- files
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, lengths: np.ndarray, base: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """Files of consecutive documents; a gap in the numbering of tokens or a full file opens the next."""
-    code, expand = Code(lengths), zstandard.ZstdDecompressor()
+def _write(batches: Iterator[pa.RecordBatch], folder: str, lengths: np.ndarray, kind: np.dtype, file_tokens: int) -> Iterator[pa.RecordBatch]:
+    """Files of a range's consecutive documents; a full file opens the next. `at` counts the range's
+    tokens before a file."""
+    code, expand, part = Code(lengths), zstandard.ZstdDecompressor(), None
 
     def rows() -> Iterator[tuple[int | None, int, np.ndarray]]:
+        nonlocal part
+        at = 0
         for batch in batches:
-            for doc_id, part, at, blob in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "at", "ids")), strict=True):
-                yield doc_id, base[part] + at, np.frombuffer(expand.decompress(blob), "<u2")
+            if batch.num_rows:
+                part = batch.column("part")[0].as_py()
+            for doc_id, blob in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                ids = np.frombuffer(expand.decompress(blob), kind)
+                yield doc_id, at, ids
+                at += len(ids)
 
     source = rows()
     row = next(source, None)
@@ -295,7 +319,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, lengths: np.ndarray,
                 chunks.append((place, len(payload), len(ids), offsets))
                 place += len(payload)
 
-            while row is not None and row[1] == expected and expected - first < FILE_TOKENS:
+            while row is not None and expected - first < file_tokens:
                 docs.append((row[0], len(row[2])))
                 held.append(row[2])
                 n_held += len(row[2])
@@ -312,12 +336,12 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, lengths: np.ndarray,
             foot = [np.array([first, len(docs), len(chunks), len(lengths)], "<i8").tobytes(), lengths.astype("u1").tobytes(), np.array([d is None for d, _ in docs], "u1").tobytes(), np.array([d or 0 for d, _ in docs], "<i8").tobytes(), np.array([n for _, n in docs], "<i8").tobytes(), np.array([c[:3] for c in chunks], "<i8").tobytes(), *(c[3].astype("<i8").tobytes() for c in chunks)]
             packed = zlib.compress(b"".join(foot), 1)
             out.write(packed + struct.pack("<Q", len(packed)))
-        yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([first], pa.int64()), pa.array([expected - first], pa.int64())], ["file", "first", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([expected - first], pa.int64())], ["file", "part", "at", "n_tokens"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for uri in batch.column("file").to_pylist():
+        for uri, first in zip(batch.column("file").to_pylist(), batch.column("first").to_pylist(), strict=True):
             system, path = located(uri)
             with system.open_input_file(path) as f:
                 size = f.size()
@@ -325,7 +349,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 (n,) = struct.unpack("<Q", f.read(8))
                 f.seek(size - 8 - n)
                 foot = zlib.decompress(f.read(n))
-                first, n_docs, n_chunks, n_ids = np.frombuffer(foot, "<i8", 4).tolist()
+                _, n_docs, n_chunks, n_ids = np.frombuffer(foot, "<i8", 4).tolist()
                 place = 32
 
                 def take(kind: str, count: int) -> np.ndarray:
@@ -356,31 +380,43 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(start, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def write_tokens(documents: DataFrame, tokenizer_path: str, folder: str | None = None) -> DataFrame:
+def write_tokens(documents: DataFrame, tokenizer_path: str, folder: str | None = None, range_bytes: int = RANGE_BYTES, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """(file, first, n_tokens): Huffman files of all texts' ids, each text followed by END_ID, in
-    ascending doc_id order (null first; rows of one doc_id by a hash of their text). A null or empty
-    text has the end id alone; an empty table gives no file."""
+    ascending doc_id order (null first; rows of one doc_id by a hash of their text, repeated rows side by
+    side). first: tokens in all files before this one. A null or empty text has the end id alone; an empty
+    table gives no file. A range of doc_ids is a task's; many rows of one doc_id are cut by their texts'
+    hashes."""
     spark = documents.sparkSession
     scratch = Scratch(spark)
-    rows = encoded(documents, tokenizer_path, scratch)
-    folder = folder or fresh_dir(spark, "tokens")
-    counts = np.zeros(1 << LIMIT, np.int64)
-    for r in rows.mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r.id] = r.n
-    lengths = code_lengths(counts)
-    base, total = {}, 0
-    for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
-        base[r.part], total = total, total + r.n
-    return scratch.result(rows.mapInArrow(lambda it: _write(it, folder, lengths, base), "file string, first long, n_tokens long"))
+    with scratch:
+        kind = id_kind(tokenizer_path)
+        rows = encoded(documents, tokenizer_path, scratch)
+        folder = folder or fresh_dir(spark, "tokens")
+        counted = rows.mapInArrow(lambda it: _counted(it, kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+        counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 1, np.int64)
+        counts[counted["id"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+        lengths = code_lengths(counts)
+        n = parts_for(spark, 4 * int(counts.sum()), range_bytes)
+        order = [F.col("doc_id").asc_nulls_first(), F.col("text_key")]
+        ranged = rows.select("doc_id", "text_key", "ids").repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+        files = scratch.result(ranged.mapInArrow(lambda it: _write(it, folder, lengths, kind, file_tokens), "file string, part int, at long, n_tokens long"))
+    # a row a range: few enough for one window over all of them
+    base = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    return files.join(base, "part").select("file", (F.col("base") + F.col("at")).alias("first"), "n_tokens")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files, from their decoded ids."""
-    spread = files.select("file").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+    spread = files.select("file", "first").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
     return spread.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids through the files and back; the files go once they are read."""
     import public_tokenizers
 
-    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    folder = fresh_dir(spark, "tokens")
+    try:
+        return checkpointed(read_tokens(write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)))
+    finally:
+        removed(spark, folder)
