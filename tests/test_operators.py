@@ -13,6 +13,7 @@ from trajlab.functions import vectors as V
 from trajlab.operators import checks as K
 from trajlab.operators import clustering as C
 from trajlab.operators import divergence as D
+from trajlab.operators import export as E
 from trajlab.operators import grid as G
 from trajlab.operators import mutate as M
 from trajlab.operators import report as R
@@ -165,3 +166,101 @@ def test_files(spark, tmp_path):
     assert [r.v for r in io.vectors_of_blobs(blobs, "v").collect()] == [[1.0, 2.0], None]
     assert io.write_dump({"t": df}, str(tmp_path / "dump"))[0][2] == 1
     assert io.read_dump(spark, str(tmp_path / "dump"), ["t"])["t"].count() == 1
+
+
+def model_tables(spark):
+    from trajlab.sources import model
+
+    return model.tables(spark, "/root/testdata/sf0.001")
+
+
+def test_ids(spark):
+    e = model_tables(spark)["experiments"]
+    assert E.by_prefix(e, "exp").first().id == "exp0"
+    with pytest.raises(ValueError, match="'nothing'"):
+        E.by_prefix(e, "nothing")
+    assert {r.id for r in E.by_id(e, "exp1", "gone").collect()} == {"exp1"}
+
+
+def test_export_writes_eight_tables(spark, tmp_path):
+    t = model_tables(spark)
+    n = {name: rows for name, _, rows in E.export(t, ["exp0"], str(tmp_path), models=["M1"])}
+    assert set(n) == set(io.TABLES) and n["lyapunov_results"] == 0 and n["clustering_results"] == 1
+    back = io.read_dump(spark, str(tmp_path))
+    assert all(back[name].count() == n[name] for name in n)
+    assert "output_image" not in back["invocations"].columns and dict(back["runs"].dtypes)["network"] == "string"
+    assert {r.embedding_model for r in back["embeddings"].collect()} == {"M1"}
+
+
+def test_embed_with_any_callable(spark):
+    def lengths(batches):
+        loaded = 10.0  # as a model would be, once a task
+        for texts in batches:
+            yield texts.map(lambda s: [loaded, float(len(s))])
+
+    t = E.exported(model_tables(spark), ["exp1"], text_models={"M0": E.embedder(lengths)})
+    rows = t["embeddings"].where("id like 'prompt-%'").collect()
+    assert rows and all(r.vector == [10.0, 8.0] and r.id == f"{r.invocation_id}-M0" for r in rows)
+    none = E.prompt_rows(E.scoped_tables(model_tables(spark), ["exp1"]), {"V0": E.embedder(lengths)})
+    assert none["invocations"].count() == none["embeddings"].count() == 0
+
+
+def test_replacing_leaves_nothing_behind(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "m string, x int")
+    io.append(rows, path, "m")
+    io.append(rows.where("x = 1"), path, "m")
+    assert spark.read.parquet(path).count() == 3
+    M.replaced(spark.createDataFrame([("a", 9)], "m string, x int"), path, "m", "a")
+    assert sorted((r.x, r.m) for r in spark.read.parquet(path).collect()) == [(2, "b"), (9, "a")]
+    M.replaced(rows.limit(0), path, "m", "a")
+    assert [(r.x, r.m) for r in spark.read.parquet(path).collect()] == [(2, "b")]
+
+
+def test_run_rules(spark):
+    df = spark.createDataFrame([(1, 0, ["a"], "p"), (0, -1, [], "")], "max_length long, run_number long, network array<string>, initial_prompt string")
+    assert len(K.violations(df, "runs", K.run_rules(), F.lit("k")).collect()) == 4
+
+
+def test_times_shown(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 2, 3, 4, 5),), (None,)], "t timestamp")
+    assert [tuple(r) for r in df.select(S.shown_time(F.col("t")), S.exif_time(F.col("t"))).collect()] == [("2024-01-02 03:04:05", "2024:01:02 03:04:05"), ("-", "")]
+
+
+def test_pairs_of_a_long_run(spark):
+    p = steps(spark, {("p", "a"): [[i] for i in range(30)]})
+    got = T.pairs_within(p, 7).collect()
+    assert len(got) == len({(r.t1, r.t2) for r in got}) == 435 and all(r.t1 < r.t2 for r in got)
+
+
+def test_forests_connect_what_all_pairs_do(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (90, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    cores = C.core_distances(df, 3, block=20)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    core = np.sort(d, 1)[:, 3]
+    assert {r.id: r.core for r in cores.collect()} == pytest.approx(dict(enumerate(core)))
+    edges = [(r.u, r.v, r.w) for r in C.reachability_edges(df, cores, 0.6, block=20).collect()]
+    reach = np.maximum(np.maximum(core[:, None], core[None]), d)
+
+    def parts(pairs):
+        label = list(range(90))
+        for u, v in pairs:
+            a, b = label[u], label[v]
+            label = [min(a, b) if c in (a, b) else c for c in label]
+        return label
+
+    for radius in (0.2, 0.35, 0.6):
+        assert parts([(u, v) for u, v, w in edges if w <= radius]) == parts([(i, j) for i in range(90) for j in range(i) if reach[i, j] <= radius])
+
+
+def test_lone_prompt_has_a_zero_curve(spark):
+    p = steps(spark, {("p", "a"): [[0], [1], [2]], ("p", "b"): [[1], [3], [5]]})
+    got = D.paraphrase_curves(D.within_curves(p), D.cross_curves(p)).orderBy("t").collect()
+    assert [(r.t, r.distance) for r in got] == [(0, 0.0), (1, 0.0), (2, 0.0)]
+
+
+def test_pool_of_zeros(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (2, [float("nan"), 4.0]), (2, [2.0, 0.0])], "g int, v array<double>")
+    assert sorted((r.g, r.i, r.x) for r in C.mean_pooled(df, ["g"]).collect()) == [(1, 0, 0.0), (1, 1, 0.0), (2, 0, 1.0), (2, 1, 2.0)]

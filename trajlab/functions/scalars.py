@@ -35,6 +35,20 @@ def iso_micros(c: Column) -> Column:
     return F.date_format(c.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
+def shown_time(c: Column) -> Column:
+    """A time as people read it; a null one is a dash."""
+    return F.coalesce(F.date_format(c.cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.lit("-"))
+
+
+def exif_time(c: Column) -> Column:
+    """A time as image files have it; a null one is empty."""
+    return F.coalesce(F.date_format(c.cast("timestamp"), "yyyy:MM:dd HH:mm:ss"), F.lit(""))
+
+
+def age_seconds(c: Column, now: Column) -> Column:
+    return F.unix_timestamp(now) - F.unix_timestamp(c)
+
+
 def seconds_between(start: Column, end: Column) -> Column:
     return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6
 

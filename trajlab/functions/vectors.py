@@ -13,6 +13,11 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def dimension(v: Column) -> Column:
+    """Numbers of a vector; null for a missing one."""
+    return F.when(v.isNotNull(), F.size(v))
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
 

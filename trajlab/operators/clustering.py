@@ -15,26 +15,32 @@ BLOCK = 512
 
 
 def _dealt(vectors: DataFrame, block: int) -> DataFrame:
-    """Every vector at each pair of blocks that its own is in: (i, j, side, id, v)."""
+    """Blocks of vectors (id, v, core), a row each, at each pair of blocks that they are in: (i, j, second,
+    rows)."""
     n = max(1, -(-vectors.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    spread = vectors.select("id", "v", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
-    return spread.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "id", "v")
-
-
-def _distances(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of a task's first and second block, and all distances between them."""
-    same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-    a = pdf if same else pdf[~pdf["second"]]
-    b = pdf if same else pdf[pdf["second"]]
-    x = np.stack(a["v"].to_numpy()) if len(a) else np.empty((0, 1))
-    y = np.stack(b["v"].to_numpy()) if len(b) else np.empty((0, 1))
-    if not len(x) or not len(y):
-        return a["id"].to_numpy(), b["id"].to_numpy(), np.empty((len(x), len(y)))
-    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0.0))
-    if same:
-        np.fill_diagonal(d, np.inf)
-    return a["id"].to_numpy(), b["id"].to_numpy(), d
+    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own")
+    blocks = vectors.groupBy(own).agg(F.collect_list(F.struct("id", "v", "core")).alias("rows"))
+    spread = blocks.select("own", "rows", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    return spread.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "rows")
+
+
+def _block(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and core distances of a block."""
+    return np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows], float), np.array([np.nan if r["core"] is None else r["core"] for r in rows])
+
+
+def _pair(pdf: pd.DataFrame) -> tuple[tuple, tuple | None]:
+    """A task's two blocks; one where a block meets itself."""
+    first = [_block(r) for r in pdf.loc[~pdf["second"], "rows"]]
+    second = [_block(r) for r in pdf.loc[pdf["second"], "rows"]]
+    if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+        return first[0], None
+    empty = (np.empty(0, np.int64), np.empty((0, 1)), np.empty(0))
+    return (first or [empty])[0], (second or [empty])[0]
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0.0))
 
 
 def core_distances(vectors: DataFrame, min_samples: int = MIN_SAMPLES, block: int = BLOCK) -> DataFrame:
@@ -43,32 +49,60 @@ def core_distances(vectors: DataFrame, min_samples: int = MIN_SAMPLES, block: in
     k = min_samples
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, d = _distances(pdf)
+        a, b = _pair(pdf)
+        if b is not None and not (len(a[0]) and len(b[0])):
+            return pd.DataFrame({"id": np.empty(0, np.int64), "d": np.empty(0)})
+        d = _distances(a[1], a[1] if b is None else b[1])
+        if b is None:
+            np.fill_diagonal(d, np.inf)
         out = []
-        for ids, m in ((a, d), (b, d.T)) if pdf["i"].iloc[0] != pdf["j"].iloc[0] else ((a, d),):
-            if m.shape[1]:
-                best = np.sort(np.partition(m, min(k, m.shape[1]) - 1, axis=1)[:, :k], axis=1)
-                out.append(pd.DataFrame({"id": np.repeat(ids, best.shape[1]), "d": best.ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"id": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
+        for ids, m in ((a[0], d),) if b is None else ((a[0], d), (b[0], d.T)):
+            best = np.sort(np.partition(m, min(k, m.shape[1]) - 1, axis=1)[:, :k], axis=1)
+            out.append(pd.DataFrame({"id": np.repeat(ids, best.shape[1]), "d": best.ravel()}))
+        return pd.concat(out)
 
-    near = _dealt(vectors, block).groupBy("i", "j").applyInPandas(nearest, "id long, d double").where("d < double('infinity')")
+    near = _dealt(vectors.select("id", "v", F.lit(None).cast("double").alias("core")), block).groupBy("i", "j").applyInPandas(nearest, "id long, d double").where("d < double('infinity')")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d"))
     return near.withColumn("k", rank).where(F.col("k") == k).select("id", F.col("d").alias("core"))
 
 
+def _forest(w: np.ndarray) -> list[tuple[int, int, float]]:
+    """The edges of a least spanning forest of a dense graph; an infinite weight is no edge."""
+    n = len(w)
+    near, source, left = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
+    out = []
+    at = 0
+    for _ in range(n):
+        left[at] = False
+        closer = left & (w[at] < near)
+        near[closer], source[closer] = w[at][closer], at
+        if not left.any():
+            break
+        away = np.where(left, near, np.inf)
+        at = int(np.argmin(away))
+        if away[at] < np.inf:
+            out.append((int(source[at]), at, float(away[at])))
+        else:
+            at = int(np.flatnonzero(left)[0])  # another tree begins
+    return out
+
+
 def reachability_edges(vectors: DataFrame, cores: DataFrame, radius: float, block: int = BLOCK) -> DataFrame:
-    """(u, v, w), u < v: mutual reachability max(core u, core v, distance) of all pairs up to radius."""
+    """(u, v, w), u < v: pairs whose mutual reachability, max(core u, core v, distance), is up to radius, as
+    many as connect what all such pairs connect, at the radius and at every smaller one: each two blocks give
+    a least spanning forest of theirs."""
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, d = _distances(pdf)
-        r, c = np.nonzero(d <= radius)
-        u, v = np.minimum(a[r], b[c]), np.maximum(a[r], b[c])
-        return pd.DataFrame({"u": u, "v": v, "d": d[r, c]}).drop_duplicates(["u", "v"])
+        a, b = _pair(pdf)
+        ids, x, core = a if b is None or not len(b[0]) else b if not len(a[0]) else tuple(np.concatenate(z) for z in zip(a, b, strict=True))
+        w = np.maximum(np.maximum(core[:, None], core[None, :]), _distances(x, x))
+        w[w > radius] = np.inf
+        np.fill_diagonal(w, np.inf)
+        rows = [(min(ids[i], ids[j]), max(ids[i], ids[j]), d) for i, j, d in _forest(w)]
+        return pd.DataFrame(rows, columns=["u", "v", "w"]) if rows else pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64), "w": np.empty(0)})
 
-    reachable = vectors.join(cores.where(F.col("core") <= radius), "id").select("id", "v")
-    pairs = _dealt(reachable, block).groupBy("i", "j").applyInPandas(within, "u long, v long, d double")
-    cu, cv = (cores.select(F.col("id").alias(c), F.col("core").alias(f"core_{c}")) for c in "uv")
-    return pairs.join(cu, "u").join(cv, "v").select("u", "v", F.greatest("d", "core_u", "core_v").alias("w")).where(F.col("w") <= radius)
+    reachable = vectors.join(cores.where(F.col("core") <= radius), "id").select("id", "v", "core")
+    return _dealt(reachable, block).groupBy("i", "j").applyInPandas(within, "u long, v long, w double").distinct()
 
 
 def least_size(n: int) -> int:
@@ -104,6 +138,14 @@ def centroids(assigned: DataFrame, key: list[str]) -> DataFrame:
     return assigned.select(*key, F.posexplode("v").alias("i", "x")).groupBy(*key, "i").agg(F.avg("x").alias("centroid"))
 
 
+def mean_pooled(tokens: DataFrame, key: list[str]) -> DataFrame:
+    """(key, i, x): element-wise mean of a group's vectors (key, v) that aren't zero, NaN taken as 0; a group
+    of zero vectors alone gives zeros."""
+    x = tokens.withColumn("full", F.exists("v", lambda a: F.isnan(a) | (a != 0))).select(*key, "full", F.posexplode("v").alias("i", "x"))
+    good = F.when(F.col("full"), F.when(F.isnan("x"), 0.0).otherwise(F.col("x")))
+    return x.groupBy(*key, "i").agg(F.coalesce(F.avg(good), F.lit(0.0)).alias("x"))
+
+
 def medoids(assigned: DataFrame, key: list[str]) -> DataFrame:
     """(key, medoid): the member nearest to the plain mean of its cluster by squared distance; least id on ties."""
     x = assigned.select(*key, "id", F.posexplode("v").alias("i", "x")).join(centroids(assigned, key), [*key, "i"])

@@ -33,12 +33,12 @@ def cross_curves(pts: DataFrame) -> DataFrame:
 
 
 def exponents(curves: DataFrame, key: list[str], before: int | None = None) -> DataFrame:
-    """Slope of ln(mean distance) on t, with its r² (null for a flat curve), from steps under `before`
+    """Slope and intercept of ln(mean distance) on t, with r² (null for a flat curve), from steps under `before`
     where given. The mean is taken over pairs first and held at 1e-10, then its logarithm."""
     c = curves.withColumn("y", F.ln(F.greatest("distance", F.lit(FLOOR))))
     c = c.where(F.col("t") < before) if before else c
     flat = F.max("y") == F.min("y")
-    return c.groupBy(*key).agg(F.regr_slope("y", "t").alias("exponent"), F.when(~flat, F.regr_r2("y", "t")).alias("r_squared"), F.max("num_pairs").alias("num_pairs"), F.max("num_timesteps").alias("num_timesteps"))
+    return c.groupBy(*key).agg(F.regr_slope("y", "t").alias("exponent"), F.regr_intercept("y", "t").alias("intercept"), F.when(~flat, F.regr_r2("y", "t")).alias("r_squared"), F.max("num_pairs").alias("num_pairs"), F.max("num_timesteps").alias("num_timesteps"))
 
 
 def report(within: DataFrame, cross: DataFrame) -> DataFrame:
@@ -94,6 +94,27 @@ def first_pair_curves(curves: DataFrame) -> DataFrame:
     return curves.join(first, PAIR).select(*key, "t", "distance")
 
 
+def paraphrase_curves(within: DataFrame, cross: DataFrame) -> DataFrame:
+    """(experiment_id, network, embedding_model, t, distance): the curve of the first prompt pair of each
+    cell; zeros as long as the mean identical curve where there is a single prompt."""
+    key = ["experiment_id", "network", "embedding_model"]
+    first = first_pair_curves(cross)
+    lone = mean_curves(within, key).join(first.select(*key).distinct(), key, "left_anti").withColumn("distance", F.lit(0.0))
+    return first.unionByName(lone)
+
+
+def regimes_between(within: DataFrame, cross: DataFrame, close: str, far: str) -> DataFrame:
+    """(network, embedding_model, step, distance, regime): the mean identical curve of experiment `close`,
+    the curve of the first prompt pair of the same (close), and that of experiment `far` (distant)."""
+    key = ["experiment_id", "network", "embedding_model"]
+    first = first_pair_curves(cross)
+
+    def told(df: DataFrame, experiment: str, regime: str) -> DataFrame:
+        return df.where(F.col("experiment_id") == experiment).select("network", "embedding_model", F.col("t").alias("step"), "distance", F.lit(regime).alias("regime"))
+
+    return told(mean_curves(within, key), close, "identical").unionByName(told(first, close, "close")).unionByName(told(first, far, "distant"))
+
+
 def three_regimes(within: DataFrame, cross: DataFrame) -> DataFrame:
     """(network, step, distance, regime): the mean identical curve of each network and model, and the
     curves of its pairs with the least and the greatest exponent (close, distant)."""

@@ -49,7 +49,10 @@ def missing_embeddings(invocations: DataFrame, embeddings: DataFrame, model: str
 
 
 def embeddable(invocations: DataFrame, model: str, kind: str) -> DataFrame:
-    return invocations.where((F.col("type") == kind) & F.col("output_text").isNotNull()).withColumn("embedding_model", F.lit(model))
+    """Invocations of a kind that have its output: a text model asks for output_text, an image model for
+    output_image."""
+    output = {"text": "output_text", "image": "output_image"}[kind]
+    return invocations.where((F.col("type") == kind) & F.col(output).isNotNull()).withColumn("embedding_model", F.lit(model))
 
 
 def missing_diagrams(runs: DataFrame, diagrams: DataFrame, model: str) -> DataFrame:
@@ -57,6 +60,17 @@ def missing_diagrams(runs: DataFrame, diagrams: DataFrame, model: str) -> DataFr
     return runs.select("run_id").distinct().join(have, "run_id", "left_anti").withColumn("embedding_model", F.lit(model))
 
 
+def integrity(tables: dict[str, DataFrame]) -> DataFrame:
+    """(finding, key): steps without the output of their type, runs whose steps have gaps, vectors without
+    a step and steps without a run."""
+    steps, vectors, runs = tables["invocations"], tables["embeddings"], tables["runs"]
+    missing = steps.where("case type when 'text' then output_text is null else output_image is null end").select(F.lit("missing output").alias("finding"), F.col("id").alias("key"))
+    gaps = sequence_gaps(steps).select(F.lit("sequence gap").alias("finding"), F.col("run_id").alias("key"))
+    lost = vectors.join(steps.select(F.col("id").alias("invocation_id")), "invocation_id", "left_anti").select(F.lit("vector without step").alias("finding"), F.col("id").alias("key"))
+    loose = steps.join(runs.select(F.col("id").alias("run_id")), "run_id", "left_anti").select(F.lit("step without run").alias("finding"), F.col("id").alias("key"))
+    return missing.unionByName(gaps).unionByName(lost).unionByName(loose)
+
+
 def prompt_rows(invocations: DataFrame, model: str) -> DataFrame:
     """Real steps and one more for each run at -1, its prompt: (id, run_id, sequence_number, embedding_id, output_text)."""
     runs = invocations.groupBy("run_id").agg(F.min("initial_prompt").alias("output_text"))

@@ -33,6 +33,57 @@ def nulled(df: DataFrame, column: str, doomed: DataFrame) -> DataFrame:
     return kept.withColumn(column, F.when(F.col("_doomed").isNull(), F.col(column))).select(*df.columns)
 
 
-def replaced(df: DataFrame, path: str, key: str) -> None:
-    """Write df over the partitions of `key` that it has, leaving the others."""
+def replaced(df: DataFrame, path: str, key: str, *values: str) -> None:
+    """Write df over the partitions of `key` that have these values (and those that df has besides),
+    leaving the others. A value of which df has no row is left without any: what stood there goes."""
+    spark = df.sparkSession
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    written = {str(r[0]) for r in df.select(key).distinct().collect()} if values else set()
+    for value in values:
+        if str(value) not in written:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}={value}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+Rows = dict[str, tuple[DataFrame, DataFrame]]
+
+
+def _split(tables: dict[str, DataFrame], gone: dict[str, DataFrame]) -> Rows:
+    """Of each table what stays and what goes, given the ids that go."""
+    return {name: (tables[name].join(ids, "id", "left_anti"), tables[name].join(ids, "id", "left_semi")) for name, ids in gone.items()}
+
+
+def _ids(df: DataFrame, reference: str, parents: DataFrame) -> DataFrame:
+    """The ids of the rows whose reference is among parents' ids."""
+    return df.join(parents.select(F.col("id").alias(reference)), reference, "left_semi").select("id")
+
+
+def experiments_deleted(tables: dict[str, DataFrame], doomed: DataFrame) -> Rows:
+    """What stays and what goes when the experiments with the ids of doomed go, from assignments up to the
+    experiments; their exponents go too. Clusterings belong to no experiment and stay."""
+    experiments = doomed.select("id").distinct()
+    runs = _ids(tables["runs"], "experiment_id", experiments)
+    invocations = _ids(tables["invocations"], "run_id", runs)
+    embeddings = _ids(tables["embeddings"], "invocation_id", invocations)
+    gone = {"embedding_clusters": _ids(tables["embedding_clusters"], "embedding_id", embeddings), "embeddings": embeddings, "persistence_diagrams": _ids(tables["persistence_diagrams"], "run_id", runs), "lyapunov_results": _ids(tables["lyapunov_results"], "experiment_id", experiments), "invocations": invocations, "runs": runs, "experiments": experiments}
+    return _split(tables, gone)
+
+
+def runs_of_model_deleted(tables: dict[str, DataFrame], model: str) -> Rows:
+    """What stays and what goes when the runs with a model in their network go: their steps, vectors and
+    diagrams, the exponents of such networks, and assignments of their vectors or to a medoid among them."""
+    runs = tables["runs"].where(F.array_contains("network", model)).select("id")
+    invocations = _ids(tables["invocations"], "run_id", runs)
+    embeddings = _ids(tables["embeddings"], "invocation_id", invocations)
+    assigned = _ids(tables["embedding_clusters"], "embedding_id", embeddings).unionByName(_ids(tables["embedding_clusters"], "medoid_embedding_id", embeddings)).distinct()
+    exponents = tables["lyapunov_results"].where(F.array_contains("network", model)).select("id")
+    return _split(tables, {"embedding_clusters": assigned, "embeddings": embeddings, "persistence_diagrams": _ids(tables["persistence_diagrams"], "run_id", runs), "lyapunov_results": exponents, "invocations": invocations, "runs": runs})
+
+
+def counted(rows: Rows) -> DataFrame:
+    """(table_name, n_left, n_gone)."""
+    out = None
+    for name, (stays, goes) in rows.items():
+        n = stays.select(F.lit(1).alias("stays")).unionByName(goes.select(F.lit(0).alias("stays"))).agg(F.coalesce(F.sum("stays"), F.lit(0)).cast("long").alias("n_left"), F.coalesce(F.sum(1 - F.col("stays")), F.lit(0)).cast("long").alias("n_gone")).select(F.lit(name).alias("table_name"), "n_left", "n_gone")
+        out = n if out is None else out.unionByName(n)
+    return out

@@ -5,18 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlab.functions.scalars import iso_micros, or_empty_mark, padded, slug
+from trajlab.functions.scalars import age_seconds, iso_micros, or_empty_mark, padded, shown_time, slug
 
 
 def experiment_status(steps: DataFrame, now: Column, stall_seconds: int = 3600) -> DataFrame:
-    """Per experiment of steps (experiment_id, started_at, completed_at): pending without a start,
-    completed when all steps are, else stalled when nothing happened for stall_seconds, else running."""
-    e = steps.groupBy("experiment_id").agg(F.min("started_at").alias("started_at"), F.count("*").alias("n_steps"), F.count("completed_at").alias("n_done"), F.max(F.coalesce("completed_at", "started_at")).alias("last_activity"))
+    """Per experiment of steps (experiment_id, started_at, completed_at), where experiments have no stamps of
+    their own (status_report has them): pending without a start, completed when all steps are, else stalled
+    when the last activity is over stall_seconds ago, else running. The last activity is the latest
+    completion, the latest start where nothing is complete."""
+    e = steps.groupBy("experiment_id").agg(F.min("started_at").alias("started_at"), F.count("*").alias("n_steps"), F.count("completed_at").alias("n_done"), F.coalesce(F.max("completed_at"), F.max("started_at")).alias("last_activity"))
     idle = F.unix_timestamp(now) - F.unix_timestamp("last_activity")
     status = F.when(F.col("started_at").isNull(), "pending").when(F.col("n_done") == F.col("n_steps"), "completed").when(idle > stall_seconds, "stalled").otherwise("running")
     return e.withColumn("status", status)
 
 
+def status_report(tables: dict[str, DataFrame], now: Column, stall_seconds: int = 3600) -> DataFrame:
+    """A row for each experiment, newest first: status, times, last activity, counts and clustering layers.
+
+    Completed and started are the experiment's own stamps; one that has started is stalled when its last
+    activity is over stall_seconds ago. The last activity is that of the step completed latest (of steps
+    none of which is complete, the latest start), without steps the experiment's start. layers counts the
+    clusterings of each of the experiment's models, in order of the models, `(none)` without any.
+    """
+    e, runs = tables["experiments"], tables["runs"].select(F.col("id").alias("run_id"), F.col("experiment_id").alias("id"))
+    steps = tables["invocations"].select(F.col("id").alias("invocation_id"), "run_id", "started_at", "completed_at").join(runs, "run_id")
+    latest = steps.groupBy("id").agg(F.max(F.struct("completed_at", "started_at")).alias("latest")).select("id", F.coalesce("latest.completed_at", "latest.started_at").alias("last_step"))
+    of_runs = runs.groupBy("id").agg(F.count("*").alias("n_runs"))
+    vectors = tables["embeddings"].select("invocation_id").join(steps.select("invocation_id", "id"), "invocation_id").groupBy("id").agg(F.count("*").alias("n_embeddings"))
+    diagrams = tables["persistence_diagrams"].select("run_id").join(runs, "run_id").groupBy("id").agg(F.count("*").alias("n_diagrams"))
+    per_model = tables["clustering_results"].groupBy("embedding_model").agg(F.count("*").alias("n"))
+    used = e.select("id", F.explode("embedding_models").alias("embedding_model")).distinct().join(per_model, "embedding_model")
+    layers = used.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("embedding_model", "n"))), lambda x: F.concat_ws("=", x["embedding_model"], x["n"].cast("string"))), ", ").alias("layers"))
+    out = e
+    for part in (latest, of_runs, vectors, diagrams, layers):
+        out = out.join(part, "id", "left")
+    last = F.coalesce("last_step", "started_at")
+    status = F.when(F.col("completed_at").isNotNull(), "completed").when(F.col("started_at").isNotNull(), F.when(age_seconds(last, now) > stall_seconds, "stalled").otherwise("running")).otherwise("pending")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_runs", "n_embeddings", "n_diagrams")]
+    shown = [shown_time(F.col(c)).alias(c) for c in ("inserted_at", "started_at", "completed_at")]
+    return out.orderBy(F.desc("inserted_at"), "id").select("id", status.alias("status"), F.to_json("networks").alias("networks"), F.to_json("prompts").alias("prompts"), F.to_json("embedding_models").alias("embedding_models"), "num_runs", "max_length", *shown, shown_time(last).alias("last_activity"), *counts, F.coalesce("layers", F.lit("(none)")).alias("layers"))
+
+
+def model_layers(tables: dict[str, DataFrame], experiment: str) -> DataFrame:
+    """(embedding_model, n_layers) of the models of one experiment, in order of the models."""
+    mine = tables["experiments"].where(F.col("id") == experiment).select(F.explode("embedding_models").alias("embedding_model")).distinct()
+    return tables["clustering_results"].join(mine, "embedding_model").groupBy("embedding_model").agg(F.count("*").alias("n_layers")).orderBy("embedding_model")
+
+
 def experiment_counts(experiments: DataFrame, **parts: DataFrame) -> DataFrame:
     """A column of counts for each part (a frame with experiment_id); 0 without rows. Each part is
     counted before it is joined."""

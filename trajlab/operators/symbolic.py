@@ -23,6 +23,28 @@ def transitions(states: DataFrame) -> DataFrame:
     return n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("from_state")))
 
 
+def transitions_by(states: DataFrame, key: list[str]) -> DataFrame:
+    """The same within each cell of key: (key, from_state, to_state, n, p)."""
+    w = Window.partitionBy("run_id").orderBy("t")
+    pairs = states.withColumn("to_state", F.lead("state").over(w)).where("to_state is not null and state is not null")
+    n = pairs.groupBy(*key, F.col("state").alias("from_state"), "to_state").agg(F.count("*").alias("n"))
+    return n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*key, "from_state")))
+
+
+def occupancy(states: DataFrame, key: list[str]) -> DataFrame:
+    """(key, state, n, share): how much of a cell's steps each state holds; steps without one don't count."""
+    n = states.where("state is not null").groupBy(*key, "state").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*key)))
+
+
+def balance_by(states: DataFrame, key: list[str]) -> DataFrame:
+    """(key, state_1, state_2, violation): |flow forth - flow back| between two states of a cell, as a share
+    of the cell's transitions."""
+    t = transitions_by(states, key).withColumn("total", F.sum("n").over(Window.partitionBy(*key))).where("from_state != to_state")
+    flow = F.when(F.col("from_state") < F.col("to_state"), F.col("n")).otherwise(-F.col("n")) / F.col("total")
+    return t.groupBy(*key, F.least("from_state", "to_state").alias("state_1"), F.greatest("from_state", "to_state").alias("state_2")).agg(F.abs(F.sum(flow)).alias("violation"))
+
+
 def dwell_times(states: DataFrame) -> DataFrame:
     """(run_id, state, start, length): maximal stretches of one state."""
     w = Window.partitionBy("run_id").orderBy("t")

@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlab.functions.vectors import distance
+from trajlab.operators.trajectory import pairs_within
 
 CLOUD = ["run_id", "embedding_model"]
 
 
 def edges(pts: DataFrame) -> DataFrame:
     """All point pairs of a cloud with their distance: (CLOUD, u, v, w), u < v positions."""
-    a = pts.select(*CLOUD, F.col("t").alias("u"), F.col("v").alias("x"))
-    b = pts.select(*CLOUD, F.col("t").alias("t2"), F.col("v").alias("y"))
-    return a.join(b, CLOUD).where("u < t2").select(*CLOUD, "u", F.col("t2").alias("v"), distance(F.col("x"), F.col("y")).alias("w"))
+    return pairs_within(pts).select(*CLOUD, F.col("t1").alias("u"), F.col("t2").alias("v"), distance(F.col("v1"), F.col("v2")).alias("w"))
 
 
 def rips_edges(all_edges: DataFrame) -> DataFrame:
@@ -46,6 +45,13 @@ def h0_bars(pts: DataFrame) -> DataFrame:
     return pts.select(*CLOUD, "t", "v").groupBy(*CLOUD).applyInPandas(_spanning_lengths, "run_id string, embedding_model string, death double")
 
 
+def h0_diagrams(pts: DataFrame) -> DataFrame:
+    """(CLOUD, dim, birth, death): the bars of dimension 0, born at 0; each cloud has one that never dies."""
+    finite = h0_bars(pts).select(*CLOUD, "death")
+    endless = pts.select(*CLOUD).distinct().withColumn("death", F.lit(float("inf")))
+    return finite.unionByName(endless).select(*CLOUD, F.lit(0).alias("dim"), F.lit(0.0).alias("birth"), "death")
+
+
 def entropy(bars: DataFrame) -> DataFrame:
     """Persistent entropy -Σ p ln p of the bars' shares of their total length; empty bars don't count."""
     w = Window.partitionBy(*CLOUD)

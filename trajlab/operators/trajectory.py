@@ -36,11 +36,24 @@ def prompt_drift(pts: DataFrame, prompts: DataFrame) -> DataFrame:
     return pts.join(prompts.select("prompt", "embedding_model", doubles(F.col("vector")).alias("v0")), ["prompt", "embedding_model"]).select("run_id", "embedding_model", "t", drift(F.col("v"), F.col("v0")).alias("drift"))
 
 
+#: steps of a run that meet others in one task
+STRETCH = 256
+
+
+def pairs_within(pts: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(run_id, embedding_model, t1, v1, t2, v2) of all pairs of a run's points, t1 < t2. A long run is cut
+    into stretches of steps, and two stretches meet in a task, so a run is no single key."""
+    key = ["run_id", "embedding_model"]
+    part = F.floor(F.col("t") / stretch)
+    last = pts.groupBy(*key).agg(F.max(part).alias("last"))
+    a = pts.join(last, key).select(*key, F.col("t").alias("t1"), F.col("v").alias("v1"), F.explode(F.sequence(part, F.col("last"))).alias("part"))
+    b = pts.select(*key, F.col("t").alias("t2"), F.col("v").alias("v2"), part.alias("part"))
+    return a.join(b, [*key, "part"]).where("t1 < t2").drop("part")
+
+
 def return_times(pts: DataFrame, radius: float, min_gap: int = 2) -> DataFrame:
     """Per run: how many points come back within `radius` after `min_gap` steps or more, and the mean
     number of steps to the first return."""
-    a = pts.select("run_id", "embedding_model", F.col("t").alias("t1"), F.col("v").alias("v1"))
-    b = pts.select("run_id", "embedding_model", F.col("t").alias("t2"), F.col("v").alias("v2"))
-    back = a.join(b, ["run_id", "embedding_model"]).where((F.col("t2") - F.col("t1") >= min_gap) & (distance(F.col("v1"), F.col("v2")) < radius))
+    back = pairs_within(pts).where((F.col("t2") - F.col("t1") >= min_gap) & (distance(F.col("v1"), F.col("v2")) < radius))
     first = back.groupBy("run_id", "embedding_model", "t1").agg(F.min(F.col("t2") - F.col("t1")).alias("steps"))
     return first.groupBy("run_id", "embedding_model").agg(F.count("*").alias("n_returns"), F.avg("steps").alias("mean_return"))

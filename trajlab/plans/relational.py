@@ -33,7 +33,7 @@ def missing_runs(s: SparkSession, d: str) -> DataFrame:
 
 
 def step_schedule(s: SparkSession, d: str) -> DataFrame:
-    return G.step_schedule(G.run_grid(frames.experiments(s, d)).where("run_number = 0")).withColumn("network", F.concat_ws("|", "network"))
+    return G.step_schedule(G.run_grid(frames.experiments(s, d))).withColumn("network", F.concat_ws("|", "network"))
 
 
 def runs_with_model(s: SparkSession, d: str) -> DataFrame:
@@ -219,7 +219,7 @@ _CELL = "experiment_id, network, prompt, embedding_model"
 SQL = {
     "run_grid": f"WITH {_GRID} SELECT experiment_id, network, prompt, run_number, max_length FROM grid",
     "missing_runs": f"WITH {_GRID} SELECT experiment_id, network, prompt, run_number, run_number >= 1 AS is_new FROM grid",
-    "step_schedule": f"WITH {_GRID}, {_STEPS} SELECT experiment_id, network, prompt, run_number, step, net[step % len(net) + 1] AS model, CASE WHEN step + 1 < max_length THEN net[(step + 1) % len(net) + 1] END AS next_model FROM st WHERE run_number = 0",
+    "step_schedule": f"WITH {_GRID}, {_STEPS} SELECT experiment_id, network, prompt, run_number, step, net[step % len(net) + 1] AS model, CASE WHEN step + 1 < max_length THEN net[(step + 1) % len(net) + 1] END AS next_model FROM st",
     "runs_with_model": f"WITH {_GRID} SELECT experiment_id, count(*) AS n_runs FROM grid WHERE list_contains(net, 'i1') GROUP BY ALL",
     "cascade_delete_model": f"""WITH {_GRID}, {_STEPS} SELECT 'runs' AS table_name, count(*) AS n_left FROM grid WHERE NOT list_contains(net, 'i1')
 UNION ALL SELECT 'steps', count(*) FROM st WHERE NOT list_contains(net, 'i1') UNION ALL SELECT 'lyapunov_results', count(*) FROM (SELECT DISTINCT experiment_id, network FROM grid WHERE NOT list_contains(net, 'i1'))""",
@@ -253,7 +253,7 @@ SELECT p_partkey, left(name, 8) AS short_id, regexp_replace(regexp_replace(lower
   CASE WHEN p_partkey < 100 THEN lpad(p_partkey::VARCHAR, 3, '0') ELSE p_partkey::VARCHAR END AS padded, CASE p_type WHEN 'ECONOMY' THEN 'E' WHEN 'PROMO' THEN 'P' ELSE p_type END AS abbreviated, CASE WHEN regexp_full_match(blank, '\\s*') THEN '[empty]' ELSE blank END AS marked FROM n""",
     "durations": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS iso, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1e6, 6) AS seconds FROM events",
     "json_roundtrip": "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN (props->>'$.k')::BIGINT END AS k, CASE WHEN event_id % 5 <> 0 THEN (props->>'$.k')::BIGINT END AS again FROM events",
-    "experiment_status": f"""WITH {F5}, e AS (SELECT experiment_id, min(started_at) AS s, count(*) AS n_steps, count(completed_at) AS n_done, max(coalesce(completed_at, started_at)) AS l FROM f5 GROUP BY ALL)
+    "experiment_status": f"""WITH {F5}, e AS (SELECT experiment_id, min(started_at) AS s, count(*) AS n_steps, count(completed_at) AS n_done, coalesce(max(completed_at), max(started_at)) AS l FROM f5 GROUP BY ALL)
 SELECT experiment_id, CASE WHEN s IS NULL THEN 'pending' WHEN n_done = n_steps THEN 'completed' WHEN epoch(TIMESTAMP '{NOW}') - epoch(l) > {STALL} THEN 'stalled' ELSE 'running' END AS status, n_steps, n_done, strftime(l, '%Y-%m-%d') AS last_activity FROM e""",
     "experiment_counts": f"""WITH {F5}, o AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT experiment_id AS c, count(*) AS n, count(completed_at) AS k FROM f5 GROUP BY 1)
 SELECT c_custkey AS experiment_id, coalesce(o.n, 0) AS runs, coalesce(s.n, 0) AS steps, coalesce(s.k, 0) AS done FROM customer LEFT JOIN o ON o.c = c_custkey LEFT JOIN s ON s.c = c_custkey""",
