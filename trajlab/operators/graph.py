@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder of spark.checkpoint.dir; a local session without one gets its own."""
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="trajlab-"))
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="trajlab-"))
     return df.checkpoint()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RUN = ["experiment_id", "network", "prompt", "run_number"]
@@ -60,6 +60,33 @@ def missing_diagrams(runs: DataFrame, diagrams: DataFrame, model: str) -> DataFr
     return runs.select("run_id").distinct().join(have, "run_id", "left_anti").withColumn("embedding_model", F.lit(model))
 
 
+def backfill(tables: dict[str, DataFrame], kinds: dict[str, str]) -> DataFrame:
+    """(work, key, embedding_model): what the experiments still lack. Runs of their grids, the next step of
+    unfinished runs, embeddings and diagrams in each experiment's models, and exponents, which are computed
+    anew for every cell of runs. kinds: whether a model embeds text or image; one not named is left out."""
+    e, runs, steps = tables["experiments"].withColumnRenamed("id", "experiment_id"), tables["runs"].withColumnRenamed("initial_prompt", "prompt"), tables["invocations"]
+    none = F.lit(None).cast("string").alias("embedding_model")
+
+    def text(*parts: str) -> Column:
+        return F.concat_ws("/", *[F.concat_ws("|", c) if c == "network" else F.col(c).cast("string") for c in parts]).alias("key")
+
+    lacking = missing_runs(run_grid(e), runs).select(F.lit("run").alias("work"), text(*RUN), none)
+    last = steps.groupBy("run_id").agg(F.max("sequence_number").alias("last"))
+    partial = runs.select(F.col("id").alias("run_id"), "max_length").join(last, "run_id", "left").where("coalesce(last + 1, 0) < max_length").select(F.lit("step").alias("work"), F.concat_ws("/", "run_id", F.coalesce(F.col("last") + 1, F.lit(0)).cast("string")).alias("key"), none)
+    used = e.select("experiment_id", F.explode("embedding_models").alias("embedding_model")).where(F.col("embedding_model").isin(*kinds)).distinct()
+    owners = runs.select(F.col("id").alias("run_id"), "experiment_id")
+    out = [lacking, partial]
+    for model, kind in kinds.items():
+        mine = steps.join(owners, "run_id").join(used.where(F.col("embedding_model") == model).select("experiment_id"), "experiment_id", "left_semi")
+        out.append(missing_embeddings(mine, tables["embeddings"], model, kind).select(F.lit("embedding").alias("work"), F.col("id").alias("key"), "embedding_model"))
+    out.append(owners.join(used, "experiment_id").join(tables["persistence_diagrams"], ["run_id", "embedding_model"], "left_anti").select(F.lit("diagram").alias("work"), F.col("run_id").alias("key"), "embedding_model"))
+    out.append(runs.select("experiment_id", "network", "prompt").distinct().join(used, "experiment_id").select(F.lit("exponent").alias("work"), text("experiment_id", "network", "prompt"), "embedding_model"))
+    found = out[0]
+    for x in out[1:]:
+        found = found.unionByName(x)
+    return found
+
+
 def integrity(tables: dict[str, DataFrame]) -> DataFrame:
     """(finding, key): steps without the output of their type, runs whose steps have gaps, vectors without
     a step and steps without a run."""

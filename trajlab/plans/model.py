@@ -123,6 +123,10 @@ def missing_image_embeddings(s: SparkSession, d: str) -> DataFrame:
     return G.missing_embeddings(t["invocations"], t["embeddings"], "V0", "image").select("id", "run_id", "sequence_number", "embedding_model")
 
 
+def backfill_plan(s: SparkSession, d: str) -> DataFrame:
+    return G.backfill(model.tables(s, d), {"M0": "text", "M1": "text", "V0": "image"})
+
+
 def _faulty(s: SparkSession, d: str) -> dict[str, DataFrame]:
     """The tables with rows that break each rule."""
     t = model.tables(s, d)
@@ -184,6 +188,12 @@ def mean_pool_groups(s: SparkSession, d: str) -> DataFrame:
     return C.mean_pooled(e, ["g"]).select("g", "i", F.round("x", 6).alias("x"))
 
 
+def vector_finalise_whole(s: SparkSession, d: str) -> DataFrame:
+    """At the default of 256 dimensions, which these vectors don't fill; every third is all zeros."""
+    v = V.finalised(F.transform(V.doubles(F.col("embedding")), lambda x: x * (F.col("vec_id") % 3)))
+    return frames.table(s, d, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.size("v").cast("long").alias("n"), r6(F.element_at("v", 1)).alias("first"), r6(F.element_at("v", -1)).alias("last"))
+
+
 def _states(s: SparkSession, d: str) -> DataFrame:
     """Users' symbol sequences, in seven cells."""
     return Y.milestoned(frames.symbols(s, d)).withColumn("cell", F.col("run_id") % 7)
@@ -293,6 +303,17 @@ SELECT id, CASE WHEN completed_at IS NOT NULL THEN 'completed' WHEN started_at I
     "delete_runs_of_model": f"WITH {_DELETED.replace('WHICH', chr(39).join(['list_contains(network, ', 'T1', ')']))}, g_embedding_clusters AS (SELECT id FROM m_embedding_clusters WHERE embedding_id IN (FROM g_embeddings) OR medoid_embedding_id IN (FROM g_embeddings)), g_lyapunov_results AS (SELECT id FROM m_lyapunov_results WHERE list_contains(network, 'T1')) {_sql_deleted(_SIX)}",
     "embeddable_images": f"WITH {model.SQL} SELECT id, run_id, sequence_number, 'V0' AS embedding_model FROM m_invocations WHERE type = 'image' AND output_image IS NOT NULL",
     "missing_image_embeddings": f"WITH {model.SQL} SELECT id, run_id, sequence_number, 'V0' AS embedding_model FROM m_invocations WHERE type = 'image' AND output_image IS NOT NULL AND id NOT IN (SELECT invocation_id FROM m_embeddings WHERE embedding_model = 'V0')",
+    "backfill_plan": f"""WITH {model.SQL}, us AS (SELECT DISTINCT id AS experiment_id, unnest(embedding_models) AS m FROM m_experiments),
+gn AS (SELECT id, num_runs, prompts, unnest(networks) AS network FROM m_experiments), gp AS (SELECT id, num_runs, network, unnest(prompts) AS prompt FROM gn), gr AS (SELECT id, network, prompt, unnest(range(num_runs)) AS k FROM gp),
+la AS (SELECT run_id, max(sequence_number) + 1 AS nxt FROM m_invocations GROUP BY run_id),
+st AS (SELECT i.*, experiment_id FROM m_invocations i JOIN m_runs r ON r.id = run_id)
+SELECT 'run' AS work, concat(g.id, '/', array_to_string(g.network, '|'), '/', prompt, '/', k) AS key, NULL::VARCHAR AS embedding_model FROM gr g LEFT JOIN m_runs r ON r.experiment_id = g.id AND r.network = g.network AND r.initial_prompt = prompt AND r.run_number = k WHERE r.id IS NULL
+UNION ALL SELECT 'step', concat(id, '/', coalesce(nxt, 0)), NULL FROM m_runs LEFT JOIN la ON run_id = id WHERE coalesce(nxt, 0) < max_length
+UNION ALL SELECT 'embedding', st.id, m FROM st JOIN us USING (experiment_id) LEFT JOIN m_embeddings v ON v.invocation_id = st.id AND v.embedding_model = m WHERE v.id IS NULL AND CASE m WHEN 'V0' THEN type = 'image' AND output_image IS NOT NULL ELSE type = 'text' AND output_text IS NOT NULL END
+UNION ALL SELECT 'diagram', r.id, m FROM m_runs r JOIN us USING (experiment_id) LEFT JOIN m_persistence_diagrams p ON p.run_id = r.id AND p.embedding_model = m WHERE p.id IS NULL
+UNION ALL SELECT 'exponent', concat(experiment_id, '/', array_to_string(network, '|'), '/', initial_prompt), m FROM (SELECT DISTINCT experiment_id, network, initial_prompt FROM m_runs) JOIN us USING (experiment_id)""",
+    "vector_finalise_whole": """WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id % 3)) AS v FROM embeddings)
+SELECT vec_id, len(v)::BIGINT AS n, round(v[1] / CASE WHEN vec_id % 3 = 0 THEN 1 ELSE sqrt(list_inner_product(v, v)) END, 6) AS first, round(v[64] / CASE WHEN vec_id % 3 = 0 THEN 1 ELSE sqrt(list_inner_product(v, v)) END, 6) AS last FROM a""",
     "rule_violations": f"WITH {_FAULTY} " + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{name}' AS rule, id AS key FROM b_{t} WHERE NOT ({rule})" for t, name, rule in _RULES),
     "repeated_keys": f"WITH {model.SQL} " + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_keys, (2 * count(*))::BIGINT AS n_rows FROM m_{t} WHERE id LIKE '%1'" for t in model.UNIQUE),
     "integrity": f"""WITH {_FAULTY} SELECT 'missing output' AS finding, id AS key FROM b_invocations WHERE CASE type WHEN 'text' THEN output_text IS NULL ELSE output_image IS NULL END
