@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from trajlab.llm.text import NOT_SPACE, Words, mix, slices, window_hashes
+from trajlab.llm.text import NOT_SPACE, Words, mix, released, slices, window_hashes
 
 SHINGLE = 5
 #: MinHash samples: BANDS bands of ROWS
@@ -82,6 +82,7 @@ def similarity(differing_bits: int) -> float:
     return 1 - np.log(1 - 2 * z / BITS) / np.log(1 - 2 / BITS) / (2 * SAMPLES)
 
 
+@released
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text_key, n_shingles, a, b (identity), bands, odd of each row; nulls where the set is empty."""
     for batch in slices(batches, "text"):

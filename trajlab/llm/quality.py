@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlab.llm.tables import checkpointed, keyed, table
-from trajlab.llm.text import CODE_POINT, NOT_SPACE, Words, range_hashes, slices
+from trajlab.llm.text import CODE_POINT, NOT_SPACE, Words, range_hashes, released, slices
 
 #: trees, and documents that each is grown on: TREES * SAMPLE rows at most reach the driver
 TREES, SAMPLE = 100, 64
@@ -80,6 +80,7 @@ def counted(texts: pa.Array) -> list[np.ndarray]:
     return [w.counts, _sums(in_word & CODE_POINT[data], offsets), _sums(_SYMBOL[data], offsets), np.bincount(line_row[later], minlength=rows), np.bincount(row[repeat], minlength=rows), np.bincount(line_row, minlength=rows), _sums(_UPPER[data], offsets)]
 
 
+@released
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         columns = counted(batch.column("text"))
@@ -158,6 +159,7 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / float(self.average(self.size)))
 
 
+@released
 def _scored(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
     names = [f"f{i}" for i in range(N_FEATURES)]
     for batch in batches:
@@ -212,6 +214,7 @@ def assessed(documents: DataFrame, labels: DataFrame, trees: int = TREES, sample
     return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold))
 
 
+@released
 def _passing(batches: Iterator[pa.RecordBatch], forest: Forest, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         n_words, word_chars, n_symbols, _, n_repeat, _, n_upper = counted(batch.column("text"))
@@ -230,5 +233,6 @@ def passing(documents: DataFrame, labels: DataFrame, trees: int = TREES, sample:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's rule statistics, whether the base rules fail it, and the verdict."""
     found = assessed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")

@@ -74,32 +74,35 @@ class Scratch:
     removes what is left of them, also when a step fails."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folders = spark, []
+        self.spark, self.tables = spark, []
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        self.drop(*self.folders)
+        self.drop(*(df for df, _ in self.tables))
 
     def stored(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         folder = fresh_dir(self.spark, name)
-        self.folders.append(folder)
-        df.write.option("compression", codec).parquet(folder)
-        return self.spark.read.parquet(folder)
-
-    def drop(self, *tables: DataFrame | str) -> None:
-        """Remove tables, given as read or by folder, that no later step reads."""
-        for x in tables:
-            folders = [x] if isinstance(x, str) else [f for f in self.folders if any(f.rpartition("/")[2] in g for g in x.inputFiles()[:1])]
-            for folder in folders:
-                removed(self.spark, folder)
-                self.folders.remove(folder)
+        try:
+            df.write.option("compression", codec).parquet(folder)
+        except BaseException:
+            removed(self.spark, folder)
+            raise
+        found = self.spark.read.parquet(folder)
+        self.tables.append((found, folder))
+        return found
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that no later step reads."""
+        for folder in [folder for df, folder in self.tables if any(df is x for x in tables)]:
+            removed(self.spark, folder)
+        self.tables = [(df, folder) for df, folder in self.tables if not any(df is x for x in tables)]
 
     def result(self, df: DataFrame) -> DataFrame:
         """The rows of df, computed now; the tables go."""
         kept = checkpointed(df)
-        self.drop(*self.folders)
+        self.drop(*(x for x, _ in self.tables))
         return kept
 
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,7 @@ def string_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` text bytes; one longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -158,13 +159,25 @@ class Words:
 
 
 def trimmed() -> None:
-    """Give freed memory back to the system at the end of a task: Python workers stay, and their memory
-    counts beside the next stage's."""
+    """Give freed memory back to the system: Python workers stay behind their tasks, and what they hold counts
+    beside the next stage's."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def released(step: Callable) -> Callable:
+    """A step over a task's batches that gives its memory back at the end."""
+
+    @functools.wraps(step)
+    def called(*args, **more):
+        yield from step(*args, **more)
+        trimmed()
+
+    return called
+
+
+@released
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows with their text compressed, for a shuffle: column `text` becomes binary `blob`, a null stays one."""
     squeeze = zstandard.ZstdCompressor(level=1)
