@@ -5,10 +5,12 @@
    which of them may be similar enough; a bucket so falls into clusters.
 3. Clusters that share a class are joined: every link lies within such a
    neighbourhood. No pairs leave a task.
-4. The full sets of a neighbourhood are compared, each pair at most once and
-   only while its two sides aren't connected yet. A neighbourhood too large for
-   a task is dealt into chunks, and a task has two of them.
-5. What the tasks connected is connected over all tasks.
+4. The full sets of a neighbourhood are compared, each pair at most once, only if
+   their sketches are close, and only while its two sides aren't connected yet.
+5. A neighbourhood too large for a task is dealt into chunks, each with some
+   leaders of the neighbourhood, which connect most of it. Only what is left
+   beside the largest component so found visits all chunks.
+6. What the tasks connected is connected over all tasks.
 
 The bands miss a pair at the threshold with probability (1 - s**4)**32, under
 1e-10 at 0.85 and 5e-8 at 0.80; what they and the sketches propose is decided on full sets.
@@ -26,12 +28,15 @@ from pyspark.sql import functions as F
 from trajlab.llm.components import labelled
 from trajlab.llm.minhash import SIGNED, most_differing_bits, shingle_sets, signed
 from trajlab.llm.tables import Scratch, keyed, same_row, table
-from trajlab.llm.text import packed, unpacked
+from trajlab.llm.text import packed, released, unpacked
 
 #: least similarity, in hundredths, of two linked sets
 PERCENT = 85
-#: classes of a bucket that are told apart by their sketches; a larger bucket is one cluster
+#: classes of a bucket that are told apart by their sketches there; a larger bucket is one cluster, whose
+#: sketches are looked at where its sets are compared
 BUCKET = 20_000
+#: leaders of a neighbourhood of several chunks
+LEADERS = 16
 #: shingles of a chunk of a neighbourhood
 CHUNK = 2_000_000
 
@@ -87,6 +92,7 @@ def _similar_sizes(n: np.ndarray, one: int, percent: int) -> np.ndarray:
     return (100 * np.minimum(n, one) >= percent * np.maximum(n, one))
 
 
+@released
 def _clusters(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(g, a): clusters of classes whose sketches may belong to linked sets, of each bucket."""
     most = most_differing_bits(percent / 100)
@@ -115,6 +121,7 @@ def _clusters(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), key)), pa.array(g), pa.array(a[np.concatenate([m for m, _ in rows])])], ["bucket", "cluster", "a"])
 
 
+@released
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingle set of each text as bytes of ascending 64-bit hashes."""
     for batch in batches:
@@ -125,23 +132,28 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "label", "chunks")), pa.array(sets, pa.binary())], ["a", "b", "label", "chunks", "shingles"])
 
 
+@released
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(g, a, b): classes connected by links between full sets, of each task's share."""
+    """(j, ga, gb, a, b): classes connected by links between full sets, in each chunk. Guests from other
+    chunks are compared with those at home; classes of one component (root, where known) aren't."""
     most = most_differing_bits(percent / 100)
-    for share in _groups(batches, ["label", "i", "j"]):
+    for share in _groups(batches, ["label", "j"]):
         sets = [np.frombuffer(x, np.uint64) for x in share.column("shingles").to_pylist()]
-        chunk = share.column("chunk").to_numpy()
-        i, j = share.column("i")[0].as_py(), share.column("j")[0].as_py()
+        guest = share.column("guest").to_numpy().astype(bool)
         odd = np.stack([share.column(f"odd{k}").to_numpy().view(np.uint64) for k in range(8)], 1)
         n = np.array([len(s) for s in sets])
         order = np.argsort(n, kind="stable")
         forest = Forest(len(sets))
+        first: dict[int, int] = {}
+        for k, root in enumerate(share.column("root").to_pylist()):
+            if root is not None:
+                forest.join(k, first.setdefault(root, k))
         for at, x in enumerate(order.tolist()):
             # sets come by size, so those similar in size stand together behind x
             end = at + 1 + int(np.searchsorted(n[order[at + 1 :]], 100 * n[x] // percent, "right"))
             others = order[at + 1 : end]
-            if i != j:
-                others = others[chunk[others] != chunk[x]]
+            if guest[x] or first:
+                others = others[guest[others] != guest[x]]
             others = others[np.bitwise_count(odd[others] ^ odd[x]).sum(1) <= most]
             if not len(others):
                 continue
@@ -164,8 +176,36 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         if len(linked):
             take = pa.array(linked)
             a, b = (share.column(c).combine_chunks() for c in ("a", "b"))
-            first = pa.array(roots[linked])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(linked), i), pa.int32()), pa.array(np.full(len(linked), j), pa.int32()), a.take(first), b.take(first), a.take(take), b.take(take)], ["i", "j", "ga", "gb", "a", "b"])
+            top = pa.array(roots[linked])
+            yield pa.RecordBatch.from_arrays([share.column("j").combine_chunks().take(take), a.take(top), b.take(top), a.take(take), b.take(take)], ["j", "ga", "gb", "a", "b"])
+
+
+_LINKED = "j int, ga long, gb long, a long, b long"
+
+
+def _visits(rows: DataFrame) -> DataFrame:
+    """Rows as guests in every chunk of their neighbourhood but their own."""
+    return rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("j <> chunk").withColumn("guest", F.lit(1))
+
+
+def _links(sets: DataFrame, guests: DataFrame, percent: int) -> DataFrame:
+    """Links between sets (a, b, label, chunk, chunks, root, odd.., shingles), each in its own chunk, and with guests."""
+    home = sets.withColumn("j", F.col("chunk")).withColumn("guest", F.lit(0))
+    dealt = home.unionByName(guests).repartition("label", "j").sortWithinPartitions("label", "j")
+    return dealt.mapInArrow(lambda it: _confirmed(it, percent), _LINKED)
+
+
+def _components(linked: DataFrame, step: int) -> DataFrame:
+    return linked.select(F.struct(F.lit(step).alias("step"), "j", "ga", "gb").alias("g"), F.struct("a", "b").alias("node"))
+
+
+def leftovers(sets: DataFrame, linked: DataFrame) -> DataFrame:
+    """The sets of neighbourhoods of several chunks with their component so far (root), and in `rest` whether
+    they lie outside the largest of their neighbourhood."""
+    found = labelled(_components(linked, 0)).select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.xxhash64("label").alias("root"))
+    known = sets.drop("root").where("chunks > 1").join(found, ["a", "b"], "left").withColumn("root", F.coalesce("root", F.xxhash64("a", "b")))
+    largest = known.groupBy("label", "root").agg(F.count("*").alias("n")).groupBy("label").agg(F.max(F.struct("n", "root")).alias("m")).select("label", F.col("m.root").alias("main"))
+    return known.join(largest, "label").withColumn("rest", F.col("root") != F.col("main")).drop("main")
 
 
 def near_groups(documents: DataFrame, percent: int = PERCENT, bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
@@ -174,11 +214,13 @@ def near_groups(documents: DataFrame, percent: int = PERCENT, bucket: int = BUCK
     component_id is the least doc_id that links reach. A null, empty or blank text has no set and is
     linked with nothing; its component is its own doc_id. Rows with equal sets are linked, so repeated
     rows are in one component. A null doc_id counts as larger than any; a group of such rows alone has a
-    null component.
+    null component. An empty table gives no rows.
     """
-    docs = keyed(documents)
-    scratch = Scratch(documents.sparkSession)
-    stored = scratch.stored
+    with Scratch(documents.sparkSession) as scratch:
+        return scratch.result(_grouped(keyed(documents), percent, bucket, chunk, scratch.stored))
+
+
+def _grouped(docs: DataFrame, percent: int, bucket: int, chunk: int, stored) -> DataFrame:
 
     rows = stored(docs.mapInArrow(signed, SIGNED), "signatures")
     key = ["n_shingles", "a", "b"]
@@ -201,21 +243,25 @@ def near_groups(documents: DataFrame, percent: int = PERCENT, bucket: int = BUCK
     # repeated rows bring a set more than once
     sets = stored(texts.mapInArrow(_sets, "a long, b long, label long, chunks int, shingles binary"), "sets").dropDuplicates(["a", "b"])
     own = F.pmod(F.xxhash64("a", "b"), F.col("chunks")).cast("int")
-    dealt = (
-        sets.join(wanted.select("a", "b", *[f"odd{k}" for k in range(8)]).distinct(), ["a", "b"])
-        .withColumn("chunk", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .withColumn("i", F.least("chunk", "other"))
-        .withColumn("j", F.greatest("chunk", "other"))
-    )
-    linked = dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(lambda it: _confirmed(it, percent), "i int, j int, ga long, gb long, a long, b long")
-    component = labelled(linked.select(F.struct("i", "j", "ga", "gb").alias("g"), F.struct("a", "b").alias("node")))
+    full = sets.join(wanted.select("a", "b", *[f"odd{k}" for k in range(8)]).distinct(), ["a", "b"]).withColumn("chunk", own).withColumn("root", F.lit(None).cast("long"))
+    large = not sizes.where("chunks > 1").isEmpty()
+    guests = full.limit(0).withColumn("j", F.lit(0)).withColumn("guest", F.lit(1))
+    if large:
+        pick = F.xxhash64(F.lit("leader"), "a", "b")
+        leader = wanted.where("chunks > 1").groupBy("label", F.pmod(pick, F.lit(LEADERS)).alias("k")).agg(F.min(F.struct(pick, "a", "b")).alias("m")).select("m.a", "m.b")
+        guests = _visits(full.join(leader, ["a", "b"]))
+    linked = stored(_links(full, guests, percent), "links")
+    both = _components(linked, 0)
+    if large:
+        known = stored(leftovers(full, linked), "leftovers")
+        more = _links(known.drop("rest"), _visits(known.where("rest").drop("rest")), percent)
+        both = both.unionByName(_components(more, 1))
+    component = labelled(both)
     firsts = classes.select("a", "b", F.col("first.doc_id").alias("doc_id")).join(component.select("node.a", "node.b", "label"), ["a", "b"])
     ids = firsts.join(firsts.groupBy("label").agg(F.min("doc_id").alias("component")), "label").select("a", "b", "component")
     alone = classes.select("a", "b", F.col("first.doc_id").alias("own"))
     found = alone.join(ids, ["a", "b"], "left").select("a", "b", F.coalesce("component", "own").alias("component"))
-    out = rows.join(found, ["a", "b"], "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("a").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
-    return scratch.result(out)
+    return rows.join(found, ["a", "b"], "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("a").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def representatives(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -226,6 +272,7 @@ def representatives(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and the least document of its group."""
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
