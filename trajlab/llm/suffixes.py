@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from trajlab.llm.text import BASE, BASE_INVERSE, mix, powers
+
 #: two ranks and a position share one 63-bit key
 BITS = 21
 MOST = (1 << BITS) - 1
@@ -82,6 +84,43 @@ def bounds(symbols: np.ndarray, array: np.ndarray, lo: np.ndarray, hi: np.ndarra
     return first(wanted), first(wanted + 1)
 
 
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, kept for the next symbols."""
+    if len(_POWERS[0]) < n:
+        _POWERS[:] = powers(BASE, n), powers(BASE_INVERSE, n)
+    return _POWERS
+
+
+class RangeHashes:
+    """Prefix sums that tell the hash of any range of symbols. A terminator is like no other symbol, nor like
+    one of other symbols with another salt."""
+
+    def __init__(self, symbols: np.ndarray, salt: int):
+        self.size = len(symbols)
+        value = mix(symbols.astype(np.uint64))
+        ends = np.flatnonzero(symbols == 0)
+        value[ends] = mix(ends.astype(np.uint64) + np.uint64(salt << 40))
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * _tables(len(symbols) + 1)[0][: len(symbols)], dtype=np.uint64)])
+
+    def of(self, start: np.ndarray, size: int) -> np.ndarray:
+        return (self.total[start + size] - self.total[start]) * _tables(self.size + 1)[1][start]
+
+    def common(self, a: np.ndarray, other: RangeHashes, b: np.ndarray, most: int) -> np.ndarray:
+        """Length of the longest common prefix, up to most, at places a of these symbols and b of others:
+        in halving steps, by 64-bit hashes."""
+        out = np.zeros(len(a), np.int64)
+        step = 1 << max(0, int(most).bit_length() - 1)
+        while step:
+            room = np.flatnonzero((a + out + step <= self.size) & (b + out + step <= other.size))
+            same = self.of((a + out)[room], step) == other.of((b + out)[room], step)
+            out[room[same]] += step
+            step //= 2
+        return out
+
+
 def common(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Length of the longest common prefix, up to `most`, of the suffixes at a and b, pair by pair.
     symbols end with a terminator, which matches nothing."""
