@@ -1,7 +1,7 @@
 """Language-model scores with deleted interpolation.
 
-Bigram, unigram and uniform estimates are mixed with weights that depend on how
-often the context was seen. Part of the training documents is deleted from the
+N-gram estimates of all orders up to the model's and a uniform one are mixed with
+weights that depend on how often the longest context seen was seen. Part of the training documents is deleted from the
 counts and the weights are learned on it by expectation-maximisation; the final
 counts are those of all training documents.
 
@@ -9,7 +9,8 @@ Counts come from the whole corpus without a row per token: documents are kept
 in blocks, a block asks for the counts of its distinct n-grams by sending their
 sorted hashes, with its own counts, to hash ranges; a range sums what all
 blocks sent and answers each. What is asked, summed and answered grows with the
-corpus and is spread over all tasks; a frequent n-gram is one entry a block.
+corpus and is spread over all tasks; a frequent n-gram is one entry a block. A
+block sends at most a piece to each range, and never more pieces than n-grams.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlab.llm.tables import Scratch, table
-from trajlab.llm.text import NOT_SPACE, Words, mix, slices, string_view
+from trajlab.llm.tables import Scratch, parts_for, table
+from trajlab.llm.text import NOT_SPACE, Words, mix, released, slices, string_view
 
 #: remainders of crc32(doc_id) mod FOLDS: test documents, and training documents deleted to learn the weights
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
+#: words of the longest n-gram
+ORDER = 2
 #: distinct n-grams that a hash range should have at most, roughly
-RANGE_KEYS = 1_000_000
+RANGE_KEYS = 1_500_000
 #: contexts are told apart by the octave of their frequency
 BUCKETS = 40
 #: steps of an octave in which the weights' training sees probabilities, and rounds of training
@@ -38,11 +41,13 @@ STEPS, ROUNDS = 8, 60
 
 END = np.uint64(0x5851F42D4C957F2D)
 BEGIN = np.uint64(0x14057B7EF767814F)
-_UNI, _BI = np.uint64(0), np.uint64(1)
+#: the lowest bits of a key tell its order
+_ORDERS = np.uint64(7)
 
 _BLOCK = "deleted boolean, n_bytes long, ids array<long>, folds array<int>, lengths array<long>, blob binary"
 
 
+@released
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Documents in blocks of about `most` bytes; those of the deleted part in blocks of their own."""
     squeeze = zstandard.ZstdCompressor(level=3)
@@ -69,9 +74,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
 
 
 class BlockGrams:
-    """Tokens of a block and the keys of their n-grams: the lowest bit tells bigrams from unigrams."""
+    """The keys of the n-grams that end at each token of a block, for every order from 1 on, and those of
+    the contexts of orders from 2 on. A text is as if it began with any number of begin tokens."""
 
-    def __init__(self, lengths: list[int], blob: bytes):
+    def __init__(self, lengths: list[int], blob: bytes, order: int = ORDER):
         data = zstandard.ZstdDecompressor().decompress(blob) if blob else b""
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         column = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
@@ -82,15 +88,21 @@ class BlockGrams:
         last = np.zeros(len(token), bool)
         last[ends - 1] = True
         token[last], token[~last] = END, w.hashes()
-        context = np.concatenate([[BEGIN], token[:-1]])
-        context[ends - self.counts] = BEGIN
         self.row = np.repeat(np.arange(len(lengths)), self.counts)
-        self.uni = (mix(token) & ~_BI) | _UNI
-        self.bi = mix(context * np.uint64(0x9E3779B97F4A7C15) + token) | _BI
+        first = ends - self.counts
+        raw, self.grams, self.contexts = token, [(mix(token) & ~_ORDERS)], []
         # a text begins as often as it ends
-        before = np.concatenate([[END], token[:-1]])
-        before[ends - self.counts] = END
-        self.context = (mix(before) & ~_BI) | _UNI
+        begun, held = (mix(np.array([END])) & ~_ORDERS)[0], np.full(len(lengths), BEGIN)
+        for k in range(1, order):
+            # the hash of the k tokens before each one; before a text stand begin tokens
+            before = np.concatenate([[np.uint64(0)], raw[:-1]])
+            before[first] = held
+            context = np.concatenate([[np.uint64(0)], self.grams[-1][:-1]])
+            context[first] = begun
+            self.contexts.append(context)
+            raw = before * np.uint64(0x9E3779B97F4A7C15) + token
+            held = held * np.uint64(0x9E3779B97F4A7C15) + BEGIN
+            self.grams.append((mix(raw) & ~_ORDERS) | np.uint64(k))
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -113,14 +125,15 @@ def unpack_counts(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
 
 
-def _asked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+@released
+def _asked(batches: Iterator[pa.RecordBatch], bits: int, order: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("deleted", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
     for batch in batches:
         for row in batch.to_pylist():
-            g = BlockGrams(row["lengths"], row["blob"])
+            g = BlockGrams(row["lengths"], row["blob"], order)
             counted = (np.array(row["folds"]) != HELD_OUT)[g.row]
-            keys, at = np.unique(np.concatenate([g.uni, g.bi]), return_inverse=True)
-            counts = np.bincount(at[np.concatenate([counted, counted])], minlength=len(keys))
+            keys, at = np.unique(np.concatenate(g.grams), return_inverse=True)
+            counts = np.bincount(at[np.tile(counted, order)], minlength=len(keys))
             edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.empty(0, np.int64)
             edges = [0, *edges.tolist(), len(keys)]
             for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
@@ -128,6 +141,7 @@ def _asked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
                     yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([row["block"]]), pa.array([row["deleted"]]), pa.array([pack_keys(keys[a:b])], pa.binary()), pa.array([pack_counts(counts[a:b])], pa.binary())], schema=schema)
 
 
+@released
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces come in order of range; all blocks' pieces of a range are summed and answered together.
     Block -1 gets the range's own sums: tokens and distinct tokens of the kept part, and of both."""
@@ -142,7 +156,7 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.zeros(len(distinct), np.int64)
         np.add.at(total, at, n)
         np.add.at(kept, at[kept_part], n[kept_part])
-        uni = (distinct & _BI) == 0
+        uni = (distinct & _ORDERS) == 0
         sums = [int(kept[uni].sum()), int((kept[uni] > 0).sum()), int(total[uni].sum()), int((total[uni] > 0).sum())]
         yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([False]), pa.array([k]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([sums], pa.list_(pa.int64()))], schema=schema)
         start = 0
@@ -163,20 +177,30 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from answer(current, pieces)
 
 
-def _bucket(c: np.ndarray) -> np.ndarray:
-    """0 for a context never seen, else one more than the octave of its count."""
-    return np.where(c > 0, np.minimum(np.log2(np.maximum(c, 1)).astype(np.int64) + 1, BUCKETS - 1), 0)
+def _bucket(contexts: np.ndarray) -> np.ndarray:
+    """From the counts of each token's contexts, a row an order: of the longest context seen one more than
+    the octave of its count, BUCKETS more for each order below the longest; 0 where none was seen."""
+    out = np.zeros(contexts.shape[1], np.int64)
+    for k, c in enumerate(contexts):
+        octave = np.minimum(np.log2(np.maximum(c, 1)).astype(np.int64) + 1, BUCKETS - 1)
+        out = np.where(c > 0, octave + BUCKETS * (len(contexts) - 1 - k), out)
+    return out
 
 
-def _counts_of(row: dict, which: str) -> tuple[BlockGrams, np.ndarray, np.ndarray, np.ndarray]:
-    """A block with the counts of its tokens, their contexts and their bigrams."""
-    g = BlockGrams(row["lengths"], row["blob"])
-    n = len(g.uni)
-    _, at = np.unique(np.concatenate([g.uni, g.bi, g.context]), return_inverse=True)
-    # every context is a unigram of the block too, so the distinct keys are those that were asked
+def _counts_of(row: dict, which: str, order: int) -> tuple[BlockGrams, np.ndarray, np.ndarray]:
+    """A block with the counts of its tokens' n-grams (a row an order) and of their contexts."""
+    g = BlockGrams(row["lengths"], row["blob"], order)
+    n = len(g.row)
+    _, at = np.unique(np.concatenate([*g.grams, *g.contexts]), return_inverse=True)
+    # every context is an n-gram of the block too, so the distinct keys are those that were asked
     answers = np.concatenate([unpack_counts(x[which]) for x in sorted(row["answers"], key=lambda x: x["range"])])
-    c = answers[at]
-    return g, c[:n], c[2 * n :], c[n : 2 * n]
+    c = answers[at].reshape(-1, n)
+    return g, c[:order], c[order:]
+
+
+def _estimates(grams: np.ndarray, contexts: np.ndarray, tokens: int) -> list[np.ndarray]:
+    """Maximum-likelihood estimates, the longest n-grams first."""
+    return [*(g / np.maximum(c, 1) for g, c in zip(grams[:0:-1], contexts[::-1], strict=True)), grams[0] / max(tokens, 1)]
 
 
 def _steps(p: np.ndarray) -> np.ndarray:
@@ -185,37 +209,43 @@ def _steps(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, np.minimum(np.round(-np.log2(np.where(p > 0, p, 1)) * STEPS), 1022).astype(np.int64) + 1, 0)
 
 
-def _histogram(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.RecordBatch]:
-    """How many tokens of the deleted part have each (context bucket, bigram and unigram probability)."""
+@released
+def _histogram(batches: Iterator[pa.RecordBatch], tokens: int, order: int) -> Iterator[pa.RecordBatch]:
+    """How many tokens of the deleted part have each (context bucket, probability by each order)."""
     for batch in batches:
         for row in batch.to_pylist():
-            _, uni, context, bi = _counts_of(row, "kept")
-            cell = (_bucket(context) << 20) | (_steps(bi / np.maximum(context, 1)) << 10) | _steps(uni / max(tokens, 1))
+            _, grams, contexts = _counts_of(row, "kept", order)
+            cell = _bucket(contexts)
+            for p in _estimates(grams, contexts, tokens):
+                cell = (cell << 10) | _steps(p)
             cells, n = np.unique(cell, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], ["cell", "n"])
 
 
-def learned_weights(cells: np.ndarray, n: np.ndarray, vocabulary: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of (bigram, unigram, uniform) for each bucket of context frequency, by expectation-
-    maximisation on the deleted part's cells. A bucket without such tokens has the weights of the next
-    lower one; a context never seen has no bigram."""
-    weights = np.tile([0.0, 0.5, 0.5], (BUCKETS, 1))
-    p = np.stack([np.where(s > 0, 2.0 ** (-(s - 1) / STEPS), 0.0) for s in ((cells >> 10) & 1023, cells & 1023)] + [np.full(len(cells), 1 / (vocabulary + 1))], 1) if len(cells) else np.empty((0, 3))
+def learned_weights(cells: np.ndarray, n: np.ndarray, vocabulary: int, rounds: int = ROUNDS, order: int = ORDER) -> np.ndarray:
+    """Weights of (longest n-gram, .., unigram, uniform) for each bucket of context frequency, by
+    expectation-maximisation on the deleted part's cells. A bucket without such tokens has the weights of
+    the next lower one of its order; orders whose context was never seen have none."""
+    size = order + 1
+    weights = np.zeros((BUCKETS * max(order - 1, 1), size))
+    p = np.stack([np.where(s > 0, 2.0 ** (-(s - 1) / STEPS), 0.0) for s in ((cells >> (10 * k)) & 1023 for k in range(order - 1, -1, -1))] + [np.full(len(cells), 1 / (vocabulary + 1))], 1) if len(cells) else np.empty((0, size))
     seen = None
-    for b in range(BUCKETS):
-        mine = (cells >> 20) == b
+    for b in range(len(weights)):
+        # estimates without a context: all but unigram and uniform, or those longer than the context
+        absent = order - 1 if b == 0 else b // BUCKETS
+        if b % BUCKETS == 0:
+            seen = None
+        usable = np.arange(size) >= absent
+        mine = (cells >> (10 * order)) == b
         if not mine.any():
-            if b and seen is not None:
-                weights[b] = seen
-            elif b:
-                weights[b] = [0.4, 0.4, 0.2]
+            weights[b] = seen if b and seen is not None else usable / usable.sum() if b == 0 else usable * np.where(np.arange(size) == order, 0.2, 0.8 / (order - absent))
             continue
-        w = np.array([0.0, 0.5, 0.5]) if b == 0 else np.full(3, 1 / 3)
+        w = usable / usable.sum()
         for _ in range(rounds):
             share = p[mine] * w
             share /= share.sum(1, keepdims=True)
             w = (share * n[mine, None]).sum(0) / n[mine].sum()
-            w = np.maximum(w, [0.0 if b == 0 else 1e-9, 1e-9, 1e-9])  # no outcome is impossible
+            w = np.maximum(w, np.where(usable, 1e-9, 0.0))  # no outcome is impossible
             w /= w.sum()
         weights[b] = w
         if b:
@@ -228,16 +258,19 @@ class Model:
     tokens: int
     vocabulary: int
     weights: np.ndarray
+    order: int
 
 
+@released
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            g, uni, context, bi = _counts_of(row, "all")
+            g, grams, contexts = _counts_of(row, "all", model.order)
+            uni = grams[0]
             rows = len(row["ids"])
             base = np.log10((uni + 1) / (model.tokens + model.vocabulary + 1))
-            w = model.weights[_bucket(context)]
-            p = w[:, 0] * bi / np.maximum(context, 1) + w[:, 1] * uni / max(model.tokens, 1) + w[:, 2] / (model.vocabulary + 1)
+            w = model.weights[_bucket(contexts)]
+            p = sum(w[:, k] * x for k, x in enumerate(_estimates(grams, contexts, model.tokens))) + w[:, -1] / (model.vocabulary + 1)
             sums = [np.bincount(g.row, x, rows) for x in (uni > 0, base, np.log10(p))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row["ids"], pa.int64()), pa.array(np.array(row["folds"]) == HELD_OUT), pa.array(g.counts, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(np.full(rows, model.tokens), pa.int64()), pa.array(sums[1]), pa.array(sums[2])],
@@ -245,36 +278,43 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
             )
 
 
-def scored(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+def scored(documents: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, by a model of
+    n-grams of up to `order` words (8 at most).
 
     A null or empty text is its end token alone. A null doc_id hashes as an empty string, so it trains.
     Repeated rows are documents of their own, counted each time. Without training documents every
-    token is unknown and uniform.
+    token is unknown and uniform. An empty table gives no rows. Equal texts (ties) have equal scores. The
+    weights are learned on the counts of five of seven parts of the documents and used with those of six.
     """
+    with Scratch(documents.sparkSession) as scratch:
+        return scratch.result(_model_scores(documents, block_bytes, order, scratch))
+
+
+def _model_scores(documents: DataFrame, block_bytes: int, order: int, scratch: Scratch) -> DataFrame:
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % FOLDS
-    scratch = Scratch(documents.sparkSession)
     blocks = scratch.stored(documents.select("doc_id", fold.cast("int").alias("fold"), "text").mapInArrow(lambda it: _blocks(it, block_bytes), _BLOCK).withColumn("block", F.monotonically_increasing_id()), "blocks", "uncompressed")
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    # two n-grams a token, of about six bytes
-    bits = max(0, int(np.ceil(np.log2(max(1, size / 3 / RANGE_KEYS)))))
+    # an n-gram of each order a token, of about six bytes
+    bits = max(0, int(np.ceil(np.log2(max(1, order * size / 6 / RANGE_KEYS)))))
+    parts = min(1 << bits, parts_for(documents.sparkSession, order * size, 16 << 20))
 
-    asked = blocks.select("block", "deleted", "folds", "lengths", "blob").mapInArrow(lambda it: _asked(it, bits), "range long, block long, deleted boolean, keys binary, counts binary")
-    told = asked.repartition("range").sortWithinPartitions("range").mapInArrow(_answered, "block long, deleted boolean, range long, kept binary, all binary, sums array<long>")
+    asked = blocks.select("block", "deleted", "folds", "lengths", "blob").mapInArrow(lambda it: _asked(it, bits, order), "range long, block long, deleted boolean, keys binary, counts binary")
+    told = asked.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_answered, "block long, deleted boolean, range long, kept binary, all binary, sums array<long>")
     told = scratch.stored(told, "answers", "uncompressed")
     sums = told.where("block = -1").select(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(4)]).first()
     kept_tokens, kept_vocabulary, tokens, vocabulary = (x or 0 for x in sums)
     answers = told.where("block >= 0").groupBy("block")
 
     part = blocks.where("deleted").join(told.where("deleted").groupBy("block").agg(F.collect_list(F.struct("range", "kept")).alias("answers")), "block")
-    cells = part.select("lengths", "blob", "answers").mapInArrow(lambda it: _histogram(it, kept_tokens), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    weights = learned_weights(np.array([r.cell for r in cells], np.int64), np.array([r.n for r in cells], np.int64), kept_vocabulary)
+    cells = part.select("lengths", "blob", "answers").mapInArrow(lambda it: _histogram(it, kept_tokens, order), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    weights = learned_weights(np.array([r.cell for r in cells], np.int64), np.array([r.n for r in cells], np.int64), kept_vocabulary, order=order)
 
-    model = Model(tokens, vocabulary, weights)
+    model = Model(tokens, vocabulary, weights, order)
     full = blocks.join(answers.agg(F.collect_list(F.struct("range", "all")).alias("answers")), "block")
-    scores = full.select("ids", "folds", "lengths", "blob", "answers").mapInArrow(lambda it: _scored(it, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scratch.result(scores)
+    return full.select("ids", "folds", "lengths", "blob", "answers").mapInArrow(lambda it: _scored(it, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability, with a base model's beside it."""
     return scored(table(spark, sf_dir, "documents"))
