@@ -142,6 +142,8 @@ def revisits(written_records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) ->
     key = ["payload_digest", "payload_bytes"]
     sized = written_records.where(F.col("payload_bytes") >= min_bytes)
     best = sized.groupBy(*key).agg(F.max(F.struct("page_id", "file", "seq")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    # a table of its own, so that the records of a frequent payload are dealt to several tasks where they meet it
+    best = checkpointed(best)
     return sized.join(best, key).where((F.col("file") != F.col("best.file")) | (F.col("seq") != F.col("best.seq"))).select("file", "seq", F.col("best.page_id").alias("refers_to"))
 
 
@@ -218,7 +220,12 @@ def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_RE
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_records(archive(table(spark, sf_dir, "pages")))
+    """Every page through the archives and back; they go once they are read."""
+    folder = fresh_dir(spark, "archives")
+    try:
+        return checkpointed(read_records(archive(table(spark, sf_dir, "pages"), folder)))
+    finally:
+        removed(spark, folder)
 
 
 OP9_SQL = """
