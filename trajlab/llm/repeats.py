@@ -7,16 +7,19 @@ form a segment; the segments of an anchor are the only text in which its windows
 repeat. So:
 
 1. segments are counted by anchor (partial sums first); an anchor that occurs
-   once has no repeat, and one whose segments are all equal repeats them whole;
+   once has no repeat;
 2. of the others, one segment of each distinct content is fetched from its text
    and brought to its anchor, where a block of anchors is indexed and searched
-   by the operator's own method (`Matcher`);
+   by the operator's own method (`Matcher`), which is told of copies;
 3. an anchor with more than `hot` segments would make a block too large: its
-   distinct segments are cut into pieces, then windows, which are counted by
-   hash (partial sums first), so that no group meets in one task.
-
-Copies of a segment travel as one. Every text is read whole, and what a task
-holds is bounded by a block or by one text.
+   distinct segments are cut into pieces of a few windows, and pieces with the
+   same units in the middle of all their windows (the core) go to a block of
+   their own. Where even a core has more than `hot` different pieces, its windows
+   are counted by hash (partial sums first), so that no group meets in one task.
+
+Copies of a segment travel as one; segments are taken as copies by a 64-bit hash
+of all their units. Every text is read whole, and what a task holds is bounded by
+a block or by one text.
 """
 
 from __future__ import annotations
@@ -30,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajlab.llm.tables import Scratch, keyed, same_row
-from trajlab.llm.text import NOT_SPACE, Words, packed, range_hashes, slices, string_view, unpacked, window_hashes
+from trajlab.llm.text import NOT_SPACE, Words, packed, range_hashes, released, slices, string_view, unpacked, window_hashes
 
-#: segments of an anchor that are indexed together; beyond it windows are counted by hash
+#: segments of an anchor, or pieces of a core, that are indexed together
 HOT = 4096
 #: units of a block, which the index's packed keys hold
-BLOCK_UNITS = 1 << 20
+BLOCK_UNITS = 1 << 19
 #: starts hashed at a time
 CHUNK = 1 << 20
 #: windows of a piece of a hot anchor's segment
@@ -43,9 +46,9 @@ STARTS = 12
 #: bits of an anchor's key that give its place in a chunk
 PLACE = np.uint64((1 << 21) - 1)
 
-#: (units of each segment, number of windows of each) to runs (segment, first start, end of starts) of windows
-#: that start elsewhere in the block
-Matcher = Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: (units of each segment, number of windows of each, whether it has copies) to runs (segment, first start, end of
+#: starts) of windows that start elsewhere in the block, or in a copy
+Matcher = Callable[[list[np.ndarray], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 @dataclass(frozen=True)
@@ -61,10 +64,17 @@ class Windows:
         """Windows of a piece; all of them have units in common."""
         return min(STARTS, max(1, self.window // 2))
 
+    def raw(self) -> Windows:
+        """The same over columns that hold units, eight bytes each, where units are words."""
+        return Windows(self.unit if self.unit == "bytes" else "hashes", self.window, self.gram)
+
     def units(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The units of all texts in a row, and the range of each text."""
         if self.unit == "bytes":
             return string_view(column)
+        if self.unit == "hashes":
+            data, offsets = string_view(column)
+            return np.ascontiguousarray(data).view(np.uint64), offsets // 8
         w = Words(column, NOT_SPACE)
         return w.hashes(), w.rows
 
@@ -101,6 +111,7 @@ def segments(values: np.ndarray, offsets: np.ndarray, w: Windows) -> tuple[np.nd
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+@released
 def _segments(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 2 << 20):
         text, lo, n, anchor, content = segments(*w.units(batch.column("text")), w)
@@ -108,6 +119,7 @@ def _segments(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))], ["doc_id", "text_key", "lo", "n", "anchor", "content"])
 
 
+@released
 def _fetched(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
     """The bytes of each wanted segment: (anchor, content, n, many, hot, segment)."""
     names = ["anchor", "content", "n", "many", "hot"]
@@ -126,17 +138,15 @@ def _fetched(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pieces], [*names, "segment"])
 
 
+@released
 def _matched(batches: Iterator[pa.RecordBatch], w: Windows, matcher: Matcher) -> Iterator[pa.RecordBatch]:
     """Rows come in order of anchor. Whole anchors are gathered into blocks and searched."""
 
     def searched(rows: pa.Table) -> pa.RecordBatch:
         values, offsets = w.units(rows.column("segment").combine_chunks())
         n = rows.column("n").to_numpy().astype(np.int64)
-        row, a, b = matcher([values[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], n)
-        # a segment with copies starts elsewhere whole
-        many = np.flatnonzero(rows.column("many").to_numpy(zero_copy_only=False))
-        keep = ~np.isin(row, many)
-        row, a, b = np.concatenate([row[keep], many]), np.concatenate([a[keep], np.zeros(len(many), np.int64)]), np.concatenate([b[keep], n[many]])
+        many = rows.column("many").to_numpy(zero_copy_only=False).astype(bool)
+        row, a, b = matcher([values[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], n, many)
         take = pa.array(row, pa.int64())
         return pa.RecordBatch.from_arrays([rows.column("anchor").combine_chunks().take(take), rows.column("content").combine_chunks().take(take), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["anchor", "content", "a", "b"])
 
@@ -170,6 +180,7 @@ def _matched(batches: Iterator[pa.RecordBatch], w: Windows, matcher: Matcher) ->
         yield searched(pa.Table.from_batches(held + group))
 
 
+@released
 def _pieces(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
     """Each segment in pieces of w.starts windows, numbered (r) from its anchor, with the hash of the units
     that all windows of the piece have in common (core) and of all its units (whole), and these units."""
@@ -206,60 +217,70 @@ def _exploded(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.Reco
     for batch in batches:
         for k in range(0, batch.num_rows, 2000):
             part = batch.slice(k, 2000)
-            values = np.frombuffer(b"".join(part.column("piece").to_pylist()), kind)
-            m = part.column("m").to_numpy().astype(np.int64)
+            values = np.frombuffer(b"".join(part.column("segment").to_pylist()), kind)
+            m = part.column("n").to_numpy().astype(np.int64)
             sizes = m + w.window - 1
             row = np.repeat(np.arange(len(m)), m)
             at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
             h = window_hashes(values, w.window)[(np.cumsum(sizes) - sizes)[row] + at]
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part.column("anchor").take(take), part.column("content").take(take), pa.array(part.column("a").to_numpy()[row] + at, pa.int32()), pa.array(h.view(np.int64)), part.column("weight").take(take)], ["anchor", "content", "a", "h", "weight"])
+            yield pa.RecordBatch.from_arrays([part.column("anchor").take(take), part.column("content").take(take), pa.array(at, pa.int32()), pa.array(h.view(np.int64)), pa.array(np.where(part.column("many").to_numpy(zero_copy_only=False), 2, 1)[row], pa.int64())], ["anchor", "content", "a", "h", "weight"])
+
+
+_FOUND = "anchor long, content long, a int, b int"
+
+
+def _searched(classes: DataFrame, w: Windows, matcher: Matcher, raw: bool = False) -> DataFrame:
+    """(anchor, content, a, b): runs of repeated windows of classes (anchor, content, n, many, segment) by the
+    operator's method."""
+    given = w.raw() if raw else w
+    return classes.select("anchor", "content", "n", "many", "segment").repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(lambda it: _matched(it, given, matcher), _FOUND)
 
 
-def _crowded(pieces: DataFrame, w: Windows) -> DataFrame:
-    """(anchor, content, a, b): the windows of hot anchors' segments that start elsewhere, by counting.
-    Only a piece that has its core, but not all its units, in common with another is cut into windows."""
+def _crowded(pieces: DataFrame, w: Windows, matcher: Matcher, hot: int, scratch: Scratch) -> DataFrame:
+    """The same for hot anchors' classes, by way of pieces."""
     parts = pieces.mapInArrow(lambda it: _pieces(it, w), "anchor long, content long, a int, m int, r int, core long, whole long, weight long, piece binary")
-    cores = parts.groupBy("anchor", "r", "core").agg(F.sum("weight").alias("total"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("total > 1").select("anchor", "r", "core", (F.col("w0") != F.col("w1")).alias("mixed"))
-    shared = parts.join(cores, ["anchor", "r", "core"])
-    equal = shared.where("not mixed").select("anchor", "content", "a", (F.col("a") + F.col("m")).alias("b"))
-    windows = shared.where("mixed").select("anchor", "content", "a", "m", "weight", "piece").mapInArrow(lambda it: _exploded(it, w), "anchor long, content long, a int, h long, weight long")
+    parts = scratch.stored(parts.withColumn("key", F.xxhash64("anchor", "r", "core")), "parts")
+    groups = scratch.stored(parts.groupBy("key").agg(F.sum("weight").alias("total"), F.count("*").alias("n_parts")).where("total > 1"), "cores")
+    shared = parts.join(groups, "key")
+    classes = scratch.stored(shared.groupBy(F.col("key").alias("anchor"), F.col("whole").alias("content")).agg(F.first("m").alias("n"), (F.sum("weight") > 1).alias("many"), F.first("piece").alias("segment"), F.first("n_parts").alias("n_parts")), "core-classes")
+    usual = _searched(classes.where(F.col("n_parts") <= hot), w, matcher, raw=True)
+    windows = classes.where(F.col("n_parts") > hot).select("anchor", "content", "n", "many", "segment").mapInArrow(lambda it: _exploded(it, w), "anchor long, content long, a int, h long, weight long")
     again = windows.groupBy("anchor", "h").agg(F.sum("weight").alias("weight")).where("weight > 1").select("anchor", "h")
-    return equal.unionByName(windows.join(again, ["anchor", "h"]).select("anchor", "content", "a", (F.col("a") + 1).alias("b")))
+    counted = windows.join(again, ["anchor", "h"]).select("anchor", "content", "a", (F.col("a") + 1).alias("b"))
+    found = scratch.stored(usual.unionByName(counted).select(F.col("anchor").alias("key"), F.col("content").alias("whole"), F.col("a").alias("x"), F.col("b").alias("y")), "core-runs")
+    return parts.select("anchor", "content", "a", "key", "whole").join(found, ["key", "whole"]).select("anchor", "content", (F.col("a") + F.col("x")).alias("a"), (F.col("a") + F.col("y")).alias("b"))
 
 
 def repeated(documents: DataFrame, w: Windows, matcher: Matcher, hot: int = HOT) -> DataFrame:
     """doc_id, text_key, spans: ranges of units (a, b) covered by windows that start elsewhere too,
     for the rows that have any; the ranges may touch and overlap.
 
-    A null, empty or short text has no window. Repeated rows are occurrences of their own, so they
-    repeat each other whole; a null doc_id is a document like any other.
+    A null, empty or short text has no window; an empty table gives no rows. Repeated rows are occurrences of
+    their own, so they repeat each other whole; a null doc_id is a document like any other. Of equal windows
+    (ties) all are repeats, the first one too.
     """
     docs = keyed(documents)
-    scratch = Scratch(documents.sparkSession)
-    row_schema = "doc_id long, text_key long, lo int, n int, anchor long, content long"
-    rows = docs.mapInArrow(lambda it: _segments(it, w), row_schema)
-    anchors = rows.groupBy("anchor").agg(F.count("*").alias("total"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("total > 1")
-    shared = scratch.stored(rows.join(anchors.select("anchor", (F.col("c0") != F.col("c1")).alias("mixed"), (F.col("total") > hot).alias("hot")), "anchor"), "segments")
-
-    classes = shared.where("mixed").groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "text_key", "lo", "n", "hot")).alias("at"), (F.count("*") > 1).alias("many"))
-    wanted = classes.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")).agg(F.collect_list(F.struct("anchor", "content", F.col("at.lo").alias("lo"), F.col("at.n").alias("n"), "many", F.col("at.hot").alias("hot"))).alias("wanted"))
-    blobs = docs.mapInArrow(packed, "doc_id long, text_key long, blob binary")
-    texts = blobs.join(wanted, same_row(blobs, wanted)).select("wanted", "blob")
-    piece_schema = "anchor long, content long, n int, many boolean, hot boolean, segment binary"
-    pieces = texts.mapInArrow(lambda it: _fetched(it, w), piece_schema)
-    # repeated rows fetch a segment once each: one of them will do
-    pieces = scratch.stored(pieces, "pieces")
-
-    found_schema = "anchor long, content long, a int, b int"
-    usual = pieces.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(lambda it: _matched(it, w, matcher), found_schema)
-    crowded = _crowded(pieces.where("hot"), w)
-    runs = usual.unionByName(crowded).groupBy("anchor", "content").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-
-    width = w.window - 1
-    whole = shared.where("not mixed").select("doc_id", "text_key", F.array(F.struct(F.col("lo").alias("a"), (F.col("lo") + F.col("n") + width).alias("b"))).alias("spans"))
-    partly = shared.where("mixed").join(runs, ["anchor", "content"]).select("doc_id", "text_key", F.transform("runs", lambda r: F.struct((F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"] + width).alias("b"))).alias("spans"))
-    return scratch.result(whole.unionByName(partly).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    with Scratch(documents.sparkSession) as scratch:
+        rows = scratch.stored(docs.mapInArrow(lambda it: _segments(it, w), "doc_id long, text_key long, lo int, n int, anchor long, content long"), "rows")
+        # tables of their own, so that the rows of a frequent anchor are dealt to several tasks where they are joined
+        anchors = scratch.stored(rows.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor", (F.col("total") > hot).alias("hot")), "anchors")
+        shared = scratch.stored(rows.join(anchors, "anchor"), "segments")
+        scratch.drop(rows, anchors)
+
+        classes = shared.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "text_key", "lo", "n", "hot")).alias("at"), (F.count("*") > 1).alias("many"))
+        wanted = classes.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")).agg(F.collect_list(F.struct("anchor", "content", F.col("at.lo").alias("lo"), F.col("at.n").alias("n"), "many", F.col("at.hot").alias("hot"))).alias("wanted"))
+        blobs = docs.mapInArrow(packed, "doc_id long, text_key long, blob binary")
+        texts = blobs.join(wanted, same_row(blobs, wanted)).select("wanted", "blob")
+        # repeated rows fetch a segment once each: its copies are known already, so one of them will do
+        pieces = scratch.stored(texts.mapInArrow(lambda it: _fetched(it, w), "anchor long, content long, n int, many boolean, hot boolean, segment binary"), "pieces")
+        once = pieces.where("hot").dropDuplicates(["anchor", "content"])
+        found = _searched(pieces.where("not hot"), w, matcher).unionByName(_crowded(once, w, matcher, hot, scratch))
+        runs = scratch.stored(found.groupBy("anchor", "content").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "runs")
+        scratch.drop(pieces)
+        width = w.window - 1
+        partly = shared.join(runs, ["anchor", "content"]).select("doc_id", "text_key", F.transform("runs", lambda r: F.struct((F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"] + width).alias("b"))).alias("spans"))
+        return scratch.result(partly.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def with_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:

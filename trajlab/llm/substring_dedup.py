@@ -1,11 +1,13 @@
 """Removal of repeated word sequences by relative Lempel-Ziv parsing.
 
 Where windows may repeat (see `repeats`), the segments of a block are the
-indexed reference: a suffix array of their words. Each segment is factored
-greedily against it, its own position excepted: a factor is the longest
-sequence from the cursor that starts elsewhere too. A factor of a window or
-more is a duplicate span. A window may straddle the end of a factor, so the
-cursor goes on at the first start whose window leaves the factor.
+indexed reference: a suffix array of their words. Equal windows have equal
+anchors, so no other block can hold a window of a segment. Each segment is
+factored greedily against its block, its own position excepted: a factor is the
+longest sequence from the cursor that starts elsewhere too, and the next one
+begins behind it. A factor of a window or more is a duplicate span. A window may
+also straddle factors: where it holds none with the word behind it, which
+together start nowhere else, it is looked up by itself.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trajlab.llm.repeats import HOT, Windows, merged, repeated, with_spans
 from trajlab.llm.suffixes import common, suffix_array
 from trajlab.llm.tables import table
-from trajlab.llm.text import unpacked
+from trajlab.llm.text import released, unpacked
 
 WINDOW, GRAM = 35, 6
 
@@ -28,9 +30,11 @@ WINDOW, GRAM = 35, 6
 class ReferenceBlock:
     """Word sequences with the order of all their suffixes."""
 
-    def __init__(self, sequences: list[np.ndarray]):
+    def __init__(self, sequences: list[np.ndarray], many: np.ndarray | None = None):
+        """many: which sequences have copies beyond the block."""
         sizes = np.array([len(s) for s in sequences], np.int64)
-        self.starts = np.cumsum(sizes + 1) - sizes - 1
+        self.starts, self.sizes = np.cumsum(sizes + 1) - sizes - 1, sizes
+        self.many = np.zeros(len(sizes), bool) if many is None else many
         self.most = int(sizes.max(initial=1))
         words = np.concatenate(sequences) if sequences else np.empty(0, np.uint64)
         inside = np.ones(int((sizes + 1).sum()), bool)
@@ -43,36 +47,63 @@ class ReferenceBlock:
 
     def factor(self, at: np.ndarray) -> np.ndarray:
         """Length of the longest sequence from each position that starts at another position too: the
-        better of the two neighbours in the order of suffixes."""
+        better of the two neighbours in the order of suffixes, or, in a sequence with copies, its rest."""
         j, last = self.place[at], len(self.array) - 1
         before = np.where(j > 0, common(self.symbols, at, self.array[np.maximum(j - 1, 0)], self.most), 0)
         behind = np.where(j < last, common(self.symbols, at, self.array[np.minimum(j + 1, last)], self.most), 0)
-        return np.maximum(before, behind)
+        row = np.searchsorted(self.starts, at, "right") - 1
+        return np.maximum(np.maximum(before, behind), np.where(self.many[row], (self.starts + self.sizes)[row] - at, 0))
 
 
-def matcher(sequences: list[np.ndarray], n: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parse all sequences side by side; runs of starts inside factors of a window or more."""
-    block = ReferenceBlock(sequences)
-    cursor, row = np.zeros(len(n), np.int64), np.flatnonzero(n > 0)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def parsed(block: ReferenceBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The factors of all sequences, parsed side by side: sequence, start and length. A word that starts
+    nowhere else is a factor of length 0, and is passed."""
+    cursor, row = np.zeros(len(block.sizes), np.int64), np.flatnonzero(block.sizes > 0)
+    found = [(np.empty(0, np.int64),) * 3]
     while len(row):
         at = cursor[row]
         length = block.factor(block.starts[row] + at)
-        long = length >= window
-        end = np.minimum(at + length - window + 1, n[row])
-        found.append((row[long], at[long], end[long]))
-        cursor[row] = np.where(long, end, at + 1)
-        row = row[cursor[row] < n[row]]
-    if not found:
-        return (np.empty(0, np.int64),) * 3
+        found.append((row, at, length))
+        cursor[row] = at + np.maximum(length, 1)
+        row = row[cursor[row] < block.sizes[row]]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def matcher(sequences: list[np.ndarray], n: np.ndarray, many: np.ndarray | None = None, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of starts whose windows lie in a long factor, or straddle factors and start elsewhere too."""
+    block = ReferenceBlock(sequences, many)
+    row, at, length = parsed(block)
+    first = np.cumsum(n) - n  # all sequences' starts of windows in a row
+    total = int(n.sum())
+
+    def covered(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which starts lie in ranges of their sequences."""
+        a, b = np.clip(a, 0, n[row]), np.clip(b, 0, n[row])
+        steps = np.zeros(total + 1, np.int64)
+        np.add.at(steps, (first[row] + a)[a < b], 1)
+        np.add.at(steps, (first[row] + b)[a < b], -1)
+        return np.cumsum(steps[:-1]) > 0
+
+    long = length >= window
+    inside = covered(row[long], at[long], (at + length - window + 1)[long])
+    # a factor and the word behind it start nowhere else; at the end of a sequence there is no such word
+    whole = at + length < block.sizes[row]
+    apart = covered(row[whole], (at + length + 1 - window)[whole], (at + 1)[whole])
+    unsure = np.flatnonzero(~inside & ~apart)
+    owner = np.repeat(np.arange(len(n)), n)
+    place = np.arange(total) - first[owner]
+    inside[unsure] = block.factor(block.starts[owner[unsure]] + place[unsure]) >= window
+    edge = np.flatnonzero(inside & ((place == 0) | ~np.concatenate([[False], inside[:-1]])))
+    last = np.flatnonzero(inside & ((place + 1 == n[owner]) | ~np.concatenate([inside[1:], [False]])))
+    return owner[edge], place[edge], place[last] + 1
+
+
 def repeated_words(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, text_key and the spans of words covered by a window of words that also starts elsewhere."""
-    return repeated(documents, Windows("words", window, gram), lambda s, n: matcher(s, n, window), hot)
+    return repeated(documents, Windows("words", window, gram), lambda s, n, many: matcher(s, n, many, window), hot)
 
 
+@released
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -89,12 +120,13 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_words(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept: the remaining words of each text, joined by a
-    space. A null text has no words."""
+    space. A null text has no words; repeated rows of a window or more lose all; an empty table gives no rows."""
     spans = repeated_words(documents, window, gram, hot)
     return with_spans(documents, spans).mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without its 35-word windows that start anywhere else too, as digest and sizes."""
     return dedup_words(table(spark, sf_dir, "documents")).drop("kept")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trajlab.llm.repeats import HOT, Windows, merged, repeated, with_spans
 from trajlab.llm.suffixes import common_bytes, suffix_array
 from trajlab.llm.tables import table
-from trajlab.llm.text import unpacked
+from trajlab.llm.text import released, unpacked
 
 WINDOW, GRAM = 200, 24
 
@@ -33,8 +33,11 @@ class RunLengthIndex:
     tails, tail_match: the same of its last suffix and the suffix behind.
     """
 
-    def __init__(self, strings: list[np.ndarray]):
+    def __init__(self, strings: list[np.ndarray], many: np.ndarray | None = None):
+        """many: which strings have copies beyond the index."""
         sizes = np.array([len(s) for s in strings], np.int64)
+        self.ends = np.cumsum(sizes + 1) - 1
+        self.many = np.zeros(len(strings), bool) if many is None else many
         self.starts = np.cumsum(sizes + 1) - sizes - 1
         self.size = int((sizes + 1).sum())
         symbols, data = np.zeros(self.size, np.int64), np.zeros(self.size, np.uint8)
@@ -56,9 +59,12 @@ class RunLengthIndex:
             self.head_match[1:] = self.tail_match[:-1] = common_bytes(data, ends_at, self.heads[1:], self.tails[:-1])
 
     def statistics(self) -> np.ndarray:
-        """For every position, terminators included, the longest match that starts anywhere else."""
+        """For every position, terminators included, the longest match that starts anywhere else; in a string
+        with copies that is the rest of the string."""
         out = np.zeros(self.size, np.int64)
         at = np.arange(self.size)
+        copied = np.repeat(self.many, self.ends - self.starts + 1)
+        out[copied] = (np.repeat(self.ends, self.ends - self.starts + 1) - at)[copied]
         for sampled, match in ((self.heads, self.head_match), (self.tails, self.tail_match)):
             last = np.zeros(self.size, np.int64)
             last[sampled] = sampled
@@ -69,9 +75,9 @@ class RunLengthIndex:
         return out
 
 
-def matcher(strings: list[np.ndarray], n: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def matcher(strings: list[np.ndarray], n: np.ndarray, many: np.ndarray | None = None, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of starts whose matching statistic reaches the window."""
-    index = RunLengthIndex(strings)
+    index = RunLengthIndex(strings, many)
     marked = index.statistics() >= window
     edge = np.diff(np.concatenate([[False], marked, [False]]).astype(np.int8))
     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -81,9 +87,10 @@ def matcher(strings: list[np.ndarray], n: np.ndarray, window: int = WINDOW) -> t
 
 def repeated_bytes(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, text_key and the spans of bytes covered by a window-byte string that also starts elsewhere."""
-    return repeated(documents, Windows("bytes", window, gram), lambda s, n: matcher(s, n, window), hot)
+    return repeated(documents, Windows("bytes", window, gram), lambda s, n, many: matcher(s, n, many, window), hot)
 
 
+@released
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -99,12 +106,14 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_bytes(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept: each text without its repeated bytes,
-    as bytes, since a span may end within a character. A null text is an empty one."""
+    as bytes, since a span may end within a character. A null text is an empty one; repeated rows of a
+    window or more lose all; an empty table gives no rows."""
     spans = repeated_bytes(documents, window, gram, hot)
     return with_spans(documents, spans).mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without its 200-byte strings that start anywhere else too, as digest and sizes."""
     return dedup_bytes(table(spark, sf_dir, "documents")).drop("kept")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from trajlab.llm.files import located, removed, written
 from trajlab.llm.tables import Scratch, checkpointed, fresh_dir, keyed, parts_for, table
-from trajlab.llm.text import gathered, string_view, trimmed
+from trajlab.llm.text import gathered, released, string_view, trimmed
 from trajlab.llm.units import UnitStore, split_at_spaces
 
 END_ID = 0
@@ -273,6 +273,7 @@ class Code:
         return out.ravel()[:n] if whole < len(offsets) else out.ravel()
 
 
+@released
 def _counted(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.RecordBatch]:
     expand, total = zstandard.ZstdDecompressor(), np.zeros(1 << LIMIT, np.int64)
     for batch in batches:
@@ -288,6 +289,7 @@ def _counted(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.R
 # ---------------------------------------------------------------- files
 
 
+@released
 def _write(batches: Iterator[pa.RecordBatch], folder: str, lengths: np.ndarray, kind: np.dtype, file_tokens: int) -> Iterator[pa.RecordBatch]:
     """Files of a range's consecutive documents; a full file opens the next. `at` counts the range's
     tokens before a file."""
@@ -339,6 +341,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, lengths: np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([expected - first], pa.int64())], ["file", "part", "at", "n_tokens"])
 
 
+@released
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for uri, first in zip(batch.column("file").to_pylist(), batch.column("first").to_pylist(), strict=True):
