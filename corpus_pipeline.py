@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from trajlab.llm import decontaminate, line_dedup, near_dedup, pieces, quality
-from trajlab.llm.tables import fresh_dir, table
+from trajlab.llm.files import removed
+from trajlab.llm.tables import checkpointed, fresh_dir, quoted, table
 
 #: least similarity, in hundredths, of two documents of a group; op4 alone has 85 as its contract
 NEAR_PERCENT = 80
@@ -27,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines equal to an earlier one are cut at every length, those within a word of it from 8 words on;
     documents stay, if need be with an empty text."""
-    return line_dedup.without_lines(docs, equal_words=1).drop("_n_lines", "_n_removed")
+    return line_dedup.without_lines(docs, equal_words=1).select(*[quoted(c) for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +37,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Documents with a benchmark passage go; null and empty texts stay, repeated rows share one fate."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of each text and the text they decode to."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.decoded(pieces.encoded(docs, path), path).drop("text_key")
+    return pieces.round_trip(docs, path).drop("text_key")
 
 
 STAGES = [
@@ -56,10 +57,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        folder = fresh_dir(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The rows of the last stage. What the stages wrote goes once the last one is computed."""
+    docs, folders = table(spark, sf_dir, "documents"), []
+    try:
+        for name, stage in STAGES[:-1]:
+            folders.append(fresh_dir(spark, name))
+            stage(spark, docs, sf_dir).write.parquet(folders[-1])
+            docs = spark.read.parquet(folders[-1])
+        return checkpointed(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        for folder in folders:
+            removed(spark, folder)
