@@ -221,7 +221,6 @@ def near_groups(documents: DataFrame, percent: int = PERCENT, bucket: int = BUCK
 
 
 def _grouped(docs: DataFrame, percent: int, bucket: int, chunk: int, stored) -> DataFrame:
-
     rows = stored(docs.mapInArrow(signed, SIGNED), "signatures")
     key = ["n_shingles", "a", "b"]
     classes = stored(rows.where("a is not null").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
@@ -260,7 +259,8 @@ def _grouped(docs: DataFrame, percent: int, bucket: int, chunk: int, stored) ->
     firsts = classes.select("a", "b", F.col("first.doc_id").alias("doc_id")).join(component.select("node.a", "node.b", "label"), ["a", "b"])
     ids = firsts.join(firsts.groupBy("label").agg(F.min("doc_id").alias("component")), "label").select("a", "b", "component")
     alone = classes.select("a", "b", F.col("first.doc_id").alias("own"))
-    found = alone.join(ids, ["a", "b"], "left").select("a", "b", F.coalesce("component", "own").alias("component"))
+    # a table of its own, so that the rows of a set with many copies are dealt to several tasks where they meet it
+    found = stored(alone.join(ids, ["a", "b"], "left").select("a", "b", F.coalesce("component", "own").alias("component")), "found")
     return rows.join(found, ["a", "b"], "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("a").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
