@@ -184,19 +184,21 @@ def _near(candidates: DataFrame, scratch: Scratch) -> DataFrame:
     spread = candidates.repartition(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hashed = _hashed(spread)
     gaps = scratch.stored(hashed.select("at", F.posexplode_outer("variants").alias("gap", "key")).select("at", (F.col("gap") + 1).alias("place"), F.col("key.u").alias("u"), F.col("key.v").alias("v")), "variants")
+    whole = scratch.stored(hashed.select("u", "v", F.col("at").alias("short")), "whole-lines")
+    # most variants meet no other: they go before anything is made of their lines
+    met = gaps.select("u", "v").unionByName(whole.select("u", "v")).groupBy("u", "v").agg(F.count("*").alias("n")).where("n > 1").select("u", "v")
+    every, gaps = gaps, scratch.stored(gaps.join(met, ["u", "v"]), "met-variants")
+    scratch.drop(every)
     # both lines lack their word at one place: one was replaced
     group = gaps.groupBy("u", "v", "place").agg(F.min("at").alias("other"), F.count("*").alias("n")).where("n > 1").select("u", "v", "place", "other")
     replaced = gaps.join(group, ["u", "v", "place"]).select("at", "place", "other")
     # the variant is a whole line: one word was added
-    whole = hashed.select("u", "v", F.col("at").alias("short"))
     added = gaps.join(whole, ["u", "v"]).select("at", "place", "short")
     longer = added.select("at", "place", F.col("short").alias("other"))
     shorter = added.groupBy(F.col("short").alias("at0")).agg(F.min(F.struct(F.col("at").alias("other"), "place")).alias("m")).select(F.col("at0").alias("at"), "m.place", "m.other")
     pairs = replaced.unionByName(longer).unionByName(shorter).where(F.col("other") < F.col("at")).groupBy("at", "other").agg(F.min("place").alias("place"))
     verified = pairs.join(candidates, "at").join(candidates.select(F.col("at").alias("other"), F.col("words").alias("words2")), "other").where(_one_edit(F.col("words"), F.col("words2"), F.col("place")))
-    found = scratch.stored(verified.select("at").distinct(), "near-lines")
-    scratch.drop(gaps, candidates)
-    return found
+    return scratch.stored(verified.select("at").distinct(), "near-lines")
 
 
 def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS, equal_words: int | None = None) -> DataFrame:
