@@ -210,7 +210,7 @@ def _blocks(benchmark: DataFrame, n: int, block_bytes: int):
     """What tasks get the benchmark from: one block, broadcast, where its bytes allow, else files in the
     shared folder, which stay there until the folder is cleared."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text <> ''")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size <= block_bytes:
         rows = items.collect()
