@@ -61,13 +61,13 @@ class ByteLevelEncoder:
         # the byte-level alphabet writes a space as this letter
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.inner = UnitStore(self._inner, most_units=600_000, most_ids=3_000_000)
+        self.inner = UnitStore(self._inner, most_units=800_000, most_ids=4_000_000)
         self.first = UnitStore(self._each, most_units=100_000)
 
     def shrink(self) -> None:
         """Between tasks a worker keeps only stores of a bounded size."""
         for store in (self.inner, self.first):
-            if store.n > 300_000:
+            if store.n > 600_000:
                 store.clear()
         trimmed()
 
