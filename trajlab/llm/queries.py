@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can state them, the same in DuckDB SQL."""
 
-from trajlab.llm import decontaminate, line_dedup, lm_score, near_dedup, pieces, quality, substring_dedup, suffix_dedup, token_files, warc
+from trajlab.llm import decontaminate, line_dedup, lm_score, manifest, near_dedup, pieces, quality, substring_dedup, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op2_pieces": pieces.op2_pieces,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_token_files": token_files.op5_token_files,
     "op9_warc": warc.op9_warc,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_manifest": manifest.op11_manifest,
 }
 
 SQL = {
