@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can state them, the same in DuckDB SQL."""
 
-from trajlab.llm import decontaminate, line_dedup, lm_score, manifest, near_dedup, pieces, quality, repair, substring_dedup, suffix_dedup, token_files, warc
+from trajlab.llm import decontaminate, factor_machine, line_dedup, lm_score, manifest, near_dedup, pieces, quality, repair, substring_dedup, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op2_pieces": pieces.op2_pieces,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_manifest": manifest.op11_manifest,
+    "op12_quality_classifier": factor_machine.op12_quality_classifier,
     "op13_conversation_repair": repair.op13_conversation_repair,
 }
 
