@@ -227,10 +227,128 @@ def test_times_shown(spark):
     assert [tuple(r) for r in df.select(S.shown_time(F.col("t")), S.exif_time(F.col("t"))).collect()] == [("2024-01-02 03:04:05", "2024:01:02 03:04:05"), ("-", "")]
 
 
-def test_pairs_of_a_long_run(spark):
-    p = steps(spark, {("p", "a"): [[i] for i in range(30)]})
-    got = T.pairs_within(p, 7).collect()
-    assert len(got) == len({(r.t1, r.t2) for r in got}) == 435 and all(r.t1 < r.t2 for r in got)
+def walk(spark, n=60, seed=4):
+    rng = np.random.default_rng(seed)
+    x = {r: rng.integers(0, 4, (m, 2)).astype(float) for r, m in (("a", n), ("b", n // 2), ("c", 1))}
+    return x, steps(spark, {("p", r): v.tolist() for r, v in x.items()})
+
+
+def all_distances(x):
+    return np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_blocks_see_every_pair_of_a_run_once(spark, block):
+    """First returns, radius and edge counts of runs cut into blocks, as all pairs give them."""
+    x, p = walk(spark)
+    got = {r.run_id: (r.n_returns, r.mean_return) for r in T.return_times(p, 1.2, 3, block).collect()}
+    edges = {r.run_id: (r.num_edges, r.radius) for r in P.rips_edges(p, block).collect()}
+    assert set(edges) == {"a", "b"}
+    for run in "ab":
+        d = all_distances(x[run])
+        first = [min(k) for i in range(len(d)) if (k := [j - i for j in range(i + 3, len(d)) if d[i, j] < 1.2])]
+        assert got[run] == (len(first), pytest.approx(np.mean(first)))
+        radius = np.round(d, 9).max(1).min()
+        assert edges[run] == ((np.round(d, 9)[np.triu_indices(len(d), 1)] <= radius).sum(), pytest.approx(radius))
+
+
+def heights(w):
+    """The weights of a least spanning tree of a full matrix, plainly."""
+    near, out, left = w[0].copy(), [], set(range(1, len(w)))
+    while left:
+        at = min(left, key=lambda i: near[i])
+        left.remove(at)
+        out.append(near[at])
+        near = np.minimum(near, w[at])
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [5, 16, 1024])
+def test_bars_of_runs_in_blocks(spark, block):
+    """Coinciding points give bars of no length, whatever the blocks."""
+    x, p = walk(spark)
+    bars = {}
+    for r in P.h0_bars(p, block).collect():
+        bars.setdefault(r.run_id, []).append(r.death)
+    assert set(bars) == {"a", "b"} and all(sorted(bars[r]) == pytest.approx(heights(all_distances(x[r])), abs=0) for r in "ab")
+
+
+def test_least_forest_of_many_clouds(spark):
+    """Boruvka's rounds against Kruskal's order, with equal weights, long chains, loops and apart pieces."""
+    from trajlab.operators import spanning as N
+
+    rng = np.random.default_rng(8)
+    rows = [("chain", i, i + 1, 1.0) for i in range(40)] + [("fall", i, i + 1, float(i)) for i in range(40)] + [("one", 1, 2, 0.5), ("two", 1, 2, 0.5), ("two", 1, 2, 0.25), ("two", 8, 9, 0.5)]
+    rows += [("dense", i, j, float(rng.integers(0, 6))) for i in range(25) for j in range(i + 1, 25) if rng.random() < 0.6]
+    edges = spark.createDataFrame(rows, "g string, u long, v long, w double")
+    want = []
+    label = {}
+    for g, u, v, w in sorted(rows, key=lambda r: (r[0], r[3], r[1], r[2])):
+        a, b = label.setdefault((g, u), (g, u)), label.setdefault((g, v), (g, v))
+        if a != b:
+            want.append((g, u, v, w))
+            label = {k: min(a, b) if x in (a, b) else x for k, x in label.items()}
+    assert sorted(map(tuple, N.least_forest(edges, ["g"]).select("g", "u", "v", "w").collect())) == sorted(want)
+    assert N.least_forest(edges.limit(0), ["g"]).count() == 0
+    cuts = {(r.g, r.level): r.cut for r in N.quantile_cuts(edges.where("g in ('fall', 'one')"), ["g"], [0.75, 0.25]).collect()}
+    assert cuts == {("fall", 0): 9.0, ("fall", 1): 29.0, ("one", 0): 0.5, ("one", 1): 0.5}
+
+
+def test_several_models_at_once(spark):
+    """Each model is cut at quantiles of its own tree; blocks change nothing; a small model has no layer."""
+    rng = np.random.default_rng(9)
+    x = {"A": np.concatenate([rng.normal(c, 0.1, (20, 3)) for c in (0, 3, 9)] + [rng.normal(0, 30, (5, 3))]), "B": np.concatenate([rng.normal(c, 2.0, (15, 3)) for c in (0, 40)]), "C": rng.normal(0, 1, (15, 3))}
+    df = spark.createDataFrame([(m, 100 * k + i, v.tolist()) for k, (m, vs) in enumerate(x.items()) for i, v in enumerate(vs)], "embedding_model string, id long, v array<double>")
+    key = ["embedding_model"]
+    tree = C.merges(df, key, block=17)
+    for m, vs in x.items():
+        d = all_distances(vs)
+        core = np.sort(d, 1)[:, 5]
+        assert sorted(r.w for r in tree.where(F.col("embedding_model") == m).collect()) == pytest.approx(heights(np.maximum(np.maximum(core[:, None], core[None]), d)), abs=1e-8)
+    found = {}
+    for r in C.clusterings(df, key, block=17).collect():
+        found.setdefault((r.embedding_model, r.layer), {})[r.id] = r.cluster
+    assert set(m for m, _ in found) == {"A", "B"} and all(len(v) == len(x[m]) for (m, _), v in found.items())
+    # clusters of A lie each in one of its crowds of twenty
+    assert all(c // 20 == i // 20 and i < 60 for (m, _), v in found.items() if m == "A" for i, c in v.items() if c is not None)
+    assert max(len(set(v.values()) - {None}) for (m, _), v in found.items() if m == "A") == 3
+    whole = {(r.embedding_model, r.layer, r.id): r.cluster for r in C.clusterings(df, key).collect()}
+    assert whole == {(m, k, i): c for (m, k), v in found.items() for i, c in v.items()}
+
+
+def curved(n, seed=0):
+    """Points of a bent sheet of three dimensions in forty, as embeddings lie, a third of them in one spot."""
+    rng = np.random.default_rng(seed)
+    z = rng.uniform(-1, 1, (n, 3))
+    z[: n // 3] *= 0.05
+    turn = rng.normal(0, 1, (6, 40))
+    return np.concatenate([z, np.sin(2 * z)], 1) @ turn
+
+
+def test_neighbours_by_lists_of_centres(spark):
+    """Nine tenths of the nearest are found, distances are exact, and each point meets a bounded number of lists."""
+    x = curved(3000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    d = all_distances(x)
+    want = np.argsort(d, 1)[:, 1:6]
+    got = C.nearest(df, 5, block=128, probes=6).collect()
+    assert len(got) == 15000 and all(abs(r.d - d[r.id, r.other]) < 1e-9 for r in got)
+    hits = {(r.id, r.other) for r in got}
+    assert sum((i, int(j)) in hits for i in range(3000) for j in want[i]) / 15000 >= 0.9
+    lists = C.listed(df.withColumn("g", F.lit(1)), ["g"], 6, 128)
+    assert lists.count() == 6 * 3000 and lists.select("id", "_list").distinct().count() == 6 * 3000
+    assert lists.select("_list").distinct().count() > 100
+
+
+def test_clusters_by_lists_of_centres(spark):
+    """Beyond the size where all meet all, crowds are still told apart."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 0.2, (300, 6)) + c for c in np.eye(6)[:4] * 10])
+    df = spark.createDataFrame([("M", i, v.tolist()) for i, v in enumerate(x)], "embedding_model string, id long, v array<double>")
+    tree = C.merges(df, ["embedding_model"], block=128, exact=1000, probes=4)
+    cuts = spark.createDataFrame([("M", 0, 3.0)], "embedding_model string, level int, cut double")
+    got = {r.id: r.cluster for r in C.layers(df, tree, cuts, ["embedding_model"]).collect()}
+    assert [len({got[i] for i in range(300 * k, 300 * k + 300)}) for k in range(4)] == [1] * 4 and len(set(got.values())) == 4
 
 
 def test_forests_connect_what_all_pairs_do(spark):

@@ -1,136 +1,172 @@
-"""Layered density clustering of pooled vectors, centroids and medoids."""
+"""Layered density clustering of pooled vectors, model by model; centroids and medoids."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from trajlab.operators.blocks import BLOCK, Side, between, distances, meet
 from trajlab.operators.graph import components
+from trajlab.operators.spanning import block_edges, least_forest, quantile_cuts, spanning_forest
 
 MIN_SAMPLES = 5
-#: vectors of a block; a task compares two blocks
-BLOCK = 512
-
-
-def _dealt(vectors: DataFrame, block: int) -> DataFrame:
-    """Blocks of vectors (id, v, core), a row each, at each pair of blocks that they are in: (i, j, second,
-    rows)."""
-    n = max(1, -(-vectors.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own")
-    blocks = vectors.groupBy(own).agg(F.collect_list(F.struct("id", "v", "core")).alias("rows"))
-    spread = blocks.select("own", "rows", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
-    return spread.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "rows")
-
-
-def _block(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, vectors and core distances of a block."""
-    return np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows], float), np.array([np.nan if r["core"] is None else r["core"] for r in rows])
-
-
-def _pair(pdf: pd.DataFrame) -> tuple[tuple, tuple | None]:
-    """A task's two blocks; one where a block meets itself."""
-    first = [_block(r) for r in pdf.loc[~pdf["second"], "rows"]]
-    second = [_block(r) for r in pdf.loc[pdf["second"], "rows"]]
-    if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
-        return first[0], None
-    empty = (np.empty(0, np.int64), np.empty((0, 1)), np.empty(0))
-    return (first or [empty])[0], (second or [empty])[0]
-
-
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0.0))
-
-
-def core_distances(vectors: DataFrame, min_samples: int = MIN_SAMPLES, block: int = BLOCK) -> DataFrame:
-    """(id, core): distance to the min_samples-th nearest other vector, exact, by blocks. A block's task
-    gives only its own nearest of each row. vectors (id, v), v of doubles."""
-    k = min_samples
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = _pair(pdf)
-        if b is not None and not (len(a[0]) and len(b[0])):
-            return pd.DataFrame({"id": np.empty(0, np.int64), "d": np.empty(0)})
-        d = _distances(a[1], a[1] if b is None else b[1])
-        if b is None:
-            np.fill_diagonal(d, np.inf)
-        out = []
-        for ids, m in ((a[0], d),) if b is None else ((a[0], d), (b[0], d.T)):
-            best = np.sort(np.partition(m, min(k, m.shape[1]) - 1, axis=1)[:, :k], axis=1)
-            out.append(pd.DataFrame({"id": np.repeat(ids, best.shape[1]), "d": best.ravel()}))
-        return pd.concat(out)
-
-    near = _dealt(vectors.select("id", "v", F.lit(None).cast("double").alias("core")), block).groupBy("i", "j").applyInPandas(nearest, "id long, d double").where("d < double('infinity')")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("d"))
-    return near.withColumn("k", rank).where(F.col("k") == k).select("id", F.col("d").alias("core"))
-
-
-def _forest(w: np.ndarray) -> list[tuple[int, int, float]]:
-    """The edges of a least spanning forest of a dense graph; an infinite weight is no edge."""
-    n = len(w)
-    near, source, left = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
-    out = []
-    at = 0
-    for _ in range(n):
-        left[at] = False
-        closer = left & (w[at] < near)
-        near[closer], source[closer] = w[at][closer], at
-        if not left.any():
-            break
-        away = np.where(left, near, np.inf)
-        at = int(np.argmin(away))
-        if away[at] < np.inf:
-            out.append((int(source[at]), at, float(away[at])))
-        else:
-            at = int(np.flatnonzero(left)[0])  # another tree begins
-    return out
+#: fewer vectors of a model have no layer
+LEAST = 16
+#: shares of a tree's edges that the layers keep, fine to coarse
+QUANTILES = [0.25, 0.5, 0.75]
+#: vectors of a model up to which all meet all; beyond, those that share a list of centres meet
+EXACT = 200_000
+#: lists that a vector is in, and centres of a model at most, which every task gets
+PROBES, CENTRES = 8, 8192
+#: decimals that weights of trees are compared at
+DECIMALS = 9
+
+
+def _under(df: DataFrame, key: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """df with a key; without one all rows are one cloud."""
+    return (df, key) if key else (df.withColumn("_all", F.lit(0)), ["_all"])
+
+
+def _nearest(k: int):
+    def step(a: Side, b: Side | None) -> dict[str, np.ndarray | pa.Array]:
+        d, out = between(a, b), []
+        for m, one, other in ((d, a, b or a),) if b is None else ((d, a, b), (d.T, b, a)):
+            # a point has no distance to itself, which sorts last
+            best = np.argsort(m, axis=1)[:, : min(k, m.shape[1])] if m.shape[1] <= k else np.argpartition(m, k - 1, axis=1)[:, :k]
+            far = np.take_along_axis(m, best, 1).ravel()
+            at = np.flatnonzero(~np.isnan(far))
+            out.append((one["id"].take(pa.array(np.repeat(np.arange(len(m)), best.shape[1])[at])), other["id"].take(pa.array(best.ravel()[at])), far[at]))
+        ids, others, far = zip(*out, strict=True)
+        return {"id": pa.concat_arrays(ids), "other": pa.concat_arrays(others), "d": np.concatenate(far)}
+
+    return step
+
+
+def nearest(vectors: DataFrame, k: int, key: list[str] | None = None, block: int = BLOCK, probes: int | None = None) -> DataFrame:
+    """(key, id, other, d, rank): the k nearest other vectors of each vector (key, id, v), ties by their id, rank
+    from 1. Exact without probes: all of a key meet, by pairs of blocks, and a task gives each row's nearest of
+    its blocks. With probes those meet that share one of their `probes` nearest centres (see listed), so what is
+    shuffled grows with the vectors."""
+    points, key = _under(vectors, key)
+    cloud = key if probes is None else [*key, "_list"]
+    points = points if probes is None else listed(points, key, probes, block)
+    kind = points.schema["id"].dataType.simpleString()
+    found = meet(points, cloud, _nearest(k), f"id {kind}, other {kind}, d double", block=block)
+    if probes is not None:
+        found = found.groupBy(*key, "id", "other").agg(F.min("d").alias("d"))
+    rank = F.row_number().over(Window.partitionBy(*key, "id").orderBy("d", "other"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(*[c for c in key if c != "_all"], "id", "other", "d", "rank")
+
+
+def listed(vectors: DataFrame, key: list[str], probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+    """vectors with `_list`, `probes` rows each: its nearest centres. Centres are vectors of the key, those with
+    the least hashes of their id, as many as make a list about a block long, CENTRES at most. Lists that are
+    longer, where a key has many vectors or a centre a crowd, meet block by block."""
+    sizes = vectors.groupBy(*key).count().withColumn("n_centres", F.least(F.lit(CENTRES), F.ceil(F.col("count") * probes / block)))
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    # hashes below a share that leaves about four times the centres, then the least of them
+    some = vectors.join(sizes, key).where(h <= F.col("n_centres") * 4 / F.col("count") * (1 << 30))
+    w = Window.partitionBy(*key).orderBy(h, "id")
+    drawn = some.withColumn("_k", F.row_number().over(w)).where("_k <= n_centres").select(*key, "_k", "v").collect()
+    centres: dict[tuple, list] = {}
+    for r in sorted(drawn, key=lambda r: r["_k"]):
+        centres.setdefault(tuple(r[c] for c in key), []).append(r["v"])
+    sent = vectors.sparkSession.sparkContext.broadcast({k: np.array(x) for k, x in centres.items()})
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True))
+            for one in dict.fromkeys(keys):
+                at = np.array([i for i, x in enumerate(keys) if x == one])
+                own, mine = batch.take(pa.array(at)), sent.value[one]
+                for a in range(0, own.num_rows, 512):
+                    part = own.slice(a, 512)
+                    d = distances(part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1), mine)
+                    n = min(probes, d.shape[1])
+                    lists = np.argpartition(d, n - 1, axis=1)[:, :n]
+                    rows = part.take(pa.array(np.repeat(np.arange(part.num_rows), n)))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lists.ravel().astype(np.int32))], [*rows.schema.names, "_list"])
+
+    return vectors.mapInArrow(probed, T.StructType([*vectors.schema.fields, T.StructField("_list", T.IntegerType())]))
+
+
+def core_distances(vectors: DataFrame, min_samples: int = MIN_SAMPLES, block: int = BLOCK, key: list[str] | None = None, probes: int | None = None) -> DataFrame:
+    """(key, id, core): distance to the min_samples-th nearest other vector of the key, exact without probes."""
+    near = nearest(vectors, min_samples, key, block, probes)
+    return near.where(F.col("rank") == min_samples).select(*(key or []), "id", F.col("d").alias("core"))
 
 
 def reachability_edges(vectors: DataFrame, cores: DataFrame, radius: float, block: int = BLOCK) -> DataFrame:
     """(u, v, w), u < v: pairs whose mutual reachability, max(core u, core v, distance), is up to radius, as
     many as connect what all such pairs connect, at the radius and at every smaller one: each two blocks give
     a least spanning forest of theirs."""
+    reachable, key = _under(vectors.join(cores.where(F.col("core") <= radius), "id").select("id", "v", "core"), None)
+    return block_edges(reachable, key, ["core"], radius, block).drop("_all")
+
+
+def merges(vectors: DataFrame, key: list[str] | None = None, min_samples: int = MIN_SAMPLES, block: int = BLOCK, exact: int = EXACT, probes: int = PROBES) -> DataFrame:
+    """(key, u, v, w): the least spanning tree of each key's vectors by mutual reachability; in order of w its
+    edges are the merges of the density hierarchy. Keys with over `exact` vectors have a forest of the pairs
+    that share a list of centres, with the distances to their approximate neighbours; vectors that lists leave
+    apart stay apart."""
+    points, inner = _under(vectors, key)
+    sizes = points.groupBy(*inner).count()
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = _pair(pdf)
-        ids, x, core = a if b is None or not len(b[0]) else b if not len(a[0]) else tuple(np.concatenate(z) for z in zip(a, b, strict=True))
-        w = np.maximum(np.maximum(core[:, None], core[None, :]), _distances(x, x))
-        w[w > radius] = np.inf
-        np.fill_diagonal(w, np.inf)
-        rows = [(min(ids[i], ids[j]), max(ids[i], ids[j]), d) for i, j, d in _forest(w)]
-        return pd.DataFrame(rows, columns=["u", "v", "w"]) if rows else pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64), "w": np.empty(0)})
+    def tree(some: DataFrame, probes: int | None) -> DataFrame:
+        cores = core_distances(some, min_samples, block, inner, probes)
+        reach = some.join(cores, [*inner, "id"])
+        if probes is None:
+            return spanning_forest(reach, inner, ["core"], block, DECIMALS)
+        near = block_edges(listed(reach, inner, probes, block), [*inner, "_list"], ["core"], None, block, DECIMALS)
+        return least_forest(near.select(*inner, "u", "v", "w").distinct(), inner)
 
-    reachable = vectors.join(cores.where(F.col("core") <= radius), "id").select("id", "v", "core")
-    return _dealt(reachable, block).groupBy("i", "j").applyInPandas(within, "u long, v long, w double").distinct()
+    large = sizes.where(F.col("count") > exact).select(*inner)
+    if large.isEmpty():
+        return tree(points, None).drop("_all")
+    few, many = tree(points.join(large, inner, "left_anti"), None), tree(points.join(large, inner, "left_semi"), probes)
+    return few.unionByName(many).drop("_all")
 
 
 def least_size(n: int) -> int:
     return max(5, int(0.001 * n))
 
 
-def density_layers(vectors: DataFrame, thresholds: list[float], min_samples: int = MIN_SAMPLES, least: int = 16) -> DataFrame:
-    """(id, layer, cluster): for each threshold, fine to coarse, the components of vectors that reach
-    each other within it. A component of fewer than max(5, 0.001 n) is outliers (null); a layer without
-    a cluster goes, the others are numbered from 0; a cluster's label is its least id. Fewer than `least`
-    vectors have no layer."""
-    n = vectors.count()
-    ids = vectors.select("id")
-    if n < least:
-        return ids.limit(0).select("id", F.lit(0).alias("layer"), F.col("id").alias("cluster"))
-    cores = core_distances(vectors, min_samples)
-    edges = reachability_edges(vectors, cores, max(thresholds))
-    levels = edges.select(F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.lit(t).alias("t")) for i, t in enumerate(sorted(thresholds))])).alias("l"), "u", "v", "w").where("w <= l.t").select("l.g", "u", "v")
-    nodes = levels.select("g", "u").unionByName(levels.select("g", F.col("v").alias("u"))).distinct()
-    labels = components(levels, nodes)
-    big = labels.groupBy("g", "label").count().where(F.col("count") >= least_size(n)).select("g", "label")
-    kept = labels.join(big, ["g", "label"]).select("g", F.col("u").alias("id"), F.col("label").alias("cluster"))
-    found = sorted(r.g for r in kept.select("g").distinct().collect())
-    if not found:
-        return ids.limit(0).select("id", F.lit(0).alias("layer"), F.col("id").alias("cluster"))
-    number = F.create_map(*[F.lit(x) for i, g in enumerate(found) for x in (g, i)])
-    every = ids.select("id", F.explode(F.lit(found)).alias("g"))
-    return every.join(kept, ["g", "id"], "left").select("id", number[F.col("g")].alias("layer"), "cluster")
+def layers(vectors: DataFrame, edges: DataFrame, cuts: DataFrame, key: list[str], least: int = LEAST) -> DataFrame:
+    """(key, id, layer, cluster): for each cut (key, level, cut), fine to coarse, the components of vectors that
+    edges (key, u, v, w) up to it connect. A component of fewer than max(5, 0.001 n) is outliers (null); a level
+    without a cluster goes, the others are numbered from 0; a cluster's label is its least id. A key with fewer
+    than `least` vectors has no layer."""
+    ids = vectors.select(*key, "id")
+    sizes = ids.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    linked = edges.join(cuts, key).where("w <= cut").select(*key, "level", "u", "v")
+    nodes = linked.select(*key, "level", "u").unionByName(linked.select(*key, "level", F.col("v").alias("u"))).distinct()
+    labels = components(linked, nodes, [*key, "level"])
+    counts = labels.groupBy(*key, "level", "label").agg(F.count("*").alias("size")).join(sizes, key)
+    big = counts.where(F.col("size") >= F.greatest(F.lit(5), F.floor(F.col("n") * 0.001))).select(*key, "level", "label")
+    number = (F.row_number().over(Window.partitionBy(*key).orderBy("level")) - 1).alias("layer")
+    shown = big.select(*key, "level").distinct().select(*key, "level", number)
+    kept = labels.join(big, [*key, "level", "label"]).select(*key, "level", F.col("u").alias("id"), F.col("label").alias("cluster"))
+    return ids.join(shown, key).join(kept, [*key, "level", "id"], "left").select(*key, "id", "layer", "cluster")
+
+
+def density_layers(vectors: DataFrame, thresholds: list[float], min_samples: int = MIN_SAMPLES, least: int = LEAST) -> DataFrame:
+    """(id, layer, cluster): layers of vectors (id, v) at thresholds that are given; see layers."""
+    points, key = _under(vectors, None)
+    edges = reachability_edges(vectors, core_distances(vectors, min_samples), max(thresholds)).withColumn("_all", F.lit(0))
+    cuts = edges.select("_all").limit(1).select("_all", F.posexplode(F.lit(sorted(map(float, thresholds)))).alias("level", "cut"))
+    return layers(points, edges, cuts, key, least).drop("_all")
+
+
+def clusterings(vectors: DataFrame, key: list[str], quantiles: list[float] | None = None, min_samples: int = MIN_SAMPLES, least: int = LEAST, **more: int) -> DataFrame:
+    """(key, id, layer, cluster): layers of every key's vectors (key, id, v), cut at quantiles of its own tree's
+    weights, in one pass for all keys; see merges and layers."""
+    edges = merges(vectors, key, min_samples, **more)
+    return layers(vectors, edges, quantile_cuts(edges, key, quantiles or QUANTILES), key, least)
 
 
 def centroids(assigned: DataFrame, key: list[str]) -> DataFrame:

@@ -20,16 +20,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(edges: DataFrame, nodes: DataFrame, g: str = "g") -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame, g: str | list[str] = "g") -> DataFrame:
     """edges (g, u, v), nodes (g, u): (g, u, label), the least node that edges reach. Labels fall to the
     least of the neighbours and of the label's own label until none does."""
-    both = checkpointed(edges.select(g, "u", "v").unionByName(edges.select(g, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = nodes.select(g, "u").distinct().withColumn("label", F.col("u"))
+    g = [g] if isinstance(g, str) else g
+    both = checkpointed(edges.select(*g, "u", "v").unionByName(edges.select(*g, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = nodes.select(*g, "u").distinct().withColumn("label", F.col("u"))
     while True:
-        near = both.join(labels.select(g, F.col("u").alias("v"), "label"), [g, "v"]).groupBy(g, "u").agg(F.min("label").alias("near"))
-        lower = labels.join(near, [g, "u"], "left").select(g, "u", F.col("label").alias("before"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        beyond = lower.select(g, F.col("u").alias("label"), F.col("label").alias("beyond"))
-        new = checkpointed(lower.join(beyond, [g, "label"]).select(g, "u", "before", F.least("label", "beyond").alias("label")))
+        near = both.join(labels.select(*g, F.col("u").alias("v"), "label"), [*g, "v"]).groupBy(*g, "u").agg(F.min("label").alias("near"))
+        lower = labels.join(near, [*g, "u"], "left").select(*g, "u", F.col("label").alias("before"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        beyond = lower.select(*g, F.col("u").alias("label"), F.col("label").alias("beyond"))
+        new = checkpointed(lower.join(beyond, [*g, "label"]).select(*g, "u", "before", F.least("label", "beyond").alias("label")))
         if new.where("label < before").isEmpty():
-            return new.select(g, "u", "label")
+            return new.select(*g, "u", "label")
         labels = new.drop("before")

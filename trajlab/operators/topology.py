@@ -3,46 +3,47 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlab.functions.vectors import distance
-from trajlab.operators.trajectory import pairs_within
+from trajlab.operators.blocks import BLOCK, Side, between, meet
+from trajlab.operators.spanning import spanning_forest
 
 CLOUD = ["run_id", "embedding_model"]
+#: decimals that distances are compared at
+DECIMALS = 9
 
 
-def edges(pts: DataFrame) -> DataFrame:
-    """All point pairs of a cloud with their distance: (CLOUD, u, v, w), u < v positions."""
-    return pairs_within(pts).select(*CLOUD, F.col("t1").alias("u"), F.col("t2").alias("v"), distance(F.col("v1"), F.col("v2")).alias("w"))
+def _cloud(pts: DataFrame) -> DataFrame:
+    return pts.select(*CLOUD, F.col("t").alias("id"), "v")
 
 
-def rips_edges(all_edges: DataFrame) -> DataFrame:
-    """Edges of each cloud up to its enclosing radius, the least over points of the farthest other."""
-    ends = all_edges.select(*CLOUD, F.explode(F.array("u", "v")).alias("p"), "w")
-    radius = ends.groupBy(*CLOUD, "p").agg(F.max("w").alias("far")).groupBy(*CLOUD).agg(F.min("far").alias("radius"))
-    return all_edges.join(radius, CLOUD).where("w <= radius").groupBy(*CLOUD).agg(F.count("*").alias("num_edges"), F.max("radius").alias("radius"))
+def _farthest(a: Side, b: Side | None) -> dict[str, np.ndarray | pa.Array]:
+    d = np.round(between(a, b), DECIMALS)
+    if b is None:
+        return {"id": a["id"], "far": np.nan_to_num(d).max(1, initial=0)}
+    return {"id": pa.concat_arrays([a["id"], b["id"]]), "far": np.concatenate([d.max(1), d.max(0)])}
 
 
-def _spanning_lengths(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Prim's algorithm from distances taken row by row, so that memory grows with the points only."""
-    x = np.stack(pdf.sort_values("t")["v"].to_numpy())
-    near = np.full(len(x), np.inf)
-    left = np.ones(len(x), bool)
-    deaths, at = [], 0
-    for _ in range(len(x) - 1):
-        left[at] = False
-        near = np.minimum(near, np.sqrt(((x - x[at]) ** 2).sum(1)))
-        at = int(np.argmin(np.where(left, near, np.inf)))
-        deaths.append(near[at])
-    return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(deaths) for c in CLOUD}, "death": np.array(deaths, float)})
+def _within_radius(a: Side, b: Side | None) -> dict[str, np.ndarray]:
+    near = np.round(between(a, b), DECIMALS) <= a["radius"][0]
+    return {"n": np.array([near.sum() // (2 if b is None else 1)])}
 
 
-def h0_bars(pts: DataFrame) -> DataFrame:
-    """Finite bars born at 0: (CLOUD, death), the edge lengths of each cloud's minimum spanning tree. A
-    cloud is one run's steps, which its max_length bounds."""
-    return pts.select(*CLOUD, "t", "v").groupBy(*CLOUD).applyInPandas(_spanning_lengths, "run_id string, embedding_model string, death double")
+def rips_edges(pts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(CLOUD, num_edges, radius): pairs of each cloud's points up to its enclosing radius, the least over points
+    of the farthest other. Pairs are reduced where two blocks meet: first to each point's farthest, then to a count."""
+    cloud = _cloud(pts)
+    far = meet(cloud, CLOUD, _farthest, "id long, far double", block=block).groupBy(*CLOUD, "id").agg(F.max("far").alias("far"))
+    radius = far.groupBy(*CLOUD).agg(F.min("far").alias("radius"), F.count("*").alias("_points")).where("_points > 1").drop("_points")
+    counts = meet(cloud.join(radius, CLOUD), CLOUD, _within_radius, "n long", ["radius"], block)
+    return counts.groupBy(*CLOUD).agg(F.sum("n").alias("num_edges")).join(radius, CLOUD)
+
+
+def h0_bars(pts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Finite bars born at 0: (CLOUD, death), the edge lengths of each cloud's minimum spanning tree."""
+    return spanning_forest(_cloud(pts), CLOUD, block=block).select(*CLOUD, F.col("w").alias("death"))
 
 
 def h0_diagrams(pts: DataFrame) -> DataFrame:

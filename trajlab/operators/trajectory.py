@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlab.functions.vectors import distance, doubles, drift
+from trajlab.functions.vectors import doubles, drift
+from trajlab.operators.blocks import BLOCK, Side, between, meet
 
 CELL = ["experiment_id", "network", "prompt", "embedding_model"]
 
@@ -36,24 +38,24 @@ def prompt_drift(pts: DataFrame, prompts: DataFrame) -> DataFrame:
     return pts.join(prompts.select("prompt", "embedding_model", doubles(F.col("vector")).alias("v0")), ["prompt", "embedding_model"]).select("run_id", "embedding_model", "t", drift(F.col("v"), F.col("v0")).alias("drift"))
 
 
-#: steps of a run that meet others in one task
-STRETCH = 256
+def _returns(radius: float, min_gap: int):
+    def step(a: Side, b: Side | None) -> dict[str, np.ndarray]:
+        near = between(a, b) < radius
+        one, other = np.asarray(a["id"]), np.asarray((b or a)["id"])
+        gap = other[None, :] - one[:, None]
+        found = []
+        for at, later, steps in ((one, near & (gap >= min_gap), gap), (other, (near & (-gap >= min_gap)).T, -gap.T))[: 1 if b is None else 2]:
+            least = np.where(later, steps, np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
+            found.append((at[later.any(1)], least[later.any(1)]))
+        t, steps = zip(*found, strict=True)
+        return {"t": np.concatenate(t), "steps": np.concatenate(steps)}
 
+    return step
 
-def pairs_within(pts: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """(run_id, embedding_model, t1, v1, t2, v2) of all pairs of a run's points, t1 < t2. A long run is cut
-    into stretches of steps, and two stretches meet in a task, so a run is no single key."""
-    key = ["run_id", "embedding_model"]
-    part = F.floor(F.col("t") / stretch)
-    last = pts.groupBy(*key).agg(F.max(part).alias("last"))
-    a = pts.join(last, key).select(*key, F.col("t").alias("t1"), F.col("v").alias("v1"), F.explode(F.sequence(part, F.col("last"))).alias("part"))
-    b = pts.select(*key, F.col("t").alias("t2"), F.col("v").alias("v2"), part.alias("part"))
-    return a.join(b, [*key, "part"]).where("t1 < t2").drop("part")
 
-
-def return_times(pts: DataFrame, radius: float, min_gap: int = 2) -> DataFrame:
+def return_times(pts: DataFrame, radius: float, min_gap: int = 2, block: int = BLOCK) -> DataFrame:
     """Per run: how many points come back within `radius` after `min_gap` steps or more, and the mean
-    number of steps to the first return."""
-    back = pairs_within(pts).where((F.col("t2") - F.col("t1") >= min_gap) & (distance(F.col("v1"), F.col("v2")) < radius))
-    first = back.groupBy("run_id", "embedding_model", "t1").agg(F.min(F.col("t2") - F.col("t1")).alias("steps"))
+    number of steps to the first return. Two blocks of a run's points give each point's first return there."""
+    back = meet(pts.select("run_id", "embedding_model", F.col("t").alias("id"), "v"), ["run_id", "embedding_model"], _returns(radius, min_gap), "t long, steps long", block=block)
+    first = back.groupBy("run_id", "embedding_model", "t").agg(F.min("steps").alias("steps"))
     return first.groupBy("run_id", "embedding_model").agg(F.count("*").alias("n_returns"), F.avg("steps").alias("mean_return"))

@@ -134,6 +134,30 @@ def density_clusters(s: SparkSession, d: str) -> DataFrame:
     return C.density_layers(frames.planted(s, d), THRESHOLDS)
 
 
+def _models(s: SparkSession, d: str) -> DataFrame:
+    """The planted vectors as two models', the second of every other vector."""
+    e = frames.planted(s, d)
+    return e.select("id", "v", F.explode(F.when(F.col("id") % 2 == 0, F.array(F.lit("M0"), F.lit("M1"))).otherwise(F.array(F.lit("M0")))).alias("embedding_model"))
+
+
+def merge_heights(s: SparkSession, d: str) -> DataFrame:
+    """The weights of each model's tree of merges, and how many merges have them."""
+    return C.merges(_models(s, d), ["embedding_model"]).groupBy("embedding_model", F.round("w", 6).alias("w")).agg(F.count("*").alias("n"))
+
+
+def layers_by_model(s: SparkSession, d: str) -> DataFrame:
+    """Layers of both models in one call, cut at quantiles of each one's tree."""
+    return C.clusterings(_models(s, d), ["embedding_model"])
+
+
+def listed_recall(s: SparkSession, d: str) -> DataFrame:
+    """Whether at least nine tenths of each vector's five nearest are found by way of lists of centres."""
+    v = frames.planted(s, d)
+    exact, found = C.nearest(v, C.MIN_SAMPLES), C.nearest(v, C.MIN_SAMPLES, block=256, probes=C.PROBES)
+    hits = exact.select("id", "other").join(found.select("id", "other", F.lit(1).alias("hit")), ["id", "other"], "left")
+    return hits.agg(F.count("*").alias("n"), (F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count("*")).alias("reached"))
+
+
 def knn_density(s: SparkSession, d: str) -> DataFrame:
     """Quantiles of the distance to the k-th neighbour, for noise and for cluster members."""
     cores = C.core_distances(frames.planted(s, d))
@@ -172,6 +196,20 @@ def _reached(threshold: float, name: str) -> str:
     return f"{name} AS (SELECT u AS a, u AS b FROM r WHERE w <= {threshold} UNION SELECT {name}.a, r.v FROM {name} JOIN r ON r.u = {name}.b AND r.w <= {threshold})"
 
 
+_TREE = f"""{_PLANTED.split("dist AS")[0]}pm AS MATERIALIZED (SELECT m, id, v, row_number() OVER (PARTITION BY m ORDER BY id) AS k FROM (SELECT 'M0' AS m, id, v FROM pl UNION ALL SELECT 'M1', id, v FROM pl WHERE id % 2 = 0)),
+dm AS MATERIALIZED (SELECT a.m, a.k AS a, b.k AS b, list_distance(a.v, b.v) AS d FROM pm a JOIN pm b ON a.m = b.m AND a.k <> b.k),
+cm AS MATERIALIZED (SELECT m, a AS k, d AS core FROM (SELECT *, row_number() OVER (PARTITION BY m, a ORDER BY d) AS rk FROM dm) WHERE rk = 5),
+rm AS MATERIALIZED (SELECT dm.m, a, b, round(greatest(d, x.core, y.core), 9) AS w FROM dm JOIN cm x ON x.m = dm.m AND x.k = a JOIN cm y ON y.m = dm.m AND y.k = b),
+rl AS MATERIALIZED (SELECT m, a, list(w ORDER BY b) AS ws FROM (FROM rm UNION ALL SELECT DISTINCT m, a, a, 'inf'::DOUBLE FROM rm) GROUP BY m, a),
+prim AS (SELECT m, list_transform(ws, lambda x, i: CASE WHEN i > 1 THEN x END) AS near, NULL::DOUBLE AS w FROM rl WHERE a = 1
+  UNION ALL SELECT p.m, list_transform(list_zip(p.near, r.ws), lambda z, i: CASE WHEN z[1] IS NOT NULL AND i <> r.a THEN least(z[1], z[2]) END), list_min(p.near) FROM prim p JOIN rl r ON r.m = p.m AND r.a = list_position(p.near, list_min(p.near)) WHERE list_min(p.near) IS NOT NULL),
+tw AS MATERIALIZED (SELECT m, w FROM prim WHERE w IS NOT NULL)"""
+_CUTS = f"""cu AS MATERIALIZED (SELECT m, q AS level, min(w) AS cut FROM (SELECT m, w, row_number() OVER (PARTITION BY m ORDER BY w) AS rk, count(*) OVER (PARTITION BY m) AS n FROM tw), (VALUES {", ".join(f"({i}, {q})" for i, q in enumerate(C.QUANTILES))}) z(q, share) WHERE rk >= ceil(share * n) GROUP BY m, q),
+cl AS MATERIALIZED (SELECT cu.m, level, a, b FROM cu JOIN rm ON rm.m = cu.m AND w <= cut),
+tc AS (SELECT DISTINCT m, level, a, a AS b FROM cl UNION SELECT tc.m, tc.level, tc.a, cl.b FROM tc JOIN cl ON cl.m = tc.m AND cl.level = tc.level AND cl.a = tc.b),
+lb AS MATERIALIZED (SELECT m, level, a, min(b) AS label FROM tc GROUP BY ALL),
+bg AS MATERIALIZED (SELECT m, level, label FROM lb JOIN (SELECT m, greatest(5, floor(0.001 * count(*))) AS least FROM pm GROUP BY m) USING (m) GROUP BY m, level, label, least HAVING count(*) >= least),
+ly AS (SELECT m, level, row_number() OVER (PARTITION BY m ORDER BY level) - 1 AS layer FROM (SELECT DISTINCT m, level FROM bg))"""
 _LEVELS = ", ".join(_reached(t, f"t{i}") for i, t in enumerate(THRESHOLDS))
 _LABELS = " UNION ALL ".join(f"SELECT {i} AS g, a AS id, min(b) AS label FROM t{i} GROUP BY a" for i in range(len(THRESHOLDS)))
 
@@ -203,6 +241,10 @@ UNION ALL SELECT 'embeddings', count(*) FROM k UNION ALL SELECT 'assignments', c
 big AS (SELECT g, label FROM lab, n GROUP BY g, label, least HAVING count(*) >= least), lay AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS layer FROM (SELECT DISTINCT g FROM big)),
 kept AS (SELECT lab.* FROM lab JOIN big USING (g, label))
 SELECT pl.id, layer::INT AS layer, label AS cluster FROM pl CROSS JOIN lay LEFT JOIN kept ON kept.id = pl.id AND kept.g = lay.g""",
+    "merge_heights": f"WITH RECURSIVE {_TREE} SELECT m AS embedding_model, round(w, 6) AS w, count(*) AS n FROM tw GROUP BY ALL",
+    "layers_by_model": f"""WITH RECURSIVE {_TREE}, {_CUTS}, kp AS (SELECT lb.* FROM lb JOIN bg USING (m, level, label))
+SELECT p.m AS embedding_model, p.id, layer::INT AS layer, f.id AS cluster FROM pm p JOIN ly ON ly.m = p.m LEFT JOIN kp ON kp.m = p.m AND kp.level = ly.level AND kp.a = p.k LEFT JOIN pm f ON f.m = p.m AND f.k = kp.label""",
+    "listed_recall": "SELECT (5 * count(*))::BIGINT AS n, true AS reached FROM embeddings",
     "knn_density": f"WITH {_PLANTED} SELECT id % 5 = 0 AS noise, count(*) AS n, round(quantile_cont(core, 0.25), 6) AS q25, round(quantile_cont(core, 0.5), 6) AS q50, round(quantile_cont(core, 0.75), 6) AS q75 FROM core GROUP BY ALL",
     "outlier_sweep": f"""WITH RECURSIVE {_REACH}, {_reached(THRESHOLDS[1], 't')}, z AS (SELECT label, count(*) AS size FROM (SELECT a, min(b) AS label FROM t GROUP BY a) GROUP BY label)
 SELECT least_size::INT AS least_size, round(1 - sum(CASE WHEN size >= least_size THEN size ELSE 0 END) / (SELECT count(*) FROM pl), 6) AS outlier_share FROM z, (VALUES {', '.join(f'({x})' for x in SWEEP)}) s(least_size) GROUP BY ALL""",

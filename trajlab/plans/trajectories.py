@@ -105,7 +105,7 @@ def return_times(s: SparkSession, d: str) -> DataFrame:
 
 
 def rips_edges(s: SparkSession, d: str) -> DataFrame:
-    return P.rips_edges(P.edges(_points(s, d))).select("run_id", "num_edges", r6("radius").alias("radius"))
+    return P.rips_edges(_points(s, d)).select("run_id", "num_edges", r6("radius").alias("radius"))
 
 
 def h0_bars(s: SparkSession, d: str) -> DataFrame:
