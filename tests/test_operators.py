@@ -276,6 +276,7 @@ def test_bars_of_runs_in_blocks(spark, block):
 def test_least_forest_of_many_clouds(spark):
     """Boruvka's rounds against Kruskal's order, with equal weights, long chains, loops and apart pieces."""
     from trajlab.operators import spanning as N
+    from trajlab.operators.graph import components
 
     rng = np.random.default_rng(8)
     rows = [("chain", i, i + 1, 1.0) for i in range(40)] + [("fall", i, i + 1, float(i)) for i in range(40)] + [("one", 1, 2, 0.5), ("two", 1, 2, 0.5), ("two", 1, 2, 0.25), ("two", 8, 9, 0.5)]
@@ -288,7 +289,10 @@ def test_least_forest_of_many_clouds(spark):
         if a != b:
             want.append((g, u, v, w))
             label = {k: min(a, b) if x in (a, b) else x for k, x in label.items()}
-    assert sorted(map(tuple, N.least_forest(edges, ["g"]).select("g", "u", "v", "w").collect())) == sorted(want)
+    for most in (0, 30, 1000):
+        assert sorted(map(tuple, N.least_forest(edges, ["g"], most).select("g", "u", "v", "w").collect())) == sorted(want)
+        got = components(edges, edges.select("g", "u").union(spark.createDataFrame([("one", 2), ("one", 77)], "g string, u long")), "g", most)
+        assert {(r.g, r.u): r.label for r in got.collect()} == {k: label.get(k, k)[1] for k in {(g, u) for g, u, _, _ in rows} | {("one", 2), ("one", 77)}}
     assert N.least_forest(edges.limit(0), ["g"]).count() == 0
     cuts = {(r.g, r.level): r.cut for r in N.quantile_cuts(edges.where("g in ('fall', 'one')"), ["g"], [0.75, 0.25]).collect()}
     assert cuts == {("fall", 0): 9.0, ("fall", 1): 29.0, ("one", 0): 0.5, ("one", 1): 0.5}

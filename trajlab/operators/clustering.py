@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajlab.operators.blocks import BLOCK, Side, between, distances, meet
-from trajlab.operators.graph import components
+from trajlab.operators.graph import checkpointed, components
 from trajlab.operators.spanning import block_edges, least_forest, quantile_cuts, spanning_forest
 
 MIN_SAMPLES = 5
@@ -119,7 +119,7 @@ def merges(vectors: DataFrame, key: list[str] | None = None, min_samples: int =
 
     def tree(some: DataFrame, probes: int | None) -> DataFrame:
         cores = core_distances(some, min_samples, block, inner, probes)
-        reach = some.join(cores, [*inner, "id"])
+        reach = checkpointed(some.join(cores, [*inner, "id"]))
         if probes is None:
             return spanning_forest(reach, inner, ["core"], block, DECIMALS)
         near = block_edges(listed(reach, inner, probes, block), [*inner, "_list"], ["core"], None, block, DECIMALS)
@@ -127,9 +127,9 @@ def merges(vectors: DataFrame, key: list[str] | None = None, min_samples: int =
 
     large = sizes.where(F.col("count") > exact).select(*inner)
     if large.isEmpty():
-        return tree(points, None).drop("_all")
+        return checkpointed(tree(points, None)).drop("_all")
     few, many = tree(points.join(large, inner, "left_anti"), None), tree(points.join(large, inner, "left_semi"), probes)
-    return few.unionByName(many).drop("_all")
+    return checkpointed(few.unionByName(many)).drop("_all")
 
 
 def least_size(n: int) -> int:
@@ -157,7 +157,7 @@ def layers(vectors: DataFrame, edges: DataFrame, cuts: DataFrame, key: list[str]
 def density_layers(vectors: DataFrame, thresholds: list[float], min_samples: int = MIN_SAMPLES, least: int = LEAST) -> DataFrame:
     """(id, layer, cluster): layers of vectors (id, v) at thresholds that are given; see layers."""
     points, key = _under(vectors, None)
-    edges = reachability_edges(vectors, core_distances(vectors, min_samples), max(thresholds)).withColumn("_all", F.lit(0))
+    edges = checkpointed(reachability_edges(vectors, checkpointed(core_distances(vectors, min_samples)), max(thresholds))).withColumn("_all", F.lit(0))
     cuts = edges.select("_all").limit(1).select("_all", F.posexplode(F.lit(sorted(map(float, thresholds)))).alias("level", "cut"))
     return layers(points, edges, cuts, key, least).drop("_all")
 

@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajlab.operators.blocks import BLOCK, Side, distances, meet
-from trajlab.operators.graph import checkpointed
+from trajlab.operators.graph import WHOLE, checkpointed, joined_ends, parted
 
 
 def _prim(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,20 +66,33 @@ def _roots(parents: DataFrame, key: list[str]) -> DataFrame:
         parents = parents.drop("moved")
 
 
-def least_forest(edges: DataFrame, key: list[str]) -> DataFrame:
-    """(key, u, v, w): a least spanning forest of each cloud's edges (key, u, v, w), by Boruvka's rounds over all
-    clouds at once; equal weights are told apart by their ends. A round takes each component's least edge,
-    summed in part where the edges are, merges what these connect, and leaves the least edge between any two
-    components. The edges of the forest in order of w are the merges of single linkage."""
-    left = checkpointed(edges.select(*key, F.col("u").alias("a"), F.col("v").alias("b"), F.struct("w", "u", "v").alias("e")))
+def _kruskal(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The forest's edges of one cloud's (a, b, w, u, v), by rising weight."""
+    table = table.sort_by([("w", "ascending"), ("u", "ascending"), ("v", "ascending")])
+    took = table.take(pa.array(joined_ends(table.column("a").to_pylist(), table.column("b").to_pylist()), pa.int64()))
+    return took.drop_columns(["a", "b"])
+
+
+def least_forest(edges: DataFrame, key: list[str], most: int = WHOLE) -> DataFrame:
+    """(key, u, v, w): a least spanning forest of each cloud's edges (key, u, v, w); equal weights are told apart by
+    their ends. The edges of the forest in order of w are the merges of single linkage.
+
+    Clouds of over `most` edges go through Boruvka's rounds, all at once: a round takes each component's least
+    edge, summed in part where the edges are, merges what these connect, and leaves the least edge between any
+    two components. What has come down to `most` edges is finished in one task for each cloud."""
+    kind = T.StructType([*(edges.schema[c] for c in key), *(T.StructField(c, edges.schema[c].dataType) for c in ("w", "u", "v"))])
+    left = checkpointed(edges.select(*key, F.col("u").alias("a"), F.col("v").alias("b"), "w", "u", "v"))
     taken = None
     while True:
-        ends = left.select(*key, F.col("a").alias("c"), F.struct("e", F.col("b").alias("to")).alias("m")).unionByName(left.select(*key, F.col("b").alias("c"), F.struct("e", F.col("a").alias("to")).alias("m")))
+        few, left = parted(left, key, most)
+        now = few.groupBy(*key).applyInArrow(_kruskal, kind).select(*key, "u", "v", "w")
+        taken = now if taken is None else taken.unionByName(now)
+        if left.isEmpty():
+            return taken
+        e = F.struct("w", "u", "v").alias("e")
+        ends = left.select(*key, F.col("a").alias("c"), F.struct(e, F.col("b").alias("to")).alias("m")).unionByName(left.select(*key, F.col("b").alias("c"), F.struct(e, F.col("a").alias("to")).alias("m")))
         least = checkpointed(ends.groupBy(*key, "c").agg(F.min("m").alias("m")).select(*key, "c", "m.e", "m.to"))
-        now = least.select(*key, "e.u", "e.v", "e.w").distinct()
-        if least.isEmpty():
-            return now if taken is None else taken
-        taken = checkpointed(now if taken is None else taken.unionByName(now))
+        taken = checkpointed(taken.unionByName(least.select(*key, "e.u", "e.v", "e.w").distinct()))
         # two components that choose each other share their edge; the lesser is the root of what hangs on both
         back = least.select(*key, F.col("c").alias("to"), F.col("to").alias("back"))
         parents = least.join(back, [*key, "to"]).select(*key, "c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"))
@@ -86,7 +100,7 @@ def least_forest(edges: DataFrame, key: list[str]) -> DataFrame:
         for end in ("a", "b"):
             left = left.join(roots.withColumnRenamed("c", end), [*key, end]).drop(end).withColumnRenamed("root", end)
         apart = left.where("a <> b").groupBy(*key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        left = checkpointed(apart.agg(F.min("e").alias("e")))
+        left = checkpointed(apart.agg(F.min(e).alias("e")).select(*key, "a", "b", "e.w", "e.u", "e.v"))
 
 
 def spanning_forest(points: DataFrame, key: list[str], fields: list[str] | None = None, block: int = BLOCK, decimals: int | None = None) -> DataFrame:
