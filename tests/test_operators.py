@@ -205,16 +205,131 @@ def test_embed_with_any_callable(spark):
     assert none["invocations"].count() == none["embeddings"].count() == 0
 
 
-def test_replacing_leaves_nothing_behind(spark, tmp_path):
-    path = str(tmp_path / "t")
-    rows = spark.createDataFrame([("a", 1), ("b", 2)], "m string, x int")
-    io.append(rows, path, "m")
-    io.append(rows.where("x = 1"), path, "m")
-    assert spark.read.parquet(path).count() == 3
-    M.replaced(spark.createDataFrame([("a", 9)], "m string, x int"), path, "m", "a")
-    assert sorted((r.x, r.m) for r in spark.read.parquet(path).collect()) == [(2, "b"), (9, "a")]
-    M.replaced(rows.limit(0), path, "m", "a")
-    assert [(r.x, r.m) for r in spark.read.parquet(path).collect()] == [(2, "b")]
+def test_exported_steps_are_in_order_through_the_files(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        E.export(model_tables(spark), ["exp0", "exp1"], str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(glob.glob(f"{tmp_path}/invocations.parquet/part-*"))
+    rows = [tuple(r.values()) for f in files for r in pq.read_table(f, columns=["run_id", "sequence_number"]).to_pylist()]
+    assert len(files) > 1 and len(rows) > 100 and rows == sorted(rows)
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    from trajlab.sources.store import Store
+
+    return Store(spark, str(tmp_path / "store"))
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_replacing_leaves_nothing_behind(spark, store):
+    rows = spark.createDataFrame([("a", 1), ("b/ =", 2), (None, 3)], "m string, x int")
+    store.replace(t=(rows, "m", ["a", "b/ ="]))
+    assert rows_of(store.read("t")) == [("a", 1), ("b/ =", 2)]
+    store.replace(t=(spark.createDataFrame([("a", 9), ("c", 4)], "m string, x int"), "m", ["a"]))
+    assert rows_of(store.read("t")) == [("a", 9), ("b/ =", 2)] and rows_of(store.read("t", "a")) == [("a", 9)]
+    store.replace(t=(rows.limit(0), "m", ["a"]))
+    assert rows_of(store.read("t")) == [("b/ =", 2)] and store.read("t", "a").count() == 0
+    store.replace(t=(rows.limit(0), "m", ["b/ ="]))
+    assert store.read("t").count() == 0 and store.read("t").columns == ["m", "x"]
+    assert rows_of(store.read("t", version=1)) == [("a", 1), ("b/ =", 2)]
+
+
+def test_a_change_that_fails_before_it_is_published_is_none(spark, store, monkeypatch):
+    """Layers and assignments change together or not at all; what was written in vain goes."""
+    def layers(n):
+        runs = spark.createDataFrame([(f"r{n}", "A"), (f"q{n}", "B")], "id string, embedding_model string")
+        assigned = spark.createDataFrame([(f"x{i}{n}", "A" if i < 3 else "B") for i in range(5)], "id string, _model string")
+        return {"clustering_results": runs, "embedding_clusters": assigned}
+
+    def now():
+        return rows_of(store.read("clustering_results")), rows_of(store.read("embedding_clusters"))
+
+    M.clusterings_replaced(store, ["A", "B"], layers(1))
+    before = now()
+    publish = type(store).publish
+    monkeypatch.setattr(type(store), "publish", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        M.clusterings_replaced(store, ["A"], layers(2))
+    assert now() == before and store.version() == 1
+    monkeypatch.setattr(type(store), "publish", publish)
+    broken = layers(2) | {"embedding_clusters": layers(2)["embedding_clusters"].withColumn("id", F.raise_error(F.lit("lost")))}
+    with pytest.raises(Exception, match="lost"):
+        M.clusterings_replaced(store, ["A"], broken)
+    assert now() == before
+    n_folders = len(store._listed("clustering_results"))
+    M.clusterings_replaced(store, ["A"], layers(2))
+    assert now() == ([("q1", "B"), ("r2", "A")], [("x02",), ("x12",), ("x22",), ("x31",), ("x41",)])
+    store.vacuum()
+    assert now()[0] == [("q1", "B"), ("r2", "A")] and len(store._listed("clustering_results")) <= n_folders
+    assert store._listed("_commits")[-1].startswith("000000000002") and len([n for n in store._listed("_commits") if n.endswith(".json")]) == 1
+    M.clusterings_replaced(store, ["B"], {k: v.limit(0) for k, v in layers(3).items()})
+    assert now() == ([("r2", "A")], [("x02",), ("x12",), ("x22",)])
+
+
+def test_two_changes_at_once_conflict(spark, store):
+    from trajlab.sources.store import Conflict
+
+    rows = spark.createDataFrame([("a", 1)], "m string, x int")
+    store.replace(t=(rows, "m", ["a"]))
+    state = store.state()
+    store.replace(t=(rows, "m", ["a"]))
+    with pytest.raises(Conflict):
+        store.publish(state, 1)
+    assert store.version() == 2 and rows_of(store.read("t")) == [("a", 1)]
+
+
+def test_a_batch_appended_twice_is_there_once(spark, store):
+    key = ["invocation_id", "embedding_model"]
+    batch = spark.createDataFrame([("1", "i", "A", [1.0]), ("2", "i", "A", [2.0]), ("3", "i", "B", [3.0]), ("4", None, "A", [4.0])], "id string, invocation_id string, embedding_model string, vector array<double>")
+    assert store.append("embeddings", batch, "embedding_model", key) == 2
+    assert store.append("embeddings", batch, "embedding_model", key) == 0 and store.version() == 1
+    more = spark.createDataFrame([("0", "i", "A", [0.0]), ("9", "j", "C", [9.0])], batch.schema)
+    assert store.append("embeddings", more, "embedding_model", key) == 1
+    assert sorted(r.id for r in store.read("embeddings").collect()) == ["1", "3", "9"]
+    assert store.append("embeddings", batch.limit(0), "embedding_model", key) == 0
+    store.replace(embeddings=(more, "embedding_model", ["A"]))
+    assert sorted(r.id for r in store.read("embeddings").collect()) == ["0", "3", "9"]
+
+
+def test_new_clustering_of_a_model(spark, store):
+    """Layers of vectors become the two tables, and take the place of the model's old ones alone."""
+    rng = np.random.default_rng(2)
+    rows = [(m, f"{m}{i:03d}", rng.normal(10 * (i % 2), 0.3, 3).tolist()) for m in "AB" for i in range(40)] + [("C", f"C{i}", [0.0, 0.0, float(i)]) for i in range(9)]
+    vectors = spark.createDataFrame(rows, "embedding_model string, id string, v array<double>")
+    found = C.clusterings(vectors, ["embedding_model"], [0.9])
+    new = C.clustering_tables(found, vectors, "density", {"quantiles": "0.9"}, F.lit("2024-01-01").cast("timestamp"))
+    M.clusterings_replaced(store, ["A", "B", "C"], new)
+    assert [(r.id, r.layer) for r in store.read("clustering_results").orderBy("id").collect()] == [("density-A-0", 0), ("density-B-0", 0)]
+    got = store.read("embedding_clusters").collect()
+    assert len(got) == 80 and all((r.medoid_embedding_id or r.embedding_id)[0] == r.embedding_id[0] for r in got)
+    medoids = {r.medoid_embedding_id for r in got if r.embedding_id[0] == "A"} - {None}
+    assert len(medoids) == 2 and {int(m[1:]) % 2 for m in medoids} == {0, 1}
+    M.clusterings_replaced(store, ["A"], {k: v.limit(0) for k, v in new.items()})
+    assert store.read("embedding_clusters").count() == 40 and store.read("clustering_results").count() == 1
+
+
+def test_deleting_writes_what_stays_in_one_commit(spark, store):
+    t = model_tables(spark)
+    tags = {"experiments": "id", "runs": "experiment_id", "invocations": "type", "embeddings": "embedding_model", "persistence_diagrams": "embedding_model", "lyapunov_results": "experiment_id", "embedding_clusters": "clustering_result_id"}
+    for name, tag in tags.items():
+        store.append(name, t[name], tag, ["id"])
+    before = {n: store.read(n).count() for n in tags}
+    rows = M.experiments_deleted({n: store.read(n) for n in tags}, E.by_id(store.read("experiments"), "exp1"))
+    want = {r.table_name: (r.n_left, r.n_gone) for r in M.counted(rows).collect()}
+    M.deleted(store, rows, tags)
+    assert {n: (store.read(n).count(), before[n] - store.read(n).count()) for n in tags} == want and all(x[1] > 0 for x in want.values())
+    assert store.read("runs").where("experiment_id = 'exp1'").count() == 0 and store.version() == 8
+    assert K.orphans(store.read("embedding_clusters"), "embedding_id", store.read("embeddings"), "id").count() == 0
 
 
 def test_run_rules(spark):

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,6 +169,20 @@ def clusterings(vectors: DataFrame, key: list[str], quantiles: list[float] | Non
     return layers(vectors, edges, quantile_cuts(edges, key, quantiles or QUANTILES), key, least)
 
 
+def clustering_tables(found: DataFrame, vectors: DataFrame, algorithm: str, parameters: dict[str, str], at: Column) -> dict[str, DataFrame]:
+    """clustering_results and embedding_clusters of layers (embedding_model, id, layer, cluster) over vectors
+    (embedding_model, id, v): a row for each model and layer, and one for each vector in each layer with its
+    cluster's medoid, null for an outlier. _model tags an assignment with its clustering's model."""
+    key = ["embedding_model", "layer"]
+    runs = found.select(*key).distinct().select(F.concat_ws("-", F.lit(algorithm), *key).alias("id"), "embedding_model", F.lit(algorithm).alias("algorithm"), F.create_map(*[F.lit(x) for p in parameters.items() for x in p]).alias("parameters"), F.col("layer").cast("long").alias("layer"), at.alias("started_at"), at.alias("completed_at"), at.alias("inserted_at"), at.alias("updated_at"))
+    members = found.where("cluster is not null").join(vectors, ["embedding_model", "id"])
+    centre = medoids(members, [*key, "cluster"])
+    own = found.join(centre, [*key, "cluster"], "left")
+    run = F.concat_ws("-", F.lit(algorithm), *key)
+    assigned = own.select(F.concat_ws("-", run, "id").alias("id"), F.col("id").cast("string").alias("embedding_id"), run.alias("clustering_result_id"), F.col("medoid").cast("string").alias("medoid_embedding_id"), at.alias("inserted_at"), at.alias("updated_at"), F.col("embedding_model").alias("_model"))
+    return {"clustering_results": runs, "embedding_clusters": assigned}
+
+
 def centroids(assigned: DataFrame, key: list[str]) -> DataFrame:
     """(key, i, centroid): element-wise mean of the members' vectors (key, id, v), in long form."""
     return assigned.select(*key, F.posexplode("v").alias("i", "x")).groupBy(*key, "i").agg(F.avg("x").alias("centroid"))

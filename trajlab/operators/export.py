@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlab.functions.scalars import exif_time, iso_micros, slug, padded, short_id
+from trajlab.operators.graph import checkpointed
 from trajlab.operators.report import scoped
 from trajlab.sources.io import write_dump
 
@@ -40,19 +41,24 @@ def by_prefix(df: DataFrame, prefix: str) -> DataFrame:
     return found
 
 
-def scoped_tables(tables: Tables, experiments: list[str], models: list[str] | None = None) -> Tables:
+def scoped_tables(tables: Tables, experiments: list[str], models: list[str] | None = None, once: bool = False) -> Tables:
     """What belongs to the experiments with these ids. models (all where None) narrows embeddings,
     diagrams, exponents, clusterings and assignments; an assignment's model is its clustering's. Clusterings
     belong to no experiment: without models those of the experiments' models stay. Images are left behind
-    before anything is joined."""
+    before anything is joined. once: the ids of runs, steps and vectors are computed once, for all tables below
+    them, as pays where several of the tables are used."""
+    def ids(df: DataFrame) -> DataFrame:
+        return checkpointed(df.select("id")) if once else df.select("id")
+
     def of_models(df: DataFrame) -> DataFrame:
         return df if models is None else df.where(F.col("embedding_model").isin(models))
 
     chosen = by_id(tables["experiments"], *experiments)
     runs = scoped(tables["runs"], "experiment_id", chosen.select("id"))
-    invocations = scoped(tables["invocations"].drop("output_image"), "run_id", runs.select("id"))
-    of_runs = scoped(tables["embeddings"], "invocation_id", invocations.select("id"))
-    assigned = scoped(tables["embedding_clusters"], "embedding_id", of_runs.select("id"))
+    of = ids(runs)
+    invocations = scoped(tables["invocations"].drop("output_image"), "run_id", of)
+    of_runs = scoped(tables["embeddings"], "invocation_id", ids(invocations))
+    assigned = scoped(tables["embedding_clusters"], "embedding_id", ids(of_runs))
     if models is None:
         clusterings = scoped(tables["clustering_results"], "embedding_model", chosen.select(F.explode("embedding_models")))
     else:
@@ -60,7 +66,7 @@ def scoped_tables(tables: Tables, experiments: list[str], models: list[str] | No
         assigned = scoped(assigned, "clustering_result_id", clusterings.select("id"))
     return {
         "experiments": chosen, "runs": runs, "invocations": invocations, "embeddings": of_models(of_runs),
-        "persistence_diagrams": of_models(scoped(tables["persistence_diagrams"], "run_id", runs.select("id"))),
+        "persistence_diagrams": of_models(scoped(tables["persistence_diagrams"], "run_id", of)),
         "lyapunov_results": of_models(scoped(tables["lyapunov_results"], "experiment_id", chosen.select("id"))),
         "clustering_results": clusterings, "embedding_clusters": assigned,
     }
@@ -110,16 +116,18 @@ def prompt_rows(scope: Tables, text_models: dict[str, Callable[[Column], Column]
     return {"invocations": steps, "embeddings": out}
 
 
-def exported(tables: Tables, experiments: list[str], models: list[str] | None = None, text_models: dict[str, Callable[[Column], Column]] | None = None) -> Tables:
-    """The eight tables of an export; with text_models, the prompts' rows are among them."""
-    scope = scoped_tables(tables, experiments, models)
+def exported(tables: Tables, experiments: list[str], models: list[str] | None = None, text_models: dict[str, Callable[[Column], Column]] | None = None, once: bool = False) -> Tables:
+    """The eight tables of an export; with text_models, the prompts' rows are among them. once: see scoped_tables."""
+    scope = scoped_tables(tables, experiments, models, once)
     more = prompt_rows(scope, text_models, models) if text_models else {}
     return {name: typed(name, scope[name].unionByName(more[name]) if name in more else scope[name]) for name in CONTRACT}
 
 
 def export(tables: Tables, experiments: list[str], folder: str, models: list[str] | None = None, text_models: dict[str, Callable[[Column], Column]] | None = None) -> list[tuple[str, str, int]]:
-    """Write an export; (table, path, rows) of each."""
-    return write_dump(exported(tables, experiments, models, text_models), folder)
+    """Write an export; (table, path, rows) of each. The steps' files, read in order of their names, have the steps
+    in order of run and sequence number."""
+    found = exported(tables, experiments, models, text_models, once=True)
+    return write_dump(found, folder, order={"invocations": ["run_id", "sequence_number", "id"]})
 
 
 def joined_frame(tables: Tables, layers: list[int]) -> DataFrame:

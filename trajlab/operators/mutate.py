@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajlab.operators.graph import checkpointed
+from trajlab.sources.store import Store
+
+Tables = dict[str, DataFrame]
+
 
 def without(df: DataFrame, column: str, doomed: DataFrame) -> DataFrame:
     """Rows whose column isn't among the one column of doomed; a null reference stays."""
@@ -33,57 +38,79 @@ def nulled(df: DataFrame, column: str, doomed: DataFrame) -> DataFrame:
     return kept.withColumn(column, F.when(F.col("_doomed").isNull(), F.col(column))).select(*df.columns)
 
 
-def replaced(df: DataFrame, path: str, key: str, *values: str) -> None:
-    """Write df over the partitions of `key` that have these values (and those that df has besides),
-    leaving the others. A value of which df has no row is left without any: what stood there goes."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-    written = {str(r[0]) for r in df.select(key).distinct().collect()} if values else set()
-    for value in values:
-        if str(value) not in written:
-            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}={value}")
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def clusterings_replaced(store: Store, models: list[str], new: Tables) -> int:
+    """All clustering of these models goes and `new` (clustering_results, and embedding_clusters tagged by `_model`)
+    comes, layers and assignments in one commit; a model without new rows is left without any."""
+    return store.replace(clustering_results=(new["clustering_results"], "embedding_model", models), embedding_clusters=(new["embedding_clusters"], "_model", models))
+
+
+def exponents_replaced(store: Store, experiments: list[str], new: DataFrame) -> int:
+    """The exponents of these experiments go and `new` comes, in one commit."""
+    return store.replace(lyapunov_results=(new, "experiment_id", experiments))
+
 
+def flagged(df: DataFrame, *doomed: tuple[str, DataFrame]) -> DataFrame:
+    """df with `_goes`: whether a reference is among the ids that go, for (reference, ids); df is read once, and a
+    null reference never is."""
+    out, marks = df, []
+    for i, (reference, ids) in enumerate(doomed):
+        marks.append(f"_m{i}")
+        out = out.join(ids.select(F.col("id").alias(f"_r{i}"), F.lit(True).alias(marks[-1])).distinct(), F.col(reference) == F.col(f"_r{i}"), "left")
+    goes = F.coalesce(*marks, F.lit(False))
+    return out.select(*df.columns, goes.alias("_goes"))
 
-Rows = dict[str, tuple[DataFrame, DataFrame]]
 
+def stays(rows: DataFrame) -> DataFrame:
+    return rows.where("not _goes").drop("_goes")
 
-def _split(tables: dict[str, DataFrame], gone: dict[str, DataFrame]) -> Rows:
-    """Of each table what stays and what goes, given the ids that go."""
-    return {name: (tables[name].join(ids, "id", "left_anti"), tables[name].join(ids, "id", "left_semi")) for name, ids in gone.items()}
 
+def goes(rows: DataFrame) -> DataFrame:
+    return rows.where("_goes").drop("_goes")
 
-def _ids(df: DataFrame, reference: str, parents: DataFrame) -> DataFrame:
-    """The ids of the rows whose reference is among parents' ids."""
-    return df.join(parents.select(F.col("id").alias(reference)), reference, "left_semi").select("id")
 
+def _ids(rows: DataFrame) -> DataFrame:
+    """The ids that go of a flagged table, computed once for all tables below it."""
+    return checkpointed(goes(rows).select("id"))
 
-def experiments_deleted(tables: dict[str, DataFrame], doomed: DataFrame) -> Rows:
-    """What stays and what goes when the experiments with the ids of doomed go, from assignments up to the
+
+def _down(tables: Tables, runs: DataFrame, medoids: bool) -> Tables:
+    """The tables below flagged runs, flagged."""
+    doomed = _ids(runs)
+    steps = flagged(tables["invocations"], ("run_id", doomed))
+    vectors = flagged(tables["embeddings"], ("invocation_id", _ids(steps)))
+    lost = _ids(vectors)
+    assigned = flagged(tables["embedding_clusters"], ("embedding_id", lost), *([("medoid_embedding_id", lost)] if medoids else []))
+    return {"embedding_clusters": assigned, "embeddings": vectors, "persistence_diagrams": flagged(tables["persistence_diagrams"], ("run_id", doomed)), "invocations": steps, "runs": runs}
+
+
+def experiments_deleted(tables: Tables, doomed: DataFrame) -> Tables:
+    """The tables flagged by what goes with the experiments whose ids doomed has, from assignments up to the
     experiments; their exponents go too. Clusterings belong to no experiment and stay."""
-    experiments = doomed.select("id").distinct()
-    runs = _ids(tables["runs"], "experiment_id", experiments)
-    invocations = _ids(tables["invocations"], "run_id", runs)
-    embeddings = _ids(tables["embeddings"], "invocation_id", invocations)
-    gone = {"embedding_clusters": _ids(tables["embedding_clusters"], "embedding_id", embeddings), "embeddings": embeddings, "persistence_diagrams": _ids(tables["persistence_diagrams"], "run_id", runs), "lyapunov_results": _ids(tables["lyapunov_results"], "experiment_id", experiments), "invocations": invocations, "runs": runs, "experiments": experiments}
-    return _split(tables, gone)
+    ids = checkpointed(doomed.select("id").distinct())
+    return _down(tables, flagged(tables["runs"], ("experiment_id", ids)), False) | {"lyapunov_results": flagged(tables["lyapunov_results"], ("experiment_id", ids)), "experiments": flagged(tables["experiments"], ("id", ids))}
 
 
-def runs_of_model_deleted(tables: dict[str, DataFrame], model: str) -> Rows:
-    """What stays and what goes when the runs with a model in their network go: their steps, vectors and
+def runs_of_model_deleted(tables: Tables, model: str) -> Tables:
+    """The tables flagged by what goes with the runs that have a model in their network: their steps, vectors and
     diagrams, the exponents of such networks, and assignments of their vectors or to a medoid among them."""
-    runs = tables["runs"].where(F.array_contains("network", model)).select("id")
-    invocations = _ids(tables["invocations"], "run_id", runs)
-    embeddings = _ids(tables["embeddings"], "invocation_id", invocations)
-    assigned = _ids(tables["embedding_clusters"], "embedding_id", embeddings).unionByName(_ids(tables["embedding_clusters"], "medoid_embedding_id", embeddings)).distinct()
-    exponents = tables["lyapunov_results"].where(F.array_contains("network", model)).select("id")
-    return _split(tables, {"embedding_clusters": assigned, "embeddings": embeddings, "persistence_diagrams": _ids(tables["persistence_diagrams"], "run_id", runs), "lyapunov_results": exponents, "invocations": invocations, "runs": runs})
+    has = F.coalesce(F.array_contains("network", model), F.lit(False)).alias("_goes")
+    return _down(tables, tables["runs"].select("*", has), True) | {"lyapunov_results": tables["lyapunov_results"].select("*", has)}
 
 
-def counted(rows: Rows) -> DataFrame:
-    """(table_name, n_left, n_gone)."""
+def counted(rows: Tables) -> DataFrame:
+    """(table_name, n_left, n_gone) of flagged tables."""
     out = None
-    for name, (stays, goes) in rows.items():
-        n = stays.select(F.lit(1).alias("stays")).unionByName(goes.select(F.lit(0).alias("stays"))).agg(F.coalesce(F.sum("stays"), F.lit(0)).cast("long").alias("n_left"), F.coalesce(F.sum(1 - F.col("stays")), F.lit(0)).cast("long").alias("n_gone")).select(F.lit(name).alias("table_name"), "n_left", "n_gone")
-        out = n if out is None else out.unionByName(n)
-    return out
+    for name, df in rows.items():
+        marks = df.select(F.lit(name).alias("table_name"), F.col("_goes").cast("long").alias("gone"))
+        out = marks if out is None else out.unionByName(marks)
+    return out.groupBy("table_name").agg(F.sum(1 - F.col("gone")).alias("n_left"), F.sum("gone").alias("n_gone"))
+
+
+def deleted(store: Store, rows: Tables, tags: dict[str, str]) -> int:
+    """Write what stays of flagged tables over what a store has, all in one commit. tags: each table's tag column."""
+    changes = {}
+    for name, df in rows.items():
+        left = stays(df)
+        values = sorted({t for t, _ in store.state()[name] if t})
+        changes[name] = (left, tags[name], values)
+    return store.replace(**changes)

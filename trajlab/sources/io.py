@@ -29,11 +29,13 @@ def read_dump(spark: SparkSession, folder: str, tables: list[str] | None = None)
     return {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in tables or TABLES}
 
 
-def write_dump(frames: dict[str, DataFrame], folder: str) -> list[tuple[str, str, int]]:
-    """A zstd parquet folder for each table; (table, path, rows), the rows counted as they are written."""
+def write_dump(frames: dict[str, DataFrame], folder: str, order: dict[str, list[str]] | None = None) -> list[tuple[str, str, int]]:
+    """A zstd parquet folder for each table; (table, path, rows), the rows counted as they are written. order: columns
+    that a table's rows ascend by through its files in order of their names, ranges sorted side by side."""
     out = []
     for name, df in frames.items():
-        seen, path = Observation(), f"{folder}/{name}.parquet"
+        seen, path, by = Observation(), f"{folder}/{name}.parquet", (order or {}).get(name)
+        df = df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
         out.append((name, path, seen.get["n"]))
     return out
@@ -56,7 +58,3 @@ def _floats(blobs: pd.Series) -> pd.Series:
 def vectors_of_blobs(df: DataFrame, column: str) -> DataFrame:
     """A column of little-endian float32 blobs as arrays; a null stays one."""
     return df.withColumn(column, F.pandas_udf(_floats, T.ArrayType(T.FloatType()))(column))
-
-
-def append(df: DataFrame, path: str, partition: str = "embedding_model") -> None:
-    df.write.mode("append").partitionBy(partition).parquet(path)
