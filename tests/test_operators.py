@@ -332,6 +332,82 @@ def test_deleting_writes_what_stays_in_one_commit(spark, store):
     assert K.orphans(store.read("embedding_clusters"), "embedding_id", store.read("embeddings"), "id").count() == 0
 
 
+def test_models_are_loaded_once_a_worker(spark, tmp_path):
+    """Text and image bytes go to the models of their kind in batches; what isn't registered or of another kind stays."""
+    from trajlab.operators import embedding as B
+
+    seen = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(f"{seen}/load-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def embed(contents):
+            assert 0 < len(contents) <= 3
+            return np.array([[len(c), float(isinstance(c, bytes)), float("nan")] for c in contents])
+
+        return embed
+
+    models = {"T": B.Model("text", load, batch=3), "I": B.Model("image", load, batch=3, raw=True)}
+    rows = [(f"s{i}", "T" if i % 2 else "I", "abc" if i % 2 else None, None if i % 2 else b"abcd") for i in range(40)] + [("s40", "other", "x", b"x")]
+    wanted = spark.createDataFrame(rows, "id string, embedding_model string, output_text string, output_image binary").repartition(8)
+    got = {r.invocation_id: r for r in B.embedded(wanted, models).collect()}
+    assert len(got) == 40 and all(r.vector == pytest.approx([1.0, 0.0, 0.0]) for r in got.values() if r.embedding_model == "T")
+    assert all(r.vector[:2] == [4.0, 1.0] and math.isnan(r.vector[2]) for r in got.values() if r.embedding_model == "I")
+    import os
+
+    loads = [f.split("-")[1] for f in os.listdir(seen)]
+    assert all(loads.count(p) <= 2 for p in loads)
+
+
+def test_filled_vectors_are_missing_no_more(spark, store):
+    from trajlab.operators import embedding as B
+    from trajlab.plans.files import REGISTRY
+
+    t = model_tables(spark)
+    t["embeddings"] = t["embeddings"].where("embedding_model <> 'V0'")
+    store.append("embeddings", t["embeddings"], "embedding_model", ["invocation_id", "embedding_model"])
+    new = B.filled(t, REGISTRY, F.lit("2024-01-01").cast("timestamp"))
+    n = new.count()
+    assert n > 0 and store.append("embeddings", new, "embedding_model", ["invocation_id", "embedding_model"]) == n
+    kinds = {k: m.kind for k, m in REGISTRY.items()}
+    assert B.missing(t | {"embeddings": store.read("embeddings")}, kinds).count() == 0
+    assert {r[0] for r in new.select(F.size("vector")).distinct().collect()} == {256}
+
+
+@pytest.mark.parametrize("wide", [3, 256])
+def test_curves_of_wide_cells(spark, wide):
+    """Cells cut into blocks of runs have the curves that they have whole."""
+    rng = np.random.default_rng(1)
+    runs = {(p, f"{p}{k}"): rng.normal(0, 1, (4 + k % 2, 3)).tolist() for p, m in (("a", 11), ("b", 7), ("c", 2)) for k in range(m)}
+    p = steps(spark, runs)
+    x = {q: np.array([v[:4] for (r, _), v in runs.items() if r == q], np.float32).astype(float) for q in "abc"}
+    same = {(r.prompt, r.t): (r.distance, r.num_pairs) for r in D.within_curves(p, wide).collect()}
+    for q, v in x.items():
+        for t in range(4):
+            d = all_distances(v[:, t])[np.triu_indices(len(v), 1)]
+            assert same[q, t] == (pytest.approx(d.mean()), len(d))
+    cross = {(r.prompt_1, r.prompt_2, r.t): (r.distance, r.num_pairs) for r in D.cross_curves(p, wide).collect()}
+    for a, b in (("a", "b"), ("a", "c"), ("b", "c")):
+        for t in range(4):
+            d = np.sqrt(((x[a][:, None, t] - x[b][None, :, t]) ** 2).sum(2))
+            assert cross[a, b, t] == (pytest.approx(d.mean()), d.size)
+
+
+def test_a_wide_cell_is_many_keys(spark):
+    """One cell of 5,000 runs: no task of the join has over ten times the median's rows."""
+    n = 5000
+    rows = spark.range(2 * n).select(F.lit("e").alias("experiment_id"), F.lit("n").alias("network"), F.lit("p").alias("prompt"), F.concat(F.lit("r"), (F.col("id") % n).cast("string")).alias("run_id"), (F.col("id") / n).cast("long").alias("sequence_number"), F.lit("M").alias("embedding_model"), F.col("id").alias("embedding_id"), F.array((F.col("id") % n).cast("float")).alias("vector"))
+    got = {r.t: r for r in D.within_curves(T.points(rows)).collect()}
+    assert {t: r.num_pairs for t, r in got.items()} == {0: n * (n - 1) // 2, 1: n * (n - 1) // 2}
+    assert got[0].distance == pytest.approx((n + 1) / 3)
+    own, blocks = D._block("run_id", F.lit(n), D.WIDE)
+    sizes = [r["count"] for r in rows.where("sequence_number = 0").select(own.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j")).groupBy("i", "j").count().collect()]
+    assert len(sizes) == 400 and max(sizes) <= 2 * sorted(sizes)[200]
+
+
 def test_run_rules(spark):
     df = spark.createDataFrame([(1, 0, ["a"], "p"), (0, -1, [], "")], "max_length long, run_number long, network array<string>, initial_prompt string")
     assert len(K.violations(df, "runs", K.run_rules(), F.lit("k")).collect()) == 4

@@ -5,12 +5,12 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from trajlab.plans import clusters, model, relational, trajectories
+from trajlab.plans import clusters, files, model, relational, trajectories
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = trajectories.SQL | clusters.SQL | relational.SQL | model.SQL
-QUERIES = trajectories.QUERIES | clusters.QUERIES | relational.QUERIES | model.QUERIES
+SQL = trajectories.SQL | clusters.SQL | relational.SQL | model.SQL | files.SQL
+QUERIES = trajectories.QUERIES | clusters.QUERIES | relational.QUERIES | model.QUERIES | files.QUERIES
 
 
 @pytest.fixture(scope="module")

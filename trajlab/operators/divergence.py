@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlab.functions.vectors import distance
@@ -12,23 +12,44 @@ PAIR = ["experiment_id", "network", "embedding_model", "prompt_1", "prompt_2"]
 FLOOR = 1e-10
 
 
-def within_curves(pts: DataFrame) -> DataFrame:
-    """Mean distance of all run pairs of a cell at each t: (CELL, t, distance, num_pairs, num_timesteps)."""
-    p = truncated(pts).select(*CELL, "t", "run_id", "v", "num_timesteps")
-    q = p.select(*CELL, "t", F.col("run_id").alias("run_2"), F.col("v").alias("v_2"))
-    pairs = p.join(q, [*CELL, "t"]).where("run_id < run_2")
+#: runs of a cell whose pairs are one key of a join; wider cells are cut into blocks of so many
+WIDE = 256
+
+
+def _block(run: str, count: Column, wide: int) -> tuple[Column, Column]:
+    """The block of a run among `count` runs, and the number of blocks."""
+    n = F.ceil(count / wide).cast("int")
+    return F.pmod(F.xxhash64(run), n).cast("int"), n
+
+
+def within_curves(pts: DataFrame, wide: int = WIDE) -> DataFrame:
+    """Mean distance of all run pairs of a cell at each t: (CELL, t, distance, num_pairs, num_timesteps). Runs meet
+    by (cell, t, pair of blocks), so a cell of many runs is many keys, and a task sums its pairs before they move."""
+    p = truncated(pts).select(*CELL, "t", "run_id", "v", "num_timesteps", "n_runs")
+    own, n = _block("run_id", F.col("n_runs"), wide)
+    first = p.select("*", own.alias("i"), F.explode(F.sequence(own, n - 1)).alias("j")).drop("n_runs")
+    second = p.select(*CELL, "t", F.col("run_id").alias("run_2"), F.col("v").alias("v_2"), own.alias("j"), F.explode(F.sequence(F.lit(0), own)).alias("i"))
+    pairs = first.join(second, [*CELL, "t", "i", "j"]).where("i < j or run_id < run_2")
     return pairs.groupBy(*CELL, "t").agg(F.avg(distance(F.col("v"), F.col("v_2"))).alias("distance"), F.count("*").alias("num_pairs"), F.max("num_timesteps").alias("num_timesteps"))
 
 
-def cross_curves(pts: DataFrame) -> DataFrame:
+def cross_curves(pts: DataFrame, wide: int = WIDE) -> DataFrame:
     """Mean distance between the runs of two prompts of a network at each t: (PAIR, t, distance,
-    num_pairs, num_timesteps). Prompts have two runs at least; a pair is as long as its shortest run."""
+    num_pairs, num_timesteps). Prompts have two runs at least; a pair is as long as its shortest run. Runs of two
+    prompts meet by blocks as those of a cell do."""
     shortest = run_lengths(pts).groupBy(*CELL).agg(F.count("*").alias("n"), F.min("length").alias("m")).where("n >= 2")
     key = ["experiment_id", "network", "embedding_model"]
-    a, b = (shortest.select(*key, F.col("prompt").alias(f"prompt_{i}"), F.col("m").alias(f"m_{i}")) for i in (1, 2))
-    pairs = a.join(b, key).where("prompt_1 < prompt_2").select(*PAIR, F.least("m_1", "m_2").alias("num_timesteps")).where("num_timesteps >= 2")
-    left, right = (pts.select(*key, F.col("prompt").alias(f"prompt_{i}"), "t", F.col("v").alias(f"v_{i}")) for i in (1, 2))
-    met = left.join(pairs, [*key, "prompt_1"]).where("t < num_timesteps").join(right, [*key, "prompt_2", "t"])
+    a, b = (shortest.select(*key, F.col("prompt").alias(f"prompt_{i}"), F.col("m").alias(f"m_{i}"), F.col("n").alias(f"n_{i}")) for i in (1, 2))
+    pairs = a.join(b, key).where("prompt_1 < prompt_2").select(*PAIR, "n_1", "n_2", F.least("m_1", "m_2").alias("num_timesteps")).where("num_timesteps >= 2")
+    (i, n_i), (j, n_j) = (_block("run_id", F.col(f"n_{k}"), wide) for k in (1, 2))
+
+    def side(k: int) -> DataFrame:
+        mine = pts.select(*key, F.col("prompt").alias(f"prompt_{k}"), "run_id", "t", F.col("v").alias(f"v_{k}"))
+        return mine.join(pairs, [*key, f"prompt_{k}"]).where("t < num_timesteps")
+
+    left = side(1).select(*PAIR, "t", "v_1", "num_timesteps", i.alias("i"), F.explode(F.sequence(F.lit(0), n_j - 1)).alias("j"))
+    right = side(2).select(*PAIR, "t", "v_2", j.alias("j"), F.explode(F.sequence(F.lit(0), n_i - 1)).alias("i"))
+    met = left.join(right, [*PAIR, "t", "i", "j"])
     return met.groupBy(*PAIR, "t").agg(F.avg(distance(F.col("v_1"), F.col("v_2"))).alias("distance"), F.count("*").alias("num_pairs"), F.max("num_timesteps").alias("num_timesteps"))
 
 

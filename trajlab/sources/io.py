@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,10 +52,30 @@ def write_ftle_csv(table: DataFrame, path: str) -> None:
     table.select(*columns).write.csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue="")
 
 
-def _floats(blobs: pd.Series) -> pd.Series:
-    return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4").tolist())
+def _floats(blobs: pa.Array) -> pa.Array:
+    """Blobs as lists over one buffer; a null stays one."""
+    sizes = pc.fill_null(pc.binary_length(blobs), 0).to_numpy(zero_copy_only=False)
+    odd = np.flatnonzero(sizes % 4)
+    if len(odd):
+        raise ValueError(f"a vector of {sizes[odd[0]]} bytes isn't one of float32 numbers")
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes // 4)]).astype(np.int32), pa.int32(), mask=np.concatenate([pc.is_null(blobs).to_numpy(zero_copy_only=False), [False]]))
+    return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(b for b in blobs.to_pylist() if b), "<f4")))
+
+
+def _blobs(vectors: pa.Array) -> pa.Array:
+    flat, sizes = vectors.flatten().to_numpy(zero_copy_only=False).astype("<f4"), pc.list_value_length(vectors).to_pylist()
+    out, at = [], 0
+    for n in sizes:
+        out.append(None if n is None else flat[at : at + n].tobytes())
+        at += n or 0
+    return pa.array(out, pa.binary())
 
 
 def vectors_of_blobs(df: DataFrame, column: str) -> DataFrame:
     """A column of little-endian float32 blobs as arrays; a null stays one."""
-    return df.withColumn(column, F.pandas_udf(_floats, T.ArrayType(T.FloatType()))(column))
+    return df.withColumn(column, F.arrow_udf(_floats, T.ArrayType(T.FloatType()))(column))
+
+
+def blobs_of_vectors(df: DataFrame, column: str) -> DataFrame:
+    """A column of float arrays as little-endian float32 blobs; a null stays one."""
+    return df.withColumn(column, F.arrow_udf(_blobs, T.BinaryType())(column))
