@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlab.functions.vectors import distance
+from trajlab.operators.graph import checkpointed
 from trajlab.operators.trajectory import CELL, run_lengths, truncated
 
 PAIR = ["experiment_id", "network", "embedding_model", "prompt_1", "prompt_2"]
@@ -74,6 +75,8 @@ def heatmap(table: DataFrame) -> DataFrame:
     """Symmetric prompt by prompt cells of each (experiment, network, model), labelled p1, p2, .. by
     prompt; a cell without a value is null. Prompts are those of identical rows."""
     key = ["experiment_id", "network", "embedding_model"]
+    # rows, columns and values are all taken from it
+    table = checkpointed(table)
     same = table.where("category = 'identical'").select(*key, F.col("prompt_or_pair").alias("prompt"), "ftle")
     w = Window.partitionBy("experiment_id").orderBy("prompt")
     names = same.select("experiment_id", "prompt").distinct().withColumn("label", F.concat(F.lit("p"), F.row_number().over(w).cast("string")))

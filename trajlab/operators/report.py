@@ -73,6 +73,17 @@ def cluster_stats(assignments: DataFrame) -> DataFrame:
     return assignments.groupBy("layer").agg(F.count("*").alias("n_rows"), F.count("cluster_label").alias("cluster_count"), F.countDistinct("cluster_label").alias("n_clusters"), F.avg(F.col("cluster_label").isNull().cast("double")).alias("outlier_share"))
 
 
+def outliers_by_model(tables: dict[str, DataFrame]) -> DataFrame:
+    """(embedding_model, layer, model, n, n_outliers): how many of the vectors of the steps that a model made lie
+    outside every cluster, for each clustering layer of each embedding model."""
+    runs = tables["clustering_results"].select(F.col("id").alias("clustering_result_id"), "layer")
+    steps = tables["invocations"].select(F.col("id").alias("invocation_id"), "model")
+    vectors = tables["embeddings"].select(F.col("id").alias("embedding_id"), "invocation_id", "embedding_model")
+    assigned = tables["embedding_clusters"].select("embedding_id", "clustering_result_id", "medoid_embedding_id").join(runs, "clustering_result_id")
+    found = assigned.join(vectors, "embedding_id").join(steps, "invocation_id")
+    return found.groupBy("embedding_model", "layer", "model").agg(F.count("*").alias("n"), F.sum(F.col("medoid_embedding_id").isNull().cast("long")).alias("n_outliers"))
+
+
 def image_manifest(invocations: DataFrame, limit: int | None = None) -> DataFrame:
     """Target path and caption texts of each image, with the text it was made from: its input's output,
     else the run's prompt. Ordered by run and step where limited."""

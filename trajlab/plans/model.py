@@ -105,6 +105,10 @@ def first_images(s: SparkSession, d: str) -> DataFrame:
     return E.manifest(model.tables(s, d), "exp1", limit=7).select("run_id", "sequence_number", "path")
 
 
+def outlier_by_model(s: SparkSession, d: str) -> DataFrame:
+    return R.outliers_by_model(model.tables(s, d))
+
+
 def delete_experiment(s: SparkSession, d: str) -> DataFrame:
     t = model.tables(s, d)
     return M.counted(M.experiments_deleted(t, E.by_id(t["experiments"], "exp1")))
@@ -301,6 +305,8 @@ SELECT id, CASE WHEN completed_at IS NOT NULL THEN 'completed' WHEN started_at I
     "first_images": f"WITH {model.SQL} SELECT i.run_id, i.sequence_number, {_PATH} AS path FROM {_IMAGES} = 'exp1' ORDER BY i.run_id, i.sequence_number LIMIT 7",
     "delete_experiment": f"WITH {_DELETED.replace('WHICH', chr(39).join(['experiment_id = ', 'exp1', '']))}, g_embedding_clusters AS (SELECT id FROM m_embedding_clusters WHERE embedding_id IN (FROM g_embeddings)), g_lyapunov_results AS (SELECT id FROM m_lyapunov_results WHERE experiment_id = 'exp1'), g_experiments AS (SELECT 'exp1' AS id) {_sql_deleted([*_SIX, 'experiments'])}",
     "delete_runs_of_model": f"WITH {_DELETED.replace('WHICH', chr(39).join(['list_contains(network, ', 'T1', ')']))}, g_embedding_clusters AS (SELECT id FROM m_embedding_clusters WHERE embedding_id IN (FROM g_embeddings) OR medoid_embedding_id IN (FROM g_embeddings)), g_lyapunov_results AS (SELECT id FROM m_lyapunov_results WHERE list_contains(network, 'T1')) {_sql_deleted(_SIX)}",
+    "outlier_by_model": f"""WITH {model.SQL} SELECT v.embedding_model, c.layer, i.model, count(*) AS n, sum((medoid_embedding_id IS NULL)::INT)::BIGINT AS n_outliers
+FROM m_embedding_clusters a JOIN m_clustering_results c ON c.id = clustering_result_id JOIN m_embeddings v ON v.id = embedding_id JOIN m_invocations i ON i.id = invocation_id GROUP BY ALL""",
     "embeddable_images": f"WITH {model.SQL} SELECT id, run_id, sequence_number, 'V0' AS embedding_model FROM m_invocations WHERE type = 'image' AND output_image IS NOT NULL",
     "missing_image_embeddings": f"WITH {model.SQL} SELECT id, run_id, sequence_number, 'V0' AS embedding_model FROM m_invocations WHERE type = 'image' AND output_image IS NOT NULL AND id NOT IN (SELECT invocation_id FROM m_embeddings WHERE embedding_model = 'V0')",
     "backfill_plan": f"""WITH {model.SQL}, us AS (SELECT DISTINCT id AS experiment_id, unnest(embedding_models) AS m FROM m_experiments),
