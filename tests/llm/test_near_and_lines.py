@@ -125,3 +125,31 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
         assert last.count() == n
         both = last.where("doc_id between 0 and 4").join(docs.select("doc_id", F.col("text").alias("was")), "doc_id")
         assert all(r.text == r.was for r in both.collect())
+
+
+def test_unlinked_sets_of_a_chunk():
+    """Sets alike enough for their sketches and too far apart to link: each pair is looked at once, in bulk."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    n, shared = 3000, np.sort(rng.integers(0, 1 << 63, 12).astype(np.uint64))
+    sets = [np.sort(np.concatenate([shared, rng.integers(0, 1 << 63, 4).astype(np.uint64)])) for _ in range(n)]
+    sets[17] = np.sort(np.append(sets[4][:15], np.uint64(5)))  # one link: 15 of 17
+    columns = {"label": [1] * n, "j": [0] * n, "guest": [0] * n, "root": pa.nulls(n, pa.int64()), "a": list(range(n)), "b": list(range(n)), "shingles": [x.tobytes() for x in sets], **{f"odd{k}": [0] * n for k in range(8)}}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v) if isinstance(v, list) else v for k, v in columns.items()})
+    began = time.time()
+    (found,) = near_dedup._confirmed(iter([batch]), 85)
+    assert sorted(zip(found.column("ga").to_pylist(), found.column("a").to_pylist())) == [(4, 4), (4, 17)]
+    assert time.time() - began < 20
+
+
+def test_chunks_of_few_sets(spark):
+    """Groups are the same however few sets a chunk takes."""
+    df = cases.documents(spark, 3, 64)
+    told = lambda rows: sorted((str(r.doc_id), r.text_key, r.component_id or -1) for r in rows)
+    assert told(near_dedup.near_groups(df, most_sets=2).collect()) == told(near_dedup.near_groups(df).collect())
+    with pytest.raises(ValueError, match="70 to 100"):
+        near_dedup.near_groups(df, percent=60)

@@ -226,3 +226,12 @@ def test_suffix_array_of_many_symbols():
     # a lone 3 comes before every 3, 4, ..; suffixes alike stay in text order
     want = np.concatenate([np.r_[[len(s) - 1] if x == 3 else [], np.flatnonzero(s[:-1] == x)] for x in range(1, 65)])
     assert np.array_equal(array, want)
+
+
+def test_orders_that_a_cell_cannot_hold(spark):
+    """Up to five the weights are learned from every order; more is refused, not scored wrongly."""
+    cell = np.array([(9 << 50) | (1 << 40) | (400 << 30) | (400 << 20) | (400 << 10) | 400], np.int64)
+    assert lm_score.learned_weights(cell, np.array([10]), 100, order=5)[9].argmax() == 0
+    for order in (0, 6):
+        with pytest.raises(ValueError, match="1 to 5"):
+            lm_score.scored(cases.documents(spark), order=order)

@@ -203,6 +203,10 @@ def _estimates(grams: np.ndarray, contexts: np.ndarray, tokens: int) -> list[np.
     return [*(g / np.maximum(c, 1) for g, c in zip(grams[:0:-1], contexts[::-1], strict=True)), grams[0] / max(tokens, 1)]
 
 
+#: longest n-gram: a cell has ten bits for each order beside the bucket
+MOST_ORDER = 5
+
+
 def _steps(p: np.ndarray) -> np.ndarray:
     """Probabilities as whole steps of an octave below 1, from 1 on; 0 for none."""
     with np.errstate(divide="ignore"):
@@ -280,13 +284,15 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
 def scored(documents: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, by a model of
-    n-grams of up to `order` words (8 at most).
+    n-grams of up to `order` words (5 at most, as a cell of the weights' counts holds no more).
 
     A null or empty text is its end token alone. A null doc_id hashes as an empty string, so it trains.
     Repeated rows are documents of their own, counted each time. Without training documents every
     token is unknown and uniform. An empty table gives no rows. Equal texts (ties) have equal scores. The
     weights are learned on the counts of five of seven parts of the documents and used with those of six.
     """
+    if not 1 <= order <= MOST_ORDER:
+        raise ValueError(f"order is 1 to {MOST_ORDER}")
     with Scratch(documents.sparkSession) as scratch:
         return scratch.result(_model_scores(documents, block_bytes, order, scratch))
 

@@ -37,32 +37,10 @@ PERCENT = 85
 BUCKET = 20_000
 #: leaders of a neighbourhood of several chunks
 LEADERS = 16
-#: shingles of a chunk of a neighbourhood
-CHUNK = 2_000_000
-
-
-class Forest:
-    """Union-find over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return int(i)
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.parent[max(i, j)] = min(i, j)
-
-    def roots(self) -> np.ndarray:
-        p = self.parent
-        while (q := p[p]).tolist() != p.tolist():
-            p = q
-        self.parent = p
-        return p
+#: shingles of a chunk of a neighbourhood, and sets of one, of which each may meet each
+CHUNK, SETS = 2_000_000, 8_000
+#: below, the bands would miss pairs
+LEAST_PERCENT = 70
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
@@ -138,40 +116,52 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
     chunks are compared with those at home; classes of one component (root, where known) aren't."""
     most = most_differing_bits(percent / 100)
     for share in _groups(batches, ["label", "j"]):
-        sets = [np.frombuffer(x, np.uint64) for x in share.column("shingles").to_pylist()]
+        # sets by size, so those similar in size stand together behind each
+        n = np.array([len(x) // 8 for x in share.column("shingles").to_pylist()])
+        share = share.take(pa.array(np.argsort(n, kind="stable")))
+        n = np.sort(n)
+        flat = np.frombuffer(b"".join(share.column("shingles").to_pylist()), np.uint64)
+        start = np.concatenate([[0], np.cumsum(n)])
         guest = share.column("guest").to_numpy().astype(bool)
         odd = np.stack([share.column(f"odd{k}").to_numpy().view(np.uint64) for k in range(8)], 1)
-        n = np.array([len(s) for s in sets])
-        order = np.argsort(n, kind="stable")
-        forest = Forest(len(sets))
+        # the component of each set, renamed only when a link joins two
+        roots = np.arange(len(n))
+
+        def join(x: int, y: int, roots: np.ndarray = roots) -> None:
+            one, other = sorted((roots[x], roots[y]))
+            if one != other:
+                roots[roots == other] = one
+
         first: dict[int, int] = {}
         for k, root in enumerate(share.column("root").to_pylist()):
             if root is not None:
-                forest.join(k, first.setdefault(root, k))
-        for at, x in enumerate(order.tolist()):
-            # sets come by size, so those similar in size stand together behind x
-            end = at + 1 + int(np.searchsorted(n[order[at + 1 :]], 100 * n[x] // percent, "right"))
-            others = order[at + 1 : end]
+                roots[k] = roots[first.setdefault(root, k)]
+        for x in range(len(n)):
+            own = flat[start[x] : start[x + 1]]
+            others = np.arange(x + 1, int(np.searchsorted(n, 100 * n[x] // percent, "right")))
             if guest[x] or first:
                 others = others[guest[others] != guest[x]]
-            others = others[np.bitwise_count(odd[others] ^ odd[x]).sum(1) <= most]
-            if not len(others):
-                continue
-            roots = forest.roots()
             others = others[roots[others] != roots[x]]
+            others = others[np.bitwise_count(odd[others] ^ odd[x]).sum(1) <= most]
+            step = 64
             while len(others):
-                # some at a time: links found spare the comparisons of what they connect
-                some, others = others[:64], others[64:]
-                joined = np.concatenate([sets[y] for y in some])
-                place = np.minimum(np.searchsorted(sets[x], joined), n[x] - 1)
+                # some at a time, as links found spare the comparisons of what they connect; more where none is found
+                some, others = others[:step], others[step:]
                 ends = np.cumsum(n[some])
-                total = np.concatenate([[0], np.cumsum(sets[x][place] == joined)])
+                if some[-1] - some[0] + 1 == len(some):
+                    joined = flat[start[some[0]] : start[some[-1] + 1]]
+                else:
+                    joined = flat[np.repeat(start[some] - ends + n[some], n[some]) + np.arange(ends[-1])]
+                place = np.minimum(np.searchsorted(own, joined), n[x] - 1)
+                total = np.concatenate([[0], np.cumsum(own[place] == joined)])
                 shared = total[ends] - total[ends - n[some]]
-                for y in some[100 * shared >= percent * (n[some] + n[x] - shared)].tolist():
-                    forest.join(x, y)
-                roots = forest.roots()
-                others = others[roots[others] != roots[x]]
-        roots = forest.roots()
+                met = some[100 * shared >= percent * (n[some] + n[x] - shared)].tolist()
+                for y in met:
+                    join(x, y)
+                if met:
+                    others = others[roots[others] != roots[x]]
+                else:
+                    step = max(step, min(2 * step, (1 << 20) // n[x]))
         linked = np.flatnonzero(np.bincount(roots, minlength=len(roots))[roots] > 1)
         if len(linked):
             take = pa.array(linked)
@@ -208,19 +198,21 @@ def leftovers(sets: DataFrame, linked: DataFrame) -> DataFrame:
     return known.join(largest, "label").withColumn("rest", F.col("root") != F.col("main")).drop("main")
 
 
-def near_groups(documents: DataFrame, percent: int = PERCENT, bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
+def near_groups(documents: DataFrame, percent: int = PERCENT, bucket: int = BUCKET, chunk: int = CHUNK, most_sets: int = SETS) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id of every row.
 
     component_id is the least doc_id that links reach. A null, empty or blank text has no set and is
     linked with nothing; its component is its own doc_id. Rows with equal sets are linked, so repeated
     rows are in one component. A null doc_id counts as larger than any; a group of such rows alone has a
-    null component. An empty table gives no rows.
+    null component. An empty table gives no rows. percent is 70 to 100.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent is {LEAST_PERCENT} to 100")
     with Scratch(documents.sparkSession) as scratch:
-        return scratch.result(_grouped(keyed(documents), percent, bucket, chunk, scratch.stored))
+        return scratch.result(_grouped(keyed(documents), percent, bucket, chunk, most_sets, scratch.stored))
 
 
-def _grouped(docs: DataFrame, percent: int, bucket: int, chunk: int, stored) -> DataFrame:
+def _grouped(docs: DataFrame, percent: int, bucket: int, chunk: int, most_sets: int, stored) -> DataFrame:
     rows = stored(docs.mapInArrow(signed, SIGNED), "signatures")
     key = ["n_shingles", "a", "b"]
     classes = stored(rows.where("a is not null").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), "classes")
@@ -235,7 +227,7 @@ def _grouped(docs: DataFrame, percent: int, bucket: int, chunk: int, stored) ->
     near = labelled(told.unionByName(crowded).select(F.struct("bucket", "cluster").alias("g"), F.col("a").alias("node")))
 
     places = classes.join(near.select(F.col("node").alias("a"), "label"), "a")
-    sizes = places.groupBy("label").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n")).where("n > 1").select("label", F.ceil(F.col("total") / chunk).cast("int").alias("chunks"))
+    sizes = places.groupBy("label").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n")).where("n > 1").select("label", F.greatest(F.ceil(F.col("total") / chunk), F.ceil(F.col("n") / most_sets)).cast("int").alias("chunks"))
     wanted = stored(places.join(sizes, "label").select("a", "b", "label", "chunks", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), *sketch), "wanted")
     blobs = docs.mapInArrow(packed, "doc_id long, text_key long, blob binary")
     texts = blobs.join(wanted.hint("merge"), same_row(blobs, wanted)).select("a", "b", "label", "chunks", "blob")
