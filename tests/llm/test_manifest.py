@@ -118,3 +118,18 @@ def test_query(spark):
     d = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(int(a), b, c, int(e), t) for a, b, c, e, t in zip(d.doc_id, d.source, d.lang, d.n_chars, d.text)]
     assert got(manifest.op11_manifest(spark, "/root/testdata/sf0.001")) == brute(rows)
+
+
+def test_sql(spark, tmp_path):
+    """The SQL on rows with nulls, ties and repeats, and the query on the same."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = [(d, None if i % 4 == 0 else "s", [None, "en", "de", ""][i % 4], None if i % 5 == 0 else len(t or ""), t) for i, (d, t) in enumerate(cases.rows(4, 40))]
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    pq.write_table(pa.table([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()])], names), tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    theirs = sorted((str(r[0]), *r[1:]) for r in con.execute(manifest.OP11_SQL).fetchall())
+    assert theirs == brute(rows) == got(manifest.op11_manifest(spark, str(tmp_path)))

@@ -111,6 +111,11 @@ def test_query_on_small_tables(spark, tmp_path):
     rows = some(rng, 150, 7) + [(None, t, r, "Hm.") for t in (0, 1, 2, None) for r in ("user", "assistant")]
     rng.shuffle(rows)
     assert query(spark, rows, tmp_path) == brute(rows)
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
+    assert sorted((str(r[0]), *r[1:]) for r in con.execute(repair.OP13_SQL).fetchall()) == brute(rows)
 
 
 def test_long_conversations_cross_fragments(spark, tmp_path, monkeypatch):

@@ -341,3 +341,27 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     found = verified(table(spark, sf_dir, "documents"), changes={"n_chars": F.col("n_chars") + 1}, where=tampered)
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+#: the same in DuckDB SQL
+OP11_SQL = """WITH RECURSIVE b AS (SELECT *, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT) AS digits FROM documents),
+c AS (SELECT * EXCLUDE (digits), xor(list_reduce(digits, lambda c, x: list_reduce(range(8), lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END, xor(c, x)), 4294967295::UBIGINT), 4294967295::UBIGINT) AS crc FROM b),
+l0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM (
+  SELECT doc_id, coalesce(concat('=' || lang), '') AS tree, sha256(concat({head}, {told_n}, {text})) AS leaf, sha256(concat({head}, {told_bent}, {text})) AS bent FROM c)),
+lv AS (SELECT tree, 0 AS level, i, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM l0
+  UNION ALL SELECT tree, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM lv WHERE n > 1 GROUP BY tree, level, i // 2, n),
+t0 AS (SELECT tree, row_number() OVER (ORDER BY tree) - 1 AS i, h FROM lv WHERE n = 1),
+tp AS (SELECT 0 AS level, i, h, count(*) OVER () AS n FROM t0 UNION ALL SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM tp WHERE n > 1 GROUP BY level, i // 2, n),
+fo AS (SELECT tree, i AS k, 0 AS level, i, bent AS h, '' AS proof FROM l0
+  UNION ALL SELECT f.tree, f.k, f.level + 1, f.i // 2, sha256(CASE WHEN f.i % 2 = 1 THEN concat(s.h, f.h) ELSE concat(f.h, s.h) END), concat(f.proof, s.h)
+  FROM fo f JOIN lv o ON o.tree = f.tree AND o.level = f.level AND o.i = f.i AND o.n > 1 LEFT JOIN lv s ON s.tree = f.tree AND s.level = f.level AND s.i = xor(f.i, 1)),
+ft AS (SELECT f.tree, k, 0 AS level, t0.i, f.h, proof FROM fo f JOIN lv o ON o.tree = f.tree AND o.level = f.level AND o.i = f.i AND o.n = 1 JOIN t0 ON t0.tree = f.tree
+  UNION ALL SELECT f.tree, f.k, f.level + 1, f.i // 2, sha256(CASE WHEN f.i % 2 = 1 THEN concat(s.h, f.h) ELSE concat(f.h, s.h) END), concat(f.proof, s.h)
+  FROM ft f JOIN tp o ON o.level = f.level AND o.i = f.i AND o.n > 1 LEFT JOIN tp s ON s.level = f.level AND s.i = xor(f.i, 1))
+SELECT doc_id, leaf, t0.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM ft f JOIN tp r ON r.level = f.level AND r.i = f.i AND r.n = 1 JOIN l0 ON l0.tree = f.tree AND l0.i = f.k JOIN t0 ON t0.tree = f.tree""".format(
+    head=", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(strlen({c}::VARCHAR), ':', {c}) END" for c in ("doc_id", "source", "lang")),
+    told_n="CASE WHEN n_chars IS NULL THEN '-' ELSE concat(strlen(n_chars::VARCHAR), ':', n_chars) END",
+    told_bent="CASE WHEN n_chars IS NULL THEN '-' WHEN crc % 7 = 0 THEN concat(strlen((n_chars + 1)::VARCHAR), ':', n_chars + 1) ELSE concat(strlen(n_chars::VARCHAR), ':', n_chars) END",
+    text="CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', text) END",
+)

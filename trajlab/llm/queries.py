@@ -25,4 +25,6 @@ SQL = {
     "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
+    "op11_manifest": manifest.OP11_SQL,
+    "op13_conversation_repair": repair.OP13_SQL,
 }

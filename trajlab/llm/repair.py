@@ -335,3 +335,23 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         told = every.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
         counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
         return scratch.result(told.select(F.col("_conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(EMPTY)).alias("repaired_sha256")))
+
+
+#: the same in DuckDB SQL, the edits as text
+OP13_SQL = r"""WITH RECURSIVE b AS (SELECT *, list_transform(string_split(concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')), ''), lambda c: ascii(c)::UBIGINT) AS told FROM conversations),
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(told, lambda c, x: list_reduce(range(8), lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END, xor(c, x)), 4294967295::UBIGINT), 4294967295::UBIGINT) % 20 AS kind FROM b),
+dm AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE kind <> 0),
+od AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS ending FROM dm),
+fl AS MATERIALIZED (SELECT conv_id, turn, role, text, i, left(role, 1) AS initial, CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM od),
+mv(q, r, letters, cost, made) AS (VALUES (0, 0, '', 0, []::VARCHAR[]), (0, 2, 'I', 2, ['user:']), (0, 3, 'II', 4, ['user:', 'assistant:']), (1, 1, '', 0, []), (1, 2, 'I', 2, ['user:']), (1, 3, 'II', 4, ['user:', 'assistant:']),
+  (2, 2, '', 0, []), (2, 3, 'I', 2, ['assistant:']), (2, 2, 'II', 4, ['assistant:', 'user:']), (3, 3, '', 0, []), (3, 2, 'I', 2, ['user:']), (3, 3, 'II', 4, ['user:', 'assistant:'])),
+ac(q, r, letter, cost, initial, role) AS (VALUES (0, 0, 'D', 3, NULL, NULL), (1, 1, 'D', 3, NULL, NULL), (2, 2, 'D', 3, NULL, NULL), (3, 3, 'D', 3, NULL, NULL), (0, 2, 'R', 2, NULL, 'user'), (1, 2, 'R', 2, NULL, 'user'), (2, 3, 'R', 2, NULL, 'assistant'), (3, 2, 'R', 2, NULL, 'user'),
+  (0, 1, 'K', 0, 's', NULL), (0, 2, 'K', 0, 'u', NULL), (1, 2, 'K', 0, 'u', NULL), (2, 3, 'K', 0, 'a', NULL), (3, 2, 'K', 0, 'u', NULL)),
+dp AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0, 'audit': '', 'made': []::VARCHAR[]} AS s FROM fl
+  UNION ALL SELECT p.conv_id, f.i, a.r, min({'cost': p.s.cost + m.cost + a.cost + (f.fault = 'truncated' AND a.letter <> 'D')::INT, 'audit': concat(p.s.audit, m.letters, a.letter), 'made': list_concat(p.s.made, m.made, CASE WHEN a.letter = 'D' THEN [] ELSE [concat(coalesce(a.role, f.role), ':', f.text)] END)})
+  FROM dp p JOIN fl f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN mv m ON m.q = p.q JOIN ac a ON a.q = m.r AND (a.initial IS NULL OR a.initial = f.initial) AND (a.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate')) GROUP BY p.conv_id, f.i, a.r),
+fc AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE concat(before, initial) NOT IN ('su', 'ua', 'au') AND i > 1) AS illegal
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM fl) GROUP BY conv_id),
+fi AS (SELECT fc.conv_id, min({'cost': s.cost + CASE q WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END, 'audit': concat(s.audit, CASE q WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END), 'made': list_concat(s.made, CASE q WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END)}) AS s FROM fc JOIN dp ON dp.conv_id IS NOT DISTINCT FROM fc.conv_id AND dp.i = fc.n GROUP BY fc.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(s.cost, 0)::BIGINT AS cost, coalesce(s.audit, '') AS audit, sha256(coalesce(array_to_string(s.made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN fc ON fc.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN fi ON fi.conv_id IS NOT DISTINCT FROM o.conv_id"""
