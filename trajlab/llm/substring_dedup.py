@@ -31,14 +31,16 @@ class ReferenceBlock:
     """Word sequences with the order of all their suffixes."""
 
     def __init__(self, sequences: list[np.ndarray], many: np.ndarray | None = None):
-        """many: which sequences have copies beyond the block."""
+        """many: which sequences have copies beyond the block; each of them is indexed a second time, behind all
+        others, and not parsed there."""
+        own = len(sequences)
+        sequences = sequences + [sequences[i] for i in ([] if many is None else np.flatnonzero(many))]
         sizes = np.array([len(s) for s in sequences], np.int64)
-        self.starts, self.sizes = np.cumsum(sizes + 1) - sizes - 1, sizes
-        self.many = np.zeros(len(sizes), bool) if many is None else many
+        self.starts, self.sizes = (np.cumsum(sizes + 1) - sizes - 1)[:own], sizes[:own]
         self.most = int(sizes.max(initial=1))
         words = np.concatenate(sequences) if sequences else np.empty(0, np.uint64)
         inside = np.ones(int((sizes + 1).sum()), bool)
-        inside[self.starts + sizes] = False
+        inside[np.cumsum(sizes + 1) - 1] = False
         self.symbols = np.zeros(len(inside), np.int64)
         self.symbols[inside] = np.unique(words, return_inverse=True)[1] + 1
         self.array = suffix_array(self.symbols, self.most)
@@ -47,12 +49,11 @@ class ReferenceBlock:
 
     def factor(self, at: np.ndarray) -> np.ndarray:
         """Length of the longest sequence from each position that starts at another position too: the
-        better of the two neighbours in the order of suffixes, or, in a sequence with copies, its rest."""
+        better of the two neighbours in the order of suffixes."""
         j, last = self.place[at], len(self.array) - 1
         before = np.where(j > 0, common(self.symbols, at, self.array[np.maximum(j - 1, 0)], self.most), 0)
         behind = np.where(j < last, common(self.symbols, at, self.array[np.minimum(j + 1, last)], self.most), 0)
-        row = np.searchsorted(self.starts, at, "right") - 1
-        return np.maximum(np.maximum(before, behind), np.where(self.many[row], (self.starts + self.sizes)[row] - at, 0))
+        return np.maximum(before, behind)
 
 
 def parsed(block: ReferenceBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
