@@ -34,10 +34,9 @@ class RunLengthIndex:
     """
 
     def __init__(self, strings: list[np.ndarray], many: np.ndarray | None = None):
-        """many: which strings have copies beyond the index."""
+        """many: which strings have copies beyond the block; each of them is indexed a second time."""
+        strings = strings + [strings[i] for i in ([] if many is None else np.flatnonzero(many))]
         sizes = np.array([len(s) for s in strings], np.int64)
-        self.ends = np.cumsum(sizes + 1) - 1
-        self.many = np.zeros(len(strings), bool) if many is None else many
         self.starts = np.cumsum(sizes + 1) - sizes - 1
         self.size = int((sizes + 1).sum())
         symbols, data = np.zeros(self.size, np.int64), np.zeros(self.size, np.uint8)
@@ -59,12 +58,9 @@ class RunLengthIndex:
             self.head_match[1:] = self.tail_match[:-1] = common_bytes(data, ends_at, self.heads[1:], self.tails[:-1])
 
     def statistics(self) -> np.ndarray:
-        """For every position, terminators included, the longest match that starts anywhere else; in a string
-        with copies that is the rest of the string."""
+        """For every position, terminators and second copies included, the longest match that starts anywhere else."""
         out = np.zeros(self.size, np.int64)
         at = np.arange(self.size)
-        copied = np.repeat(self.many, self.ends - self.starts + 1)
-        out[copied] = (np.repeat(self.ends, self.ends - self.starts + 1) - at)[copied]
         for sampled, match in ((self.heads, self.head_match), (self.tails, self.tail_match)):
             last = np.zeros(self.size, np.int64)
             last[sampled] = sampled
@@ -78,7 +74,8 @@ class RunLengthIndex:
 def matcher(strings: list[np.ndarray], n: np.ndarray, many: np.ndarray | None = None, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of starts whose matching statistic reaches the window."""
     index = RunLengthIndex(strings, many)
-    marked = index.statistics() >= window
+    # the strings themselves come first, what was indexed once more behind them
+    marked = index.statistics()[: sum(len(s) + 1 for s in strings)] >= window
     edge = np.diff(np.concatenate([[False], marked, [False]]).astype(np.int8))
     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     row = np.searchsorted(index.starts, a, "right") - 1
