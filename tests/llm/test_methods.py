@@ -163,17 +163,14 @@ def test_index_is_not_bypassed(spark, monkeypatch):
 
 
 def test_the_mark_of_copies_removes_nothing_by_itself(monkeypatch):
-    """Copies are found by the index, which holds them twice: where it finds no match, the mark is none either."""
+    """Copies are found by the reference block, which holds them twice: where it finds no match, the mark is none."""
     rng = np.random.default_rng(1)
-    strings = [rng.integers(97, 123, 300).astype(np.uint8) for _ in range(4)]
     words = [rng.integers(0, 1 << 60, 60).astype(np.uint64) for _ in range(4)]
-    n, m, many, few = np.full(4, 101), np.full(4, 26), np.array([True, False, True, False]), np.zeros(4, bool)
-    assert [(int(r), int(a), int(b)) for r, a, b in zip(*suffix_dedup.matcher(strings, n, many))] == [(0, 0, 101), (2, 0, 101)]
+    m, many, few = np.full(4, 26), np.array([True, False, True, False]), np.zeros(4, bool)
     assert [(int(r), int(a), int(b)) for r, a, b in zip(*substring_dedup.matcher(words, m, many))] == [(0, 0, 26), (2, 0, 26)]
-    assert not len(suffix_dedup.matcher(strings, n, few)[0]) and not len(substring_dedup.matcher(words, m, few)[0])
-    monkeypatch.setattr(suffix_dedup, "common_bytes", lambda data, ends, a, b: np.zeros(len(a), np.int64))
+    assert not len(substring_dedup.matcher(words, m, few)[0])
     monkeypatch.setattr(substring_dedup, "common", lambda symbols, a, b, most: np.zeros(len(a), np.int64))
-    assert not len(suffix_dedup.matcher(strings, n, many)[0]) and not len(substring_dedup.matcher(words, m, many)[0])
+    assert not len(substring_dedup.matcher(words, m, many)[0])
 
 
 def test_segments_across_chunks(monkeypatch):
