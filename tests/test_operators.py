@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trajlab.functions import scalars as S
 from trajlab.functions import vectors as V
+from trajlab.operators import blocks
 from trajlab.operators import checks as K
 from trajlab.operators import clustering as C
 from trajlab.operators import divergence as D
@@ -577,3 +579,37 @@ def test_lone_prompt_has_a_zero_curve(spark):
 def test_pool_of_zeros(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (2, [float("nan"), 4.0]), (2, [2.0, 0.0])], "g int, v array<double>")
     assert sorted((r.g, r.i, r.x) for r in C.mean_pooled(df, ["g"]).collect()) == [(1, 0, 0.0), (1, 1, 0.0), (2, 0, 1.0), (2, 1, 2.0)]
+
+
+def test_blocks_of_a_cloud_are_few(spark):
+    """A point is sent a bounded number of times, however many tiles a cloud has; all pairs still meet."""
+    df = spark.createDataFrame([("g", i, [float(i)]) for i in range(300)], "g string, id long, v array<double>")
+    sent = blocks.dealt(df, ["g"], [], block=2).select(F.sum(F.size("_rows")).alias("n")).first().n
+    assert sent <= 300 * blocks.SIDES
+    pairs = blocks.meet(df, ["g"], lambda a, b: {"n": np.array([len(a["v"]) * (len(a["v"]) - 1) // 2 if b is None else len(a["v"]) * len(b["v"])])}, "n long", block=2)
+    assert pairs.agg(F.sum("n")).first()[0] == 300 * 299 // 2
+
+
+def test_nearest_among_copies_and_far_points(spark):
+    """Near copies beside a far point: single precision alone can't tell them apart. Ties go to the least id."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(0, 1e-6, (60, 5)) + 1, np.ones((20, 5)), rng.normal(0, 1, (40, 5)), [[1e4] * 5]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    got = {(r.id, r["rank"]): (r.other, r.d) for r in C.nearest(df, 4, block=16).collect()}
+    order = np.argsort(d, axis=1, kind="stable")[:, :4]
+    assert len(got) == 4 * len(x)
+    for i in range(len(x)):
+        for k in range(4):
+            other, far = got[i, k + 1]
+            assert far == pytest.approx(d[i, order[i, k]], rel=1e-9, abs=0)
+            assert other == order[i, k] or abs(d[i, other] - far) < 1e-12
+
+
+def test_a_value_of_a_row_is_computed_once(spark):
+    """A finalised vector's norm was computed for each of its numbers: then this took minutes."""
+    df = spark.range(400).select(F.transform(F.sequence(F.lit(1), F.lit(2048)), lambda i: (i + F.col("id")).cast("float")).alias("v"))
+    began = time.time()
+    got = df.select(V.finalised(F.col("v"), 2048).alias("v")).agg(F.sum(V.norm(F.col("v")))).first()[0]
+    assert got == pytest.approx(400) and time.time() - began < 30

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value computed once a row: a function of elements computes what it refers to for each one."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 def dimension(v: Column) -> Column:
     """Numbers of a vector; null for a missing one."""
     return F.when(v.isNotNull(), F.size(v))
@@ -33,17 +40,14 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalised(v: Column, least: float = 1e-12) -> Column:
     """v divided by its norm, the norm taken as `least` at least."""
-    n = F.greatest(norm(v), F.lit(least))
-    return F.transform(v, lambda x: x / n)
+    return once(v, lambda w: once(F.greatest(norm(w), F.lit(least)), lambda n: F.transform(w, lambda x: x / n)))
 
 
 def finalised(v: Column, dimensions: int = DIMENSIONS) -> Column:
     """An embedding ready to store: NaN and infinities become 0, the first `dimensions` numbers stay,
     and the rest has norm 1 unless it is all zeros."""
     finite = F.transform(doubles(v), lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x))
-    cut = F.slice(finite, 1, dimensions)
-    n = norm(cut)
-    return F.when(n > 0, F.transform(cut, lambda x: x / n)).otherwise(cut)
+    return once(F.slice(finite, 1, dimensions), lambda cut: once(norm(cut), lambda n: F.when(n > 0, F.transform(cut, lambda x: x / n)).otherwise(cut)))
 
 
 def drift(a: Column, b: Column) -> Column:

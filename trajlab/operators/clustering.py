@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajlab.operators.blocks import BLOCK, Side, between, distances, meet
+from trajlab.operators.blocks import BLOCK, Halves, Side, distances, meet_blocks
 from trajlab.operators.graph import checkpointed, components
 from trajlab.operators.spanning import block_edges, least_forest, quantile_cuts, spanning_forest
 
@@ -32,15 +33,49 @@ def _under(df: DataFrame, key: list[str] | None) -> tuple[DataFrame, list[str]]:
     return (df, key) if key else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
-def _nearest(k: int):
-    def step(a: Side, b: Side | None) -> dict[str, np.ndarray | pa.Array]:
-        d, out = between(a, b), []
-        for m, one, other in ((d, a, b or a),) if b is None else ((d, a, b), (d.T, b, a)):
-            # a point has no distance to itself, which sorts last
-            best = np.argsort(m, axis=1)[:, : min(k, m.shape[1])] if m.shape[1] <= k else np.argpartition(m, k - 1, axis=1)[:, :k]
-            far = np.take_along_axis(m, best, 1).ravel()
-            at = np.flatnonzero(~np.isnan(far))
-            out.append((one["id"].take(pa.array(np.repeat(np.arange(len(m)), best.shape[1])[at])), other["id"].take(pa.array(best.ravel()[at])), far[at]))
+def _in_order(side: Side, by: np.ndarray | pa.Array) -> Side:
+    at = pc.sort_indices(by if isinstance(by, pa.Array) else pa.array(by))
+    return {k: x.take(at) if isinstance(x, pa.Array) else x[at.to_numpy()] for k, x in side.items()}
+
+
+def _nearer(g: np.ndarray, far: np.ndarray, other: np.ndarray, first: int, slack: float, unit: float, squares: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+    """Of the rough squared distances g of some points to others, numbered from `first`, put those that are nearer
+    than a point's k-th into its k nearest (far, other), by rising distance. Ties stay with the lesser number."""
+    k, last = far.shape[1], far[:, -1]
+    limit = last / unit + slack
+    new = np.flatnonzero(np.isinf(last))
+    if len(new) and g.shape[1] > k:
+        limit[new] = np.partition(g[new], k - 1, axis=1)[:, k - 1] + 2 * slack
+    limit[last == 0] = -np.inf
+    i, j = np.nonzero(g < limit.astype(np.float32)[:, None])
+    d = squares(i, j)
+    at = np.flatnonzero(d < last[i])
+    i, j, d = i[at], j[at] + first, d[at]
+    rows = np.unique(i)
+    i, d, j = np.concatenate([i, np.repeat(rows, k)]), np.concatenate([d, far[rows].ravel()]), np.concatenate([j, other[rows].ravel()])
+    at = np.lexsort((j, d, i))
+    best = at[np.searchsorted(i[at], rows)[:, None] + np.arange(k)]
+    far[rows], other[rows] = d[best], j[best]
+
+
+def _nearest(k: int, block: int):
+    def step(_keys: tuple, _i: int, _j: int, a: Side, b: Side | None) -> dict[str, np.ndarray | pa.Array]:
+        sides = [_in_order(s, s["id"]) for s in ([a] if b is None else [a, b])]
+        one, two = sides[0], sides[-1]
+        found = [(np.full((len(s["v"]), k), np.inf), np.full((len(s["v"]), k), -1)) for s in sides]
+        h = Halves(one["v"], two["v"])
+        for p in range(0, len(h.x), block):
+            for q in range(p if b is None else 0, len(h.y), block):
+                g = h.tile(p, q, block)
+                if b is None and p == q:
+                    np.fill_diagonal(g, np.inf)
+                _nearer(g, *(f[p : p + block] for f in found[0]), q, h.slack, h.unit, lambda i, j: h.squares(i + p, j + q))
+                if b is not None or p < q:
+                    _nearer(g.T, *(f[q : q + block] for f in found[-1]), p, h.slack, h.unit, lambda i, j: h.squares(j + p, i + q))
+        out = []
+        for s, t, (far, other) in zip(sides, sides[::-1], found, strict=True):
+            at = np.flatnonzero(other >= 0)
+            out.append((s["id"].take(pa.array(at // k)), t["id"].take(pa.array(other.ravel()[at])), np.sqrt(far.ravel()[at])))
         ids, others, far = zip(*out, strict=True)
         return {"id": pa.concat_arrays(ids), "other": pa.concat_arrays(others), "d": np.concatenate(far)}
 
@@ -50,13 +85,13 @@ def _nearest(k: int):
 def nearest(vectors: DataFrame, k: int, key: list[str] | None = None, block: int = BLOCK, probes: int | None = None) -> DataFrame:
     """(key, id, other, d, rank): the k nearest other vectors of each vector (key, id, v), ties by their id, rank
     from 1. Exact without probes: all of a key meet, by pairs of blocks, and a task gives each row's nearest of
-    its blocks. With probes those meet that share one of their `probes` nearest centres (see listed), so what is
+    its blocks; distances in single precision leave out what can't be nearest, the rest are exact. With probes those meet that share one of their `probes` nearest centres (see listed), so what is
     shuffled grows with the vectors."""
     points, key = _under(vectors, key)
     cloud = key if probes is None else [*key, "_list"]
     points = points if probes is None else listed(points, key, probes, block)
     kind = points.schema["id"].dataType.simpleString()
-    found = meet(points, cloud, _nearest(k), f"id {kind}, other {kind}, d double", block=block)
+    found = meet_blocks(points, cloud, _nearest(k, block), f"id {kind}, other {kind}, d double", block=block)
     if probes is not None:
         found = found.groupBy(*key, "id", "other").agg(F.min("d").alias("d"))
     rank = F.row_number().over(Window.partitionBy(*key, "id").orderBy("d", "other"))
