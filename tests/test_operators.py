@@ -613,3 +613,39 @@ def test_a_value_of_a_row_is_computed_once(spark):
     began = time.time()
     got = df.select(V.finalised(F.col("v"), 2048).alias("v")).agg(F.sum(V.norm(F.col("v")))).first()[0]
     assert got == pytest.approx(400) and time.time() - began < 30
+
+
+def test_trees_of_apart_crowds_by_few_edges(spark):
+    """Crowds that no nearest joins, copies among them: the tree has the right heights, and what pairs of blocks
+    give is a few edges a point, however many tiles there are. Ids may be texts."""
+    rng = np.random.default_rng(21)
+    x = np.concatenate([rng.normal(c, 0.2, (50, 3)) for c in (0, 5, 11)] + [np.ones((20, 3)) * 30, rng.normal(0, 20, (10, 3))])
+    df = spark.createDataFrame([(f"{i:03d}", v.tolist()) for i, v in enumerate(x)], "id string, v array<double>")
+    d = all_distances(x)
+    core = np.sort(d, 1)[:, 5]
+    reach = np.maximum(np.maximum(core[:, None], core[None]), d)
+    assert sorted(r.w for r in C.merges(df.withColumn("g", F.lit(1)), ["g"], block=4).collect()) == pytest.approx(heights(reach), abs=1e-8)
+    edges = [(int(r.u), int(r.v), r.w) for r in C.reachability_edges(df, C.core_distances(df, block=4), 9.0, block=4).collect()]
+    assert len(edges) < 6 * len(x)
+    for radius in (0.3, 1.0, 9.0):
+        label = list(range(len(x)))
+        for u, v, w in edges:
+            if w <= radius:
+                a, b = label[u], label[v]
+                label = [min(a, b) if c in (a, b) else c for c in label]
+        want = list(range(len(x)))
+        for u, v in zip(*np.nonzero(np.triu(reach <= radius, 1)), strict=True):
+            a, b = want[u], want[v]
+            want = [min(a, b) if c in (a, b) else c for c in want]
+        assert label == want
+
+
+def test_paths_beyond_the_order_of_one_task(spark, monkeypatch):
+    """Clouds too large to be put in order in one task give the same forest."""
+    from trajlab.operators import spanning
+
+    x = np.random.default_rng(4).normal(0, 1, (80, 3))
+    df = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "g string, id long, v array<double>")
+    ordered = sorted(r.w for r in C.merges(df, ["g"], block=8).collect())
+    monkeypatch.setattr(spanning, "ORDERED", 10)
+    assert sorted(r.w for r in C.merges(df, ["g"], block=8).collect()) == pytest.approx(ordered)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from trajlab.operators.blocks import BLOCK, Halves, Side, distances, meet_blocks
 from trajlab.operators.graph import checkpointed, components
-from trajlab.operators.spanning import block_edges, least_forest, quantile_cuts, spanning_forest
+from trajlab.operators.spanning import block_edges, least_forest, near_edges, quantile_cuts, spanning_forest, tied
 
 MIN_SAMPLES = 5
 #: fewer vectors of a model have no layer
@@ -132,16 +132,23 @@ def listed(vectors: DataFrame, key: list[str], probes: int = PROBES, block: int
 
 def core_distances(vectors: DataFrame, min_samples: int = MIN_SAMPLES, block: int = BLOCK, key: list[str] | None = None, probes: int | None = None) -> DataFrame:
     """(key, id, core): distance to the min_samples-th nearest other vector of the key, exact without probes."""
-    near = nearest(vectors, min_samples, key, block, probes)
+    return cores_of(nearest(vectors, min_samples, key, block, probes), min_samples, key)
+
+
+def cores_of(near: DataFrame, min_samples: int = MIN_SAMPLES, key: list[str] | None = None) -> DataFrame:
+    """(key, id, core) of what nearest gives."""
     return near.where(F.col("rank") == min_samples).select(*(key or []), "id", F.col("d").alias("core"))
 
 
-def reachability_edges(vectors: DataFrame, cores: DataFrame, radius: float, block: int = BLOCK) -> DataFrame:
+def reachability_edges(vectors: DataFrame, cores: DataFrame, radius: float, block: int = BLOCK, near: DataFrame | None = None) -> DataFrame:
     """(u, v, w), u < v: pairs whose mutual reachability, max(core u, core v, distance), is up to radius, as
-    many as connect what all such pairs connect, at the radius and at every smaller one: each two blocks give
-    a least spanning forest of theirs."""
+    many as connect what all such pairs connect, at the radius and at every smaller one. near: some of each
+    vector's nearest, as nearest gives them; without it they are found first."""
     reachable, key = _under(vectors.join(cores.where(F.col("core") <= radius), "id").select("id", "v", "core"), None)
-    return block_edges(reachable, key, ["core"], radius, block).drop("_all")
+    reachable = checkpointed(reachable)
+    near = (nearest(reachable.select("id", "v"), MIN_SAMPLES, block=block) if near is None else near).withColumn("_all", F.lit(0))
+    known = near_edges(near, key, reachable).where(F.col("w") <= radius)
+    return tied(reachable, key, known, radius, block).drop("_all")
 
 
 def merges(vectors: DataFrame, key: list[str] | None = None, min_samples: int = MIN_SAMPLES, block: int = BLOCK, exact: int = EXACT, probes: int = PROBES) -> DataFrame:
@@ -153,10 +160,10 @@ def merges(vectors: DataFrame, key: list[str] | None = None, min_samples: int =
     sizes = points.groupBy(*inner).count()
 
     def tree(some: DataFrame, probes: int | None) -> DataFrame:
-        cores = core_distances(some, min_samples, block, inner, probes)
-        reach = checkpointed(some.join(cores, [*inner, "id"]))
+        found = checkpointed(nearest(some, min_samples, inner, block, probes))
+        reach = checkpointed(some.join(cores_of(found, min_samples, inner), [*inner, "id"]))
         if probes is None:
-            return spanning_forest(reach, inner, ["core"], block, DECIMALS)
+            return spanning_forest(reach, inner, lambda large: found.join(large.select(*inner).distinct(), inner, "left_semi"), block, DECIMALS)
         near = block_edges(listed(reach, inner, probes, block), [*inner, "_list"], ["core"], None, block, DECIMALS)
         return least_forest(near.select(*inner, "u", "v", "w").distinct(), inner)
 
@@ -192,7 +199,8 @@ def layers(vectors: DataFrame, edges: DataFrame, cuts: DataFrame, key: list[str]
 def density_layers(vectors: DataFrame, thresholds: list[float], min_samples: int = MIN_SAMPLES, least: int = LEAST) -> DataFrame:
     """(id, layer, cluster): layers of vectors (id, v) at thresholds that are given; see layers."""
     points, key = _under(vectors, None)
-    edges = checkpointed(reachability_edges(vectors, checkpointed(core_distances(vectors, min_samples)), max(thresholds))).withColumn("_all", F.lit(0))
+    near = checkpointed(nearest(vectors, min_samples))
+    edges = checkpointed(reachability_edges(vectors, cores_of(near, min_samples), max(thresholds), near=near)).withColumn("_all", F.lit(0))
     cuts = edges.select("_all").limit(1).select("_all", F.posexplode(F.lit(sorted(map(float, thresholds)))).alias("level", "cut"))
     return layers(points, edges, cuts, key, least).drop("_all")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlab.operators.blocks import BLOCK, Side, between, meet
+from trajlab.operators.clustering import nearest
 from trajlab.operators.spanning import spanning_forest
 
 CLOUD = ["run_id", "embedding_model"]
@@ -43,7 +44,7 @@ def rips_edges(pts: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def h0_bars(pts: DataFrame, block: int = BLOCK) -> DataFrame:
     """Finite bars born at 0: (CLOUD, death), the edge lengths of each cloud's minimum spanning tree."""
-    return spanning_forest(_cloud(pts), CLOUD, block=block).select(*CLOUD, F.col("w").alias("death"))
+    return spanning_forest(_cloud(pts), CLOUD, lambda large: nearest(large, 3, CLOUD, block), block).select(*CLOUD, F.col("w").alias("death"))
 
 
 def h0_diagrams(pts: DataFrame) -> DataFrame:
