@@ -649,3 +649,15 @@ def test_paths_beyond_the_order_of_one_task(spark, monkeypatch):
     ordered = sorted(r.w for r in C.merges(df, ["g"], block=8).collect())
     monkeypatch.setattr(spanning, "ORDERED", 10)
     assert sorted(r.w for r in C.merges(df, ["g"], block=8).collect()) == pytest.approx(ordered)
+
+
+def test_features_of_characters(spark):
+    """Each character was sought from the text's start, and the text's length taken for each of the 256 numbers."""
+    texts = ["", "a", "abc", "x" * 100, "y" * 101, "é€😀z", "ab\0c", None, " \n", "z" * 12_000_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", V.char_features(F.col("s")).alias("v"))
+    began = time.time()
+    got = {r.i: r.v for r in df.collect()}
+    assert time.time() - began < 8
+    for i, s in enumerate(texts):
+        head = [None] * 100 if s is None else [ord(c) / 255.0 for c in s[:100]]
+        assert got[i] == head + [0.0] * (256 - len(head))

@@ -58,4 +58,7 @@ def drift(a: Column, b: Column) -> Column:
 
 def char_features(s: Column, chars: int = 100, size: int = DIMENSIONS) -> Column:
     """Code point / 255 of the first `chars` characters, then zeros up to `size`; not clipped at 1."""
-    return F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.when(i <= F.least(F.length(s), F.lit(chars)), F.ascii(F.substr(s, i, F.lit(1))) / 255.0).otherwise(0.0))
+    # only the first characters are gone through; a null text has nulls for them
+    start = F.transform(F.split(F.substring(s, 1, chars), ""), lambda c: F.ascii(c) / 255.0)
+    start = F.when(s.isNull(), F.array_repeat(F.lit(None).cast("double"), chars)).when(s == "", F.array().cast("array<double>")).otherwise(start)
+    return once(start, lambda v: F.slice(F.concat(v, F.array_repeat(F.lit(0.0), size)), 1, size))
