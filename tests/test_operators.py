@@ -661,3 +661,15 @@ def test_features_of_characters(spark):
     for i, s in enumerate(texts):
         head = [None] * 100 if s is None else [ord(c) / 255.0 for c in s[:100]]
         assert got[i] == head + [0.0] * (256 - len(head))
+
+
+def test_seeded_features_are_made_in_small_batches():
+    import pyarrow as pa
+
+    from trajlab.plans.clusters import _seeded
+
+    texts = [f"text {i} é😀" for i in range(1000)]
+    made = list(_seeded(iter([pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], ["doc_id", "text"])])))
+    assert sum(b.num_rows for b in made) == 1000 and max(b.num_rows for b in made) <= 256
+    v = made[-1].column("v")[-1].as_py()
+    assert v == np.random.RandomState(sum(map(ord, texts[-1]))).rand(256).tolist()
