@@ -673,3 +673,11 @@ def test_seeded_features_are_made_in_small_batches():
     assert sum(b.num_rows for b in made) == 1000 and max(b.num_rows for b in made) <= 256
     v = made[-1].column("v")[-1].as_py()
     assert v == np.random.RandomState(sum(map(ord, texts[-1]))).rand(256).tolist()
+
+
+def test_embedding_is_dealt_to_several_tasks(spark):
+    from trajlab.operators import embedding as B
+
+    wanted = spark.range(0, 200, 1, 1).select(F.col("id").cast("string").alias("id"), F.lit("M").alias("embedding_model"), F.lit("text").alias("output_text"), F.lit(None).cast("binary").alias("output_image"))
+    made = B.embedded(wanted, {"M": B.Model("text", B.characters)})
+    assert made.count() == 200 and made.select(F.spark_partition_id()).distinct().count() > 1

@@ -71,8 +71,11 @@ def _embedded(batches: Iterator[pa.RecordBatch], models: dict[str, Model]) -> It
 
 def embedded(wanted: DataFrame, models: dict[str, Model]) -> DataFrame:
     """(invocation_id, embedding_model, vector) of rows (id, embedding_model, output_text, output_image) whose model
-    is registered. A task takes its rows by model, in batches of the model's size."""
+    is registered. A task takes its rows by model, in batches of the model's size. Rows are dealt to all tasks first:
+    contents are short, and a join that ends in few partitions would leave the models to a few tasks."""
     rows = wanted.where(F.col("embedding_model").isin(*models)).select("id", "embedding_model", "output_text", "output_image")
+    spark = wanted.sparkSession
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "id", "embedding_model")
     # one model's contents behind another's, so a batch of rows has few models
     made = rows.sortWithinPartitions("embedding_model").mapInArrow(lambda it: _embedded(it, models), "invocation_id string, embedding_model string, vector array<float>")
     raw = [n for n, m in models.items() if m.raw]
