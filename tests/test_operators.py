@@ -681,3 +681,16 @@ def test_embedding_is_dealt_to_several_tasks(spark):
     wanted = spark.range(0, 200, 1, 1).select(F.col("id").cast("string").alias("id"), F.lit("M").alias("embedding_model"), F.lit("text").alias("output_text"), F.lit(None).cast("binary").alias("output_image"))
     made = B.embedded(wanted, {"M": B.Model("text", B.characters)})
     assert made.count() == 200 and made.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_blocks_of_one_key_meet_in_several_tasks(spark):
+    df = spark.createDataFrame([(m, i, [float(i)]) for m in "AB" for i in range(200)], "m string, id long, v array<double>")
+    from pyspark import TaskContext
+
+    made = blocks.meet(df, ["m"], lambda a, b: {"task": np.array([TaskContext.get().partitionId()])}, "task long", block=10)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        per = {r.m: r.n for r in made.groupBy("m").agg(F.countDistinct("task").alias("n")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert min(per.values()) > 1

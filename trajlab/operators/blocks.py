@@ -95,7 +95,9 @@ def dealt(points: DataFrame, key: list[str], fields: list[str], block: int = BLO
     count = F.count("*")
     sizes = points.groupBy(*key).agg(n_blocks(count, block).alias("_n"), count.alias("_count"))
     own = F.pmod(F.xxhash64("id"), F.col("_n")) if place is None else range_of(F.col(place), F.col("_n"), F.col("_count"))
-    blocks = points.join(sizes, key).groupBy(*key, own.cast("int").alias("_own")).agg(F.first("_n").alias("_n"), F.collect_list(F.struct("id", "v", *fields)).alias("_rows"))
+    # dealt out by block: else the join's partitions, one for each cloud, would serve for the blocks too
+    parts = points.join(sizes, key).withColumn("_own", own.cast("int")).repartition(*key, "_own")
+    blocks = parts.groupBy(*key, "_own").agg(F.first("_n").alias("_n"), F.collect_list(F.struct("id", "v", *fields)).alias("_rows"))
     spread = blocks.select(*key, "_own", "_rows", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_other"))
     return spread.select(*key, F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") > F.col("_other")).alias("_second"), "_rows")
 
@@ -146,7 +148,7 @@ def meet_blocks(points: DataFrame, key: list[str], step: Callable[[tuple, int, i
         own = [pa.array([k.as_py()] * n, k.type) for k in keys[:n_keys]]
         return pa.table([*own, *(pa.array(found[c]) if found else pa.array([]) for c in names)], [*key, *names])
 
-    return dealt(points, key, fields, block, place).groupBy(*key, "_i", "_j").applyInArrow(called, out)
+    return dealt(points, key, fields, block, place).repartition(*key, "_i", "_j").groupBy(*key, "_i", "_j").applyInArrow(called, out)
 
 
 def _blocks(column: pa.ChunkedArray) -> Iterator[pa.Array]:
