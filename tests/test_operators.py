@@ -694,3 +694,13 @@ def test_blocks_of_one_key_meet_in_several_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert min(per.values()) > 1
+
+
+def test_lists_reach_the_recall_where_nothing_bends(spark):
+    """Noise of many dimensions, where the first lists have too few of the nearest."""
+    x = np.random.default_rng(6).normal(0, 1, (3000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    d = all_distances(x)
+    want = np.argsort(d, 1)[:, 1:6]
+    got = {(r.id, r.other) for r in C.nearest(df, 5, block=64, probes=2).collect()}
+    assert sum((i, int(j)) in got for i in range(len(x)) for j in want[i]) >= 0.9 * want.size

@@ -24,6 +24,9 @@ QUANTILES = [0.25, 0.5, 0.75]
 EXACT = 1_000_000
 #: lists that a vector is in, and centres of a model at most, which every task gets
 PROBES, CENTRES = 8, 8192
+#: vectors of a model whose nearest are found by brute force, and the share of these that lists must have; sampled,
+#: so above the nine tenths that are asked for
+QUERIES, SHARE = 100, 0.95
 #: decimals that weights of trees are compared at
 DECIMALS = 9
 
@@ -89,17 +92,67 @@ def nearest(vectors: DataFrame, k: int, key: list[str] | None = None, block: int
     shuffled grows with the vectors."""
     points, key = _under(vectors, key)
     cloud = key if probes is None else [*key, "_list"]
-    points = points if probes is None else listed(points, key, probes, block)
+    points = points if probes is None else listed(points, key, probes, block, k)
     kind = points.schema["id"].dataType.simpleString()
-    found = meet_blocks(points, cloud, _nearest(k, block), f"id {kind}, other {kind}, d double", block=block)
+    found = meet_blocks(points, cloud, _nearest(k, block), f"id {kind}, other {kind}, d double", block=block if probes is None else 4 * BLOCK)
     if probes is not None:
         found = found.groupBy(*key, "id", "other").agg(F.min("d").alias("d"))
     rank = F.row_number().over(Window.partitionBy(*key, "id").orderBy("d", "other"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(*[c for c in key if c != "_all"], "id", "other", "d", "rank")
 
 
-def listed(vectors: DataFrame, key: list[str], probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """vectors with `_list`, `probes` rows each: its nearest centres. Centres are vectors of the key, those with
+def _sampled(vectors: DataFrame, key: list[str], k: int) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+    """For each key some vectors, those with the least hashes, each as often as it has a nearest, and these."""
+    w = Window.partitionBy(*key).orderBy(F.xxhash64("id"), "id")
+    asked: dict[tuple, list] = {}
+    sizes = vectors.groupBy(*key).agg(F.count("*").alias("_count"))
+    h = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30))
+    some = vectors.join(sizes, key).where(h <= 4.0 * QUERIES / F.col("_count") * (1 << 30))
+    for r in some.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= QUERIES).select(*key, "id", "v").collect():
+        asked.setdefault(tuple(r[c] for c in key), []).append((r["id"], r["v"]))
+    sent = vectors.sparkSession.sparkContext.broadcast({x: ([i for i, _ in y], np.array([v for _, v in y])) for x, y in asked.items()})
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True))
+            for one in dict.fromkeys(keys):
+                if one not in sent.value:
+                    continue
+                ids, mine = sent.value[one]
+                own = batch.take(pa.array([i for i, x in enumerate(keys) if x == one]))
+                d = distances(mine, own.column("v").flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1))
+                place = {x: i for i, x in enumerate(own.column("id").to_pylist())}
+                for q, x in enumerate(ids):
+                    if x in place:
+                        d[q, place[x]] = np.inf
+                n = min(k, d.shape[1])
+                best = np.argpartition(d, n - 1, axis=1)[:, :n]
+                rows = own.select([*key, "id", "v"]).take(pa.array(best.ravel()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.repeat(np.arange(len(ids)), n)), pa.array(np.take_along_axis(d, best, 1).ravel())], [*key, "id", "v", "_q", "_d"])
+
+    fields = [vectors.schema[c] for c in [*key, "id", "v"]]
+    found = vectors.select(*key, "id", "v").mapInArrow(near, T.StructType([*fields, T.StructField("_q", T.LongType()), T.StructField("_d", T.DoubleType())]))
+    rank = F.row_number().over(Window.partitionBy(*key, "_q").orderBy("_d", "id"))
+    pairs: dict[tuple, list] = {}
+    for r in found.where(F.col("_d") < float("inf")).withColumn("_k", rank).where(F.col("_k") <= k).collect():
+        one = tuple(r[c] for c in key)
+        pairs.setdefault(one, []).append((sent.value[one][1][r["_q"]], r["v"]))
+    return {one: (np.array([a for a, _ in x]), np.array([b for _, b in x])) for one, x in pairs.items()}
+
+
+def enough(centres: np.ndarray, ones: np.ndarray, others: np.ndarray, probes: int) -> int:
+    """The least of probes, twice as many and so on, at which SHARE of the pairs have a nearest centre in common;
+    with all centres all have."""
+    a, b = (np.argsort(np.argsort(distances(x, centres), axis=1), axis=1) for x in (ones, others))
+    both = np.maximum(a, b).min(axis=1)
+    while probes < len(centres) and (both < probes).mean() < SHARE:
+        probes *= 2
+    return probes
+
+
+def listed(vectors: DataFrame, key: list[str], probes: int = PROBES, block: int = BLOCK, k: int = MIN_SAMPLES) -> DataFrame:
+    """vectors with `_list`, `probes` rows each: its nearest centres. Where a sample of a key's vectors, whose k
+    nearest are found by brute force, shares too few lists with these, its vectors are in more; see enough. Centres are vectors of the key, those with
     the least hashes of their id, as many as make a list about a block long, CENTRES at most. Lists that are
     longer, where a key has many vectors or a centre a crowd, meet block by block."""
     sizes = vectors.groupBy(*key).count().withColumn("n_centres", F.least(F.lit(CENTRES), F.ceil(F.col("count") * probes / block)))
@@ -111,18 +164,23 @@ def listed(vectors: DataFrame, key: list[str], probes: int = PROBES, block: int
     centres: dict[tuple, list] = {}
     for r in sorted(drawn, key=lambda r: r["_k"]):
         centres.setdefault(tuple(r[c] for c in key), []).append(r["v"])
-    sent = vectors.sparkSession.sparkContext.broadcast({k: np.array(x) for k, x in centres.items()})
+    pairs = _sampled(vectors, key, k)
+    asked = {}
+    for one, x in centres.items():
+        x = np.array(x)
+        asked[one] = (x, enough(x, *pairs[one], probes) if one in pairs else probes)
+    sent = vectors.sparkSession.sparkContext.broadcast(asked)
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True))
             for one in dict.fromkeys(keys):
                 at = np.array([i for i, x in enumerate(keys) if x == one])
-                own, mine = batch.take(pa.array(at)), sent.value[one]
+                own, (mine, most) = batch.take(pa.array(at)), sent.value[one]
                 for a in range(0, own.num_rows, 512):
                     part = own.slice(a, 512)
                     d = distances(part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1), mine)
-                    n = min(probes, d.shape[1])
+                    n = min(most, d.shape[1])
                     lists = np.argpartition(d, n - 1, axis=1)[:, :n]
                     rows = part.take(pa.array(np.repeat(np.arange(part.num_rows), n)))
                     yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lists.ravel().astype(np.int32))], [*rows.schema.names, "_list"])
