@@ -704,3 +704,35 @@ def test_lists_reach_the_recall_where_nothing_bends(spark):
     want = np.argsort(d, 1)[:, 1:6]
     got = {(r.id, r.other) for r in C.nearest(df, 5, block=64, probes=2).collect()}
     assert sum((i, int(j)) in got for i in range(len(x)) for j in want[i]) >= 0.9 * want.size
+
+
+def scaled_down(monkeypatch, f, size=100):
+    """Defaults of f that are sizes of large inputs, brought down to the size of a test."""
+    monkeypatch.setattr(f, "__defaults__", tuple(size if isinstance(x, int) and x >= 50_000 else x for x in f.__defaults__))
+
+
+def noise_and_reach(spark, n=300, k=5):
+    """Noise of many dimensions, where lists of centres lose pairs, and its mutual reachability."""
+    x = np.random.default_rng(8).normal(0, 1, (n, 24))
+    d = all_distances(x)
+    core = np.sort(d, 1)[:, k]
+    return spark.createDataFrame([("M", i, v.tolist()) for i, v in enumerate(x)], "embedding_model string, id long, v array<double>"), np.maximum(np.maximum(core[:, None], core[None]), d)
+
+
+def test_layers_are_whole_at_every_size(spark, monkeypatch):
+    """Beyond a number of vectors of a model, only those that shared a list of centres met."""
+    df, reach = noise_and_reach(spark)
+    scaled_down(monkeypatch, C.merges)
+    got = {}
+    for r in C.clusterings(df, ["embedding_model"], block=32).collect():
+        got.setdefault(r.layer, {})[r.id] = r.cluster
+    w, want = np.round(heights(reach), 9), []
+    for q in C.QUANTILES:
+        near = (np.round(reach, 9) <= w[math.ceil(q * len(w)) - 1]) | np.eye(len(reach), dtype=bool)
+        label = np.arange(len(reach))
+        while ((new := np.where(near, label, len(label)).min(1)) < label).any():
+            label = new
+        size = np.bincount(label, minlength=len(label))[label]
+        if (size >= 5).any():
+            want.append({i: int(a) if n >= 5 else None for i, (a, n) in enumerate(zip(label, size, strict=True))})
+    assert want and got == dict(enumerate(want))

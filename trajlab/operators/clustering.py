@@ -20,8 +20,6 @@ MIN_SAMPLES = 5
 LEAST = 16
 #: shares of a tree's edges that the layers keep, fine to coarse
 QUANTILES = [0.25, 0.5, 0.75]
-#: vectors of a model up to which all meet all; beyond, those that share a list of centres meet
-EXACT = 1_000_000
 #: lists that a vector is in, and centres of a model at most, which every task gets
 PROBES, CENTRES = 8, 8192
 #: vectors of a model whose nearest are found by brute force, and the share of these that lists must have; sampled,
@@ -209,29 +207,37 @@ def reachability_edges(vectors: DataFrame, cores: DataFrame, radius: float, bloc
     return tied(reachable, key, known, radius, block).drop("_all")
 
 
-def merges(vectors: DataFrame, key: list[str] | None = None, min_samples: int = MIN_SAMPLES, block: int = BLOCK, exact: int = EXACT, probes: int = PROBES) -> DataFrame:
+def merges(vectors: DataFrame, key: list[str] | None = None, min_samples: int = MIN_SAMPLES, block: int = BLOCK, exact: int | None = None, probes: int = PROBES) -> DataFrame:
     """(key, u, v, w): the least spanning tree of each key's vectors by mutual reachability; in order of w its
-    edges are the merges of the density hierarchy. Keys with over `exact` vectors have a forest of the pairs
-    that share a list of centres, with the distances to their approximate neighbours; vectors that lists leave
-    apart stay apart."""
+    edges are the merges of the density hierarchy. All vectors of a key meet all, however many there are. Only a
+    caller that gives `exact` has keys with more vectors than that as a forest of the pairs that share a list of
+    centres; see listed_merges."""
     points, inner = _under(vectors, key)
-    sizes = points.groupBy(*inner).count()
-
-    def tree(some: DataFrame, probes: int | None) -> DataFrame:
-        found = checkpointed(nearest(some, min_samples, inner, block, probes))
-        reach = checkpointed(some.join(cores_of(found, min_samples, inner), [*inner, "id"]))
-        if probes is None:
-            return spanning_forest(reach, inner, lambda large: found.join(large.select(*inner).distinct(), inner, "left_semi"), block, DECIMALS)
-        near = block_edges(listed(reach, inner, probes, block), [*inner, "_list"], ["core"], None, block, DECIMALS)
-        return least_forest(near.select(*inner, "u", "v", "w").distinct(), inner)
-
-    large = sizes.where(F.col("count") > exact).select(*inner)
-    if large.isEmpty():
-        return checkpointed(tree(points, None)).drop("_all")
-    few, many = tree(points.join(large, inner, "left_anti"), None), tree(points.join(large, inner, "left_semi"), probes)
+    if exact is None:
+        return checkpointed(_tree(points, inner, min_samples, block)).drop("_all")
+    large = points.groupBy(*inner).count().where(F.col("count") > exact).select(*inner)
+    few, many = _tree(points.join(large, inner, "left_anti"), inner, min_samples, block), listed_merges(points.join(large, inner, "left_semi"), inner, min_samples, block, probes)
     return checkpointed(few.unionByName(many)).drop("_all")
 
 
+def _reaching(points: DataFrame, near: DataFrame, key: list[str], min_samples: int) -> DataFrame:
+    return checkpointed(points.join(cores_of(near, min_samples, key), [*key, "id"]))
+
+
+def _tree(points: DataFrame, key: list[str], min_samples: int, block: int) -> DataFrame:
+    near = checkpointed(nearest(points, min_samples, key, block))
+    reach = _reaching(points, near, key, min_samples)
+    return spanning_forest(reach, key, lambda large: near.join(large.select(*key).distinct(), key, "left_semi"), block, DECIMALS)
+
+
+def listed_merges(points: DataFrame, key: list[str], min_samples: int = MIN_SAMPLES, block: int = BLOCK, probes: int = PROBES) -> DataFrame:
+    """(key, u, v, w): as merges, but approximate: a least spanning forest of the pairs that share a list of centres,
+    with the distances to approximate neighbours. Vectors that lists leave apart stay apart. No query has it."""
+    reach = _reaching(points, nearest(points, min_samples, key, block, probes), key, min_samples)
+    near = block_edges(listed(reach, key, probes, block), [*key, "_list"], ["core"], None, block, DECIMALS)
+    return least_forest(near.select(*key, "u", "v", "w").distinct(), key)
+
+
 def least_size(n: int) -> int:
     return max(5, int(0.001 * n))
 
