@@ -736,3 +736,12 @@ def test_layers_are_whole_at_every_size(spark, monkeypatch):
         if (size >= 5).any():
             want.append({i: int(a) if n >= 5 else None for i, (a, n) in enumerate(zip(label, size, strict=True))})
     assert want and got == dict(enumerate(want))
+
+
+def test_heights_are_whole_at_every_size(spark, monkeypatch):
+    """As the layers: the tree's weights don't depend on a size either, and its edges join all vectors."""
+    df, reach = noise_and_reach(spark)
+    scaled_down(monkeypatch, C.merges)
+    tree = C.merges(df, ["embedding_model"], block=32).collect()
+    assert sorted(r.w for r in tree) == pytest.approx(heights(reach), abs=1e-8)
+    assert len({x for r in tree for x in (r.u, r.v)}) == len(reach) == len(tree) + 1
