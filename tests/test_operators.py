@@ -745,3 +745,11 @@ def test_heights_are_whole_at_every_size(spark, monkeypatch):
     tree = C.merges(df, ["embedding_model"], block=32).collect()
     assert sorted(r.w for r in tree) == pytest.approx(heights(reach), abs=1e-8)
     assert len({x for r in tree for x in (r.u, r.v)}) == len(reach) == len(tree) + 1
+
+
+def test_tiles_are_searched_in_either_order():
+    g = np.random.default_rng(2).random((7, 5)).astype(np.float32)
+    for t in (g, g.T, g[:1], g[:, :1].T):
+        for limit in (np.linspace(0, 1, len(t), dtype=np.float32), np.full(t.shape, 0.5, np.float32)):
+            want = np.argwhere(t < (limit if limit.ndim == 2 else limit[:, None]))
+            assert sorted(zip(*blocks.below(t, limit), strict=True)) == sorted(map(tuple, want.tolist()))

@@ -66,6 +66,15 @@ class Halves:
         return np.concatenate(parts) if parts else np.empty(0)
 
 
+def below(g: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what is below its row's limit, or below the limits one by one, in the order of g's memory;
+    g may be a transposed tile. Few are, so the mask is searched flat."""
+    if g.flags.c_contiguous:
+        return divmod(np.flatnonzero(g < (limit[:, None] if limit.ndim == 1 else limit)), g.shape[1])
+    j, i = divmod(np.flatnonzero(g.T < limit.T), g.shape[0])
+    return i, j
+
+
 def between(a: Side, b: Side | None) -> np.ndarray:
     """Distances of all points of a block to those of another; of a block to itself, where a point has none to
     itself (NaN)."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajlab.operators.blocks import BLOCK, Halves, Side, distances, meet_blocks
+from trajlab.operators.blocks import BLOCK, Halves, Side, below, distances, meet_blocks
 from trajlab.operators.graph import checkpointed, components
 from trajlab.operators.spanning import block_edges, least_forest, near_edges, quantile_cuts, spanning_forest, tied
 
@@ -48,7 +48,7 @@ def _nearer(g: np.ndarray, far: np.ndarray, other: np.ndarray, first: int, slack
     if len(new) and g.shape[1] > k:
         limit[new] = np.partition(g[new], k - 1, axis=1)[:, k - 1] + 2 * slack
     limit[last == 0] = -np.inf
-    i, j = np.nonzero(g < limit.astype(np.float32)[:, None])
+    i, j = below(g, limit.astype(np.float32))
     d = squares(i, j)
     at = np.flatnonzero(d < last[i])
     i, j, d = i[at], j[at] + first, d[at]

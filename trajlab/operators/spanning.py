@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajlab.operators.blocks import BLOCK, Halves, Side, distances, meet, meet_blocks, n_blocks, range_of
+from trajlab.operators.blocks import BLOCK, Halves, Side, below, distances, meet, meet_blocks, n_blocks, range_of
 from trajlab.operators.graph import WHOLE, checkpointed, joined_ends, parted
 
 #: edges of a known forest up to which one task orders a cloud's points by its merges; larger clouds go without
@@ -201,7 +201,7 @@ def _shorter(radius: float | None, decimals: int | None, tops: dict[tuple, list[
                     ahead, behind = np.maximum(before, gaps[left.stop : right.start].max(initial=0.0)), _upto(gaps[right])
                     limit = np.maximum.outer(rough(ahead), rough(behind))
                 g = h.tile(p, q, block)
-                x, y = np.nonzero(g < limit)
+                x, y = below(g, limit)
                 if len(x) > g.size // 8:
                     both = np.arange(left.start, left.stop) if lone else np.concatenate([np.arange(left.start, left.stop), np.arange(right.start, right.stop)])
                     points = v[0][left] if lone else np.concatenate([v[0][left], v[-1][q : q + block]])
